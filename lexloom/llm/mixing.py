@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 20, weight: Column | None = None, buckets: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words taken, repeats counted), for each row of docs.
+    """doc_id, source, tie (a hash of the text), size, source_size, target, taken (words taken, repeats counted), for each row of docs.
 
     weights go to the sources in order of code points, repeating; targets share the size of all documents and stop at
     most_epochs times their source. weight: a document's quality weight, by default quality_weight of its text.
@@ -79,7 +79,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - epochs * F.col("source_size"))
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("before") + F.col("upto") - F.col("size"))))
-    return joined.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"))
+    return joined.select("doc_id", F.col("r.source").alias("source"), "tie", "size", "source_size", "target", (epochs * F.col("size") + partial).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs as mix() takes them: a row as often as its words are taken, the document that is cut by half or more counted as whole."""
+    taken = mix(docs, **options).where("size > 0").groupBy("doc_id", "source", "tie").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies")).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("tie").alias("t_tie"), "copies")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text_or_empty()).alias("own_tie"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("t_id")) & F.col("row.source").eqNullSafe(F.col("t_source")) & (F.col("own_tie") == F.col("t_tie"))
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: DuckDB SQL for op4_mixing_sources.

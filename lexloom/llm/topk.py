@@ -105,13 +105,13 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
 #: DuckDB SQL for op8_exact_top_k.
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 q AS (SELECT vec_id AS query_id, v AS qv FROM v WHERE vec_id % 50 = 0),
 s AS (
-  SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(qv, v), z -> z[1] * z[2])) AS BIGINT) AS score
+  SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(qv, v), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM q JOIN v ON q.query_id <> v.vec_id AND len(qv) = len(v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
