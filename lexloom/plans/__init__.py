@@ -1,0 +1,4 @@
+"""Named queries over the standard tables, and for each the SQL that states its result."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
