@@ -68,3 +68,20 @@ def remainder(doc_id, modulus: int):
 def words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z lower-cased, as UTF-8: bytes.lower() and bytes.split() know ASCII only, as is asked for."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def most_frequent(counts: DataFrame, key: str, most: int):
+    """The rows (key, n) of the highest n, as pandas, highest n first, ties by key: at most `most`, fewer where more would tie in a class of n.
+
+    A histogram of n gives the lowest n to collect, so tasks send no more than what is kept.
+    """
+    level = F.floor(F.log2("n") * 32).cast("int")
+    histogram = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    lowest, total = None, 0
+    for at, rows in histogram:
+        total += rows
+        if total > most:
+            break
+        lowest = at
+    chosen = counts.where(level >= lowest) if lowest is not None else counts.where(F.lit(False))
+    return chosen.select(key, "n").toPandas().sort_values(["n", key], ascending=[False, True], kind="stable")

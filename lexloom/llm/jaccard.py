@@ -1,11 +1,12 @@
 """Similarity join of documents on word shingles (Jaccard), with set-relation skipping.
 
-Equal sets become one node first. Each node puts its prefix - its n - ceil(0.8 n) + 1 first shingles, rare ones before
-heavy ones - into index lists. Two relations among sets then spare work:
+Equal sets become one node first. Each node puts its prefix - its n - ceil(0.8 n) + 1 first shingles, those of few
+documents and of rare words before others - into index lists. Two relations among sets then spare work:
 
 * Index lists are cut into blocks of one set size and one position. Two blocks can hold similar sets only if their sizes
   and what is left behind their positions allow it; a block that fits no other block of its list is skipped as a whole.
-* What remains of a list needs no pairs: one set leads, the others follow. A leader's answers (its overlap with every
+* What remains of a list needs no pairs: one set leads, the others follow. Bitmaps of the sets, which are small, break a
+  leader's group into smaller ones wherever they prove that no similar pair is lost. Then the leader's answers (its overlap with every
   follower) are computed once. A follower that is similar to the leader has the leader's component and is compared with
   no other such follower. Answers of the others come from the leader's: |Y & Z| is the leader's part, known from how Y
   and Z differ from it, plus the small part outside the leader; an upper bound from the leader's overlaps skips pairs first.
@@ -13,7 +14,7 @@ heavy ones - into index lists. Two relations among sets then spare work:
 Followers of one leader are compared in blocks of bounded size, so a group of any size is shared among tasks, and only the
 links that join components leave a task. Components are found by alternating star steps over those links.
 
-The weight order of shingles (see heavy_shingles) only sets how much work is done: any order gives the same result.
+The order of shingles (see frequent) only sets how much work is done: any order gives the same result.
 
 Defined cases: null, empty and white-space texts have an empty set, link with nothing and are their own component; texts
 of fewer words than a shingle have their whole sequence as the one shingle; rows that repeat, and different rows with one
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, most_frequent, text_or_empty
 from .components import components
-from .words import mixed, runs, shingle_sets
+from .words import mixed, runs, shingle_sets, weighed_shingle_sets
 
 #: Similarity as a fraction of whole numbers: two sets link when NEAR[1] * intersection >= NEAR[0] * union.
 NEAR = (4, 5)
@@ -50,47 +51,65 @@ def prefix_size(n: int) -> int:
     return n - (NEAR[0] * n + NEAR[1] - 1) // NEAR[1] + 1
 
 
-def heavy_shingles(docs: DataFrame, width: int = 5, local: int = 4, least: int = 64, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, counts): shingles of at least `least` documents, counted over all documents by lossy counting.
+def frequent(docs: DataFrame, ws: Workspace, width: int = 5, local: int = 4, least: int = 64, most: int = 500_000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(sorted hashes, counts) of the "shingles" and the "words" that stand in at least `least` documents or places, by lossy counting over all documents.
 
-    A chunk of 4 million shingles drops those it saw less than `local` times; the `most` heaviest are kept. They rank prefixes only.
+    A chunk of 4 million shingles drops what it saw less than `local` times; the `most` most frequent of each are kept. They rank prefixes only.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, words, size = [], [], 0
 
-        def flush():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
+        def flush(parts: list[np.ndarray], kind: str) -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
             good = n >= local
-            return pa.RecordBatch.from_arrays([pa.array(values[good].view(np.int64)), pa.array(n[good])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([kind] * int(good.sum()), pa.string()), pa.array(values[good].view(np.int64)), pa.array(n[good])], names=["kind", "token", "n"])
+
+        def seen(hashed: np.ndarray) -> np.ndarray:
+            words.append(hashed)
+            return np.zeros(len(hashed), np.int8)
 
         for batch in batches:
-            for _, own in shingle_sets(batch.column(0), width):
+            for _, own, _ in weighed_shingle_sets(batch.column(0), width, seen):
                 held.append(own)
                 size += len(own)
                 if size >= 4_000_000:
-                    yield flush()
+                    yield flush(held, "shingles")
+                    yield flush(words, "words")
                     held, size = [], 0
-        if held:
-            yield flush()
+                    words.clear()
+        if words:
+            yield flush(held, "shingles")
+            yield flush(words, "words")
+
+    counts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "kind string, token long, n long")
+    counts = ws.save(counts.groupBy("kind", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "frequent")
+    out = {}
+    for kind in ("shingles", "words"):
+        found = most_frequent(counts.where(F.col("kind") == kind), "token", most)
+        tokens, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+        order = np.argsort(tokens)
+        out[kind] = tokens[order], n[order]
+    return out
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The number beside each key of a sorted table, 0 beside others."""
+    tokens, n = table
+    if not len(tokens):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(tokens, keys), len(tokens) - 1)
+    return np.where(tokens[at] == keys, n[at], 0)
 
-    counts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "token long, n long")
-    heavy = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "token").limit(most).toPandas()
-    tokens, n = heavy["token"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
 
+def commonness(words: tuple[np.ndarray, np.ndarray], hashed: np.ndarray) -> np.ndarray:
+    """A whole number that rises with the logarithm of each word's count."""
+    return np.rint(4 * np.log2(1 + looked_up(words, hashed))).astype(np.int64)
 
-def ranked(own: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The elements of a sorted set, rare ones first."""
-    tokens, n = heavy
-    if not len(tokens) or not len(own):
-        return own
-    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-    hit = tokens[at] == own
-    if not hit.any():
-        return own
-    return np.concatenate([own[~hit], own[hit][np.argsort(n[at[hit]], kind="stable")]])
+
+def ranked(own: np.ndarray, common: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The elements of a sorted set: those of few documents first, of rare words first among them."""
+    return own[np.lexsort((common, looked_up(heavy, own)))]
 
 
 def node_of(own: np.ndarray) -> int:
@@ -98,22 +117,24 @@ def node_of(own: np.ndarray) -> int:
     return int(mixed(np.array([mixed(own, 3).sum(dtype=np.uint64)]), len(own))[0].view(np.int64))
 
 
-def described(docs: DataFrame, heavy, width: int) -> DataFrame:
-    """doc_id, key, n_shingles, node (a fingerprint of the set; 0 elements: null), prefix."""
+def described(docs: DataFrame, known: dict, width: int) -> DataFrame:
+    """doc_id, key, n_shingles, node (a fingerprint of the set; 0 elements: null), prefix, bitmap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            n, node, prefix = [], [], []
-            for _, own in shingle_sets(batch.column(2), width):
+            n, node, prefix, bitmap = [], [], [], []
+            for _, own, common in weighed_shingle_sets(batch.column(2), width, lambda hashed: commonness(known["words"], hashed)):
                 n.append(len(own))
                 node.append(node_of(own) if len(own) else None)
-                prefix.append(ranked(own, shared.value)[: prefix_size(len(own))].view(np.int64) if len(own) else np.empty(0, np.int64))
+                bitmap.append(bitmap_of(own) if len(own) else None)
+                prefix.append(ranked(own, common, known["shingles"])[: prefix_size(len(own))].view(np.int64) if len(own) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *prefix]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], names=["doc_id", "key", "n_shingles", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(bitmap, pa.binary())], names=["doc_id", "key", "n_shingles", "node", "prefix", "bitmap"])
 
-    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).mapInArrow(describe, f"doc_id {kind}, key long, n_shingles long, node long, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).mapInArrow(describe, f"doc_id {kind}, key long, n_shingles long, node long, prefix array<long>, bitmap binary")
 
 
 def fitting(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -228,35 +249,98 @@ def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int) -> list[
     return [(int(nodes[label[i]]), int(nodes[i])) for i in moved]
 
 
-def grouped_links(stars: DataFrame, sets: DataFrame, block_rows: int = 1500, block_elements: int = 1_500_000) -> DataFrame:
-    """a, b: links that join what is similar, from (leader, node) rows and (node, elements) rows."""
-    sized = stars.join(sets.select("node", F.size("elements").alias("n")), "node")
+def dealt(stars: DataFrame, facts: DataFrame, block_rows: int = 1500, block_elements: int = 1_500_000) -> DataFrame:
+    """leader, p, q and facts (node, n, ...) of every leader's group, those of one (leader, p, q) together.
+
+    A group beyond the block bounds is cut into blocks by hash; every two blocks, and each with itself, meet as one (p, q),
+    and the leader is in all.
+    """
+    sized = stars.join(facts.select("node", "n"), "node")
     total = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_elements)).cast("int").alias("blocks"))
+    number = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # each block meets each block, itself included, in one row group; the leader is in all
-    dealt = stars.join(total, "leader").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    pairs = total.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("q", F.explode(F.sequence(F.col("p"), F.col("blocks") - 1)))
-    dealt = dealt.unionByName(pairs.select("leader", F.col("leader").alias("node"), "p", "q"))
-    rows = dealt.join(sets, "node").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
+    rows = stars.join(total, "leader").withColumn("own", own).withColumn("other", F.explode(number))
+    rows = rows.select("leader", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    pairs = total.withColumn("p", F.explode(number)).withColumn("q", F.explode(F.sequence(F.col("p"), F.col("blocks") - 1)))
+    rows = rows.unionByName(pairs.select("leader", F.col("leader").alias("node"), "p", "q"))
+    return rows.join(facts, "node").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
+
+
+def bitmap_of(own: np.ndarray) -> bytes:
+    """One bit for each element, by its hash, among 2 to 4 times as many bits as elements (a power of two)."""
+    bits = np.zeros(max(64, 1 << (2 * len(own) - 1).bit_length()), bool)
+    bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A bitmap of `size` 64-bit numbers from one of as many or more: what falls together is united."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, size), axis=0)
+
+
+def plausible_stars(nodes: np.ndarray, n: np.ndarray, bitmaps: list[bytes]) -> list[tuple[int, int]]:
+    """(leader, follower) pairs that cover every pair of a group that bitmaps do not rule out: two bitmaps differ in no more bits than their sets in elements."""
+    g, size = len(nodes), min(len(b) for b in bitmaps) // 8
+    bits = np.stack([folded(b, size) for b in bitmaps])
+    label = np.arange(g)
+    hits = []
+    for i in range(g - 1):
+        m = n[i + 1 :]
+        allowed = n[i] + m - 2 * needed(n[i], m)
+        sized = NEAR[1] * np.minimum(n[i], m) >= NEAR[0] * np.maximum(n[i], m)
+        ok = np.flatnonzero(sized)
+        apart = np.bitwise_count(bits[i + 1 + ok] ^ bits[i]).sum(axis=1)
+        hits.append(i + 1 + ok[apart <= allowed[ok]])
+    while True:  # the smallest place spreads along plausible pairs
+        before = label.copy()
+        for i, js in enumerate(hits):
+            if len(js):
+                low = min(label[i], label[js].min())
+                label[i] = low
+                label[js] = np.minimum(label[js], low)
+        if (label == before).all():
+            break
+    return [(int(nodes[label[i]]), int(nodes[i])) for i in np.flatnonzero(label != np.arange(g))]
+
+
+def pairs_table(found: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names)
+
+
+def refined(stars: DataFrame, facts: DataFrame) -> DataFrame:
+    """leader, node rows that still cover every pair that may be similar, from (leader, node) rows and facts (node, n, bitmap)."""
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for table in runs(batches, ["leader", "p", "q"]):
+            nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+            bitmaps = table.column("bitmap").to_pylist()
+            found += plausible_stars(nodes, table.column("n").to_numpy()[first], [bitmaps[i] for i in first])
+            if len(found) > 10_000:
+                yield pairs_table(found, ["leader", "node"])
+                found = []
+        yield pairs_table(found, ["leader", "node"])
+
+    return dealt(stars, facts, block_rows=3000, block_elements=20_000_000).select("leader", "p", "q", "node", "n", "bitmap").mapInArrow(refine, "leader long, node long").distinct()
+
+
+def grouped_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that join what is similar, from (leader, node) rows and (node, elements) rows."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        found: list[tuple[int, int]] = []
         for table in runs(batches, ["leader", "p", "q"]):
             nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
             elements = table.column("elements").combine_chunks()
             at, values = elements.offsets.to_numpy(), elements.values.to_numpy().view(np.uint64)
-            sets_ = [values[at[i] : at[i + 1]] for i in first]
-            for x, y in group_links(nodes, sets_, int(np.searchsorted(nodes, table.column("leader")[0].as_py()))):
-                a.append(x)
-                b.append(y)
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found += group_links(nodes, [values[at[i] : at[i + 1]] for i in first], int(np.searchsorted(nodes, table.column("leader")[0].as_py())))
+            if len(found) > 10_000:
+                yield pairs_table(found, ["a", "b"])
+                found = []
+        yield pairs_table(found, ["a", "b"])
 
-    return rows.select("leader", "p", "q", "node", "elements").mapInArrow(link, "a long, b long")
+    facts = sets.select("node", F.size("elements").cast("long").alias("n"), "elements")
+    return dealt(stars, facts).select("leader", "p", "q", "node", "elements").mapInArrow(link, "a long, b long")
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -295,16 +379,17 @@ def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 def labelled_components(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, key (a hash of the text), n_shingles, label (of the component; empty sets: null), component_id for each row of docs."""
     ws = Workspace(docs.sparkSession, "jaccard")
-    described_ = ws.save(described(docs, heavy_shingles(docs, width), width), "sets")
+    described_ = ws.save(described(docs, frequent(docs, ws, width), width), "sets")
     full = described_.where("node IS NOT NULL")
     nodes = ws.save(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     one = full.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
     entries = one.select("node", "n", F.posexplode("prefix").alias("i", "token")).select("token", "node", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("at"))
-    stars = ws.save(led(entries), "stars")
+    facts = full.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    stars = ws.save(refined(ws.save(led(entries), "candidates"), facts), "stars")
     wanted = ws.save(stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct().join(nodes, "node"), "wanted")
     sets = ws.save(elements_of(docs, wanted, width), "elements")
     links = ws.save(grouped_links(stars, sets), "links")
-    ws.drop("elements", "stars")
+    ws.drop("elements", "stars", "candidates", "wanted")
     labels = components(links, ws)
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -107,14 +107,38 @@ def shingles(row: np.ndarray, hashed: np.ndarray, rows: int, width: int = 5) ->
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row."""
+    for row, own, _ in weighed_shingle_sets(column, width):
+        yield row, own
+
+
+def weighed_shingle_sets(column: pa.Array, width: int = 5, weigh=None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(row, sorted distinct shingle hashes, sums of what weigh(word hashes) says of their words) of every row."""
     for low, high, data, offsets in text_slices(column):
         row, _, _, hashed, _ = word_spans(data, offsets)
         values, at = shingles(row, hashed, high - low, width)
+        total = None
+        if weigh is not None and len(hashed):
+            weight = weigh(hashed)
+            padded = np.concatenate([weight, np.zeros(width, weight.dtype)])
+            total = sum(padded[k : k + len(weight)] for k in range(width))
+            counts = np.bincount(row, minlength=high - low)
+            begin = np.concatenate([[0], np.cumsum(counts)])
+            whole = np.arange(len(row)) - begin[row] + width <= counts[row]
+            for r in np.flatnonzero((counts > 0) & (counts < width)):
+                total[begin[r]] = weight[begin[r] : begin[r + 1]].sum()
+                whole[begin[r]] = True
+            total = total[whole]
         for r in range(high - low):
-            own = np.sort(values[at[r] : at[r + 1]])
-            if len(own) > 1:
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            yield low + r, own
+            own = values[at[r] : at[r + 1]]
+            if total is None:
+                own = np.sort(own)
+                yield low + r, own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own, None
+            else:
+                order = np.argsort(own)
+                own = own[order]
+                keep = np.ones(len(own), bool)
+                keep[1:] = own[1:] != own[:-1]
+                yield low + r, own[keep], total[at[r] : at[r + 1]][order][keep]
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], bulk: bool = False) -> Iterator[pa.Table]:
