@@ -1,0 +1 @@
+"""Column functions: text, names, money, identifiers, vectors."""
