@@ -3,6 +3,8 @@
 Every table carries what the operators need and no more; all are lazy, so unused columns are pruned from the scans.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name: (Spark SQL, DuckDB SQL; None where the first serves both). Braces name other tables of this catalog or input files.
@@ -93,13 +95,21 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_sql(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
     """Spark SQL in which {name} stands for a table of this catalog, an input table or a DataFrame given by name."""
     used = {n: frame(spark, sf_dir, n) for n in _names(sql) if n not in more}
-    return spark.sql(sql, **used, **more)
+    kept = {**used, **more}
+    # other braces, as in regular expressions, are doubled: Spark formats the text
+    parts = re.split(r"\{(" + "|".join(kept) + r")\}", sql) if kept else [sql]
+    text = "".join("{" + p + "}" if i % 2 else p.replace("{", "{{").replace("}", "}}") for i, p in enumerate(parts)) if kept else sql
+    return spark.sql(text, **kept)
 
 
 def oracle(sql: str) -> str:
-    """The same text for DuckDB: names become sub-queries over the input views."""
-    for _ in range(6):
-        for n in _names(sql):
-            text = (DEFINITIONS[n][1] or DEFINITIONS[n][0]) if n in DEFINITIONS else None
-            sql = sql.replace("{" + n + "}", f"({text}) AS {n}_t" if text else n)
-    return sql
+    """The same text for DuckDB: each catalog table it needs, directly or not, becomes a common table expression."""
+    needed, todo = set(), _names(sql)
+    while todo:
+        n = todo.pop()
+        if n in DEFINITIONS and n not in needed:
+            needed.add(n)
+            todo += _names(DEFINITIONS[n][0])
+    tables = [f"{n} AS ({d[1] or d[0]})" for n, d in DEFINITIONS.items() if n in needed]
+    text = f"WITH {', '.join(tables)} SELECT * FROM ({sql})" if tables else sql
+    return re.sub(r"\{(" + "|".join([*DEFINITIONS, *TABLES]) + r")\}", r"\1", text)

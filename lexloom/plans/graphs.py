@@ -45,5 +45,5 @@ sql("l12_provenance", "SELECT predicate, dst, document_id FROM {provenance} WHER
 sql("l10_purge_document", "SELECT src, predicate, dst, count(*) AS evidence FROM {provenance} WHERE document_id % 100 <> 1 GROUP BY ALL")
 sql("b15_canonical_only", "SELECT id, label FROM {nodes} WHERE entity_type IN ('GPE', 'REGION')")
 sql("l8_mentions_of_node", "SELECT document_id FROM {provenance} WHERE dst = 's1' ORDER BY document_id LIMIT 50")
-sql("e7_unique_longest", "SELECT alias, target FROM (SELECT a.n_name AS alias, b.n_name AS target, length(b.n_name) AS len, max(length(b.n_name)) OVER (PARTITION BY a.n_name) AS longest, count(*) OVER (PARTITION BY a.n_name, length(b.n_name)) AS ties FROM {nation} a JOIN {nation} b ON a.n_name <> b.n_name AND starts_with(b.n_name, substr(a.n_name, 1, 1))) WHERE len = longest AND ties = 1")
+sql("e7_unique_longest", "SELECT alias, target FROM (SELECT a.n_name AS alias, b.n_name AS target, length(b.n_name) AS len, max(length(b.n_name)) OVER (PARTITION BY a.n_name) AS longest, count(*) OVER (PARTITION BY a.n_name, length(b.n_name)) AS ties FROM {nation} a JOIN {nation} b ON a.n_name <> b.n_name AND substr(b.n_name, 1, 1) = substr(a.n_name, 1, 1)) WHERE len = longest AND ties = 1")
 sql("e8_strongest_suggestion", "SELECT src, max_by(dst, struct(evidence, dst)) AS best FROM {edges} WHERE predicate = 'CUSTOMER_OF' GROUP BY src", "SELECT src, arg_max(dst, row(evidence, dst)) AS best FROM {edges} WHERE predicate = 'CUSTOMER_OF' GROUP BY src")
