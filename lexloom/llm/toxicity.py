@@ -102,6 +102,58 @@ class Grams:
         return window[order], bucket[order]
 
 
+def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts): runs of about SLICE_CHARS characters, or one longer text."""
+    held, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        size += len(text)
+        if size >= SLICE_CHARS:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
+
+
+class Bags:
+    """The n-grams of the windows of training texts: one bucket each, four bytes, those of one window together."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = len(texts)
+        bucket = np.empty(len(GRAMS) * (sum(map(len, texts)) + len(texts)), np.int32)  # room for an n-gram of each size at each place
+        text, count, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for first, part in slices(texts):
+            grams = Grams.of(part)
+            window, found = grams.lists()
+            bucket[n : n + len(found)] = found
+            n += len(found)
+            text.append(grams.text + first)
+            count.append(np.bincount(window, minlength=len(grams.text)))
+        self.bucket, self.text, self.count = bucket[:n], np.concatenate(text), np.concatenate(count)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def gathered(self, windows: np.ndarray) -> np.ndarray:
+        """The buckets of some windows, one window after the other."""
+        sizes = self.count[windows]
+        return self.bucket[np.repeat(self.begin[windows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def logits(self, model: "Model", step: int = 4096) -> np.ndarray:
+        """The log-odds of each window."""
+        out = np.empty(len(self.count))
+        for low in range(0, len(out), step):
+            sizes = self.count[low : low + step]
+            start = int(self.begin[low])
+            weights = model.weights[self.bucket[start : start + int(sizes.sum())]]
+            out[low : low + step] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights, len(sizes)) / (sizes + PRIOR)
+        return out + model.bias
+
+    def best(self, logits: np.ndarray, bias: float) -> np.ndarray:
+        """The log-odds of each text's most toxic window; without one, the bias."""
+        out = np.full(self.texts, -np.inf)
+        np.maximum.at(out, self.text, logits)
+        return np.where(np.isfinite(out), out, bias)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # of each bucket: embedding times the difference of the softmax's rows
@@ -123,7 +175,8 @@ class Model:
         return np.where(np.isfinite(best), best, self.bias)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -40, 40)))
+        logits = np.concatenate([np.empty(0), *(self.logits(part) for _, part in slices(texts))])
+        return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -40, 40)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -151,10 +204,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, size: int = 4, epoc
     """share: of toxic documents among labelled ones, before sampling."""
     random = np.random.default_rng(seed)
     kept = random.random(len(texts)) < 0.2  # for the logistic fit
-    grams = Grams.of(texts)
-    text = grams.text
-    window, bucket = grams.lists()
-    begin, count = np.searchsorted(window, np.arange(len(text))), np.bincount(window, minlength=len(text))
+    bags = Bags(texts)
+    text, count = bags.text, bags.count
     table = (random.random((1 << BITS, size), dtype=np.float32) - 0.5) / size
     soft = (random.random((2, size)) - 0.5).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
@@ -168,16 +219,13 @@ def train(texts: list[str], toxic: np.ndarray, share: float, size: int = 4, epoc
         use = ~kept[text] & (count > 0)
         if epoch:
             now = current()
-            logit = np.bincount(window, now.weights[bucket], len(text)) / (count + PRIOR) + now.bias
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, text, logit)
-            use &= ~toxic[text] | (logit >= np.minimum(best[text], 0))
+            logit = bags.logits(now)
+            use &= ~toxic[text] | (logit >= np.minimum(bags.best(logit, now.bias)[text], 0))
         chosen = random.permutation(np.flatnonzero(use))
         for low in range(0, len(chosen), batch):
             w = chosen[low : low + batch]
             sizes = count[w]
-            at = np.repeat(begin[w] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            b = bucket[at]
+            b = bags.gathered(w)
             mean = np.add.reduceat(table[b], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / (sizes + PRIOR)[:, None]
             z = mean @ soft.T + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -198,7 +246,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, size: int = 4, epoc
     y = toxic[held].astype(float)
     if 0 < y.sum() < len(y):
         weight = np.where(toxic[held], share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
-        model.slope, model.shift = fit_logistic(model.logits([texts[i] for i in held]), y, weight)
+        model.slope, model.shift = fit_logistic(bags.best(bags.logits(model), model.bias)[held], y, weight)
     return model
 
 
@@ -238,16 +286,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch.column(1).to_pylist():
-                held.append(text)
-                size += len(text)
-                if size >= SLICE_CHARS:
-                    out.append(shared.value.score(held))
-                    held, size = [], 0
-            if held:
-                out.append(shared.value.score(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
 
