@@ -187,7 +187,9 @@ def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
 
 def without_poor(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.7) -> DataFrame:
     """docs without the rows whose score is below the threshold."""
-    return scored(docs, model).where(F.col("score") >= threshold).select("row.*")
+    found = scored(docs, model)
+    # Spark would push a filter on the score below the statistics and work them out again at each bound; it pushes none below explode
+    return found.select("row", F.explode(F.array("score")).alias("kept_score")).where(F.col("kept_score") >= threshold).select("row.*")
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, kept_out: int = 2, threshold: float = 0.7) -> DataFrame:
