@@ -186,3 +186,13 @@ def test_empty_tables(spark, none):
     assert packing.pack(none, _tokenizer("byte_bpe_50k.json")).count() == 0
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_stages_drop_what_scores_reject(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules, bags = quality.fit(table, labels), toxicity.fit(table, labels)
+    good = {r["doc_id"] for r in quality.scored(table, rules).where("score >= 0.7").select("row.doc_id").collect()}
+    clean = {r["doc_id"] for r in toxicity.score(table, bags).where("score < 0.5").collect()}
+    for kept, want in ((quality.without_poor(table, rules), good), (toxicity.without_toxic(table, bags), clean)):
+        assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == want
+    assert 0 < len(good) < table.count() > len(clean) > 0
