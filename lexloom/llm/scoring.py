@@ -4,12 +4,15 @@ Every word belongs to a class; a text's probability is the product of class-tran
 from a start mark to an end mark. The most frequent words are items of their own, all others share the item of their
 ending (the last three bytes; rare endings share one item), so the class of any word, unknown ones too, is known from the
 word alone. The exchange algorithm moves items between classes while the likelihood of the training bigrams rises; it
-works on item bigrams, a table whose size is bounded by the number of items. Counts of words, endings and bigrams cover
-all training texts.
+works on item bigrams, a table whose size is bounded by the number of items. From there, passes over all training texts
+give every other word a class of its own: Spark counts the classes of each word's neighbours, and all words choose at once
+the class by which the likelihood gains most against the class bigrams as they stand; a pass that lowers the likelihood is
+undone. Only class bigrams reach the driver. Words that training lacks have the class of their ending. Counts of words,
+endings and bigrams cover all training texts.
 
 A class emits its words by add-one counts, with one place for words that training lacks if it holds endings, so
-probabilities sum to one. Words are known by 64-bit hashes of their lower-cased bytes. The most frequent words' counts go
-to every task (a table of at most `head` rows); counts of all others come by a join on the word.
+probabilities sum to one. Words are known by 64-bit hashes of their lower-cased bytes. The most frequent words' counts and
+classes go to every task (a table of at most `head` rows); those of all others come by a join on the word.
 
 Defined cases: null and empty texts are the end token alone; rows with a null doc_id train and are not held out; rows that
 repeat count, and are returned, one by one; without training texts all counts are 0; an empty table gives an empty result.
@@ -29,6 +32,9 @@ from .words import mixed, text_slices, word_spans
 CHUNK = 2_000_000
 START, END, FIRST = 0, 1, 2  # items
 END_WORD = int(mixed(np.array([0]), 99)[0].view(np.int64))
+#: What stands for all words of a class whose own counts are not needed; the first is the start mark.
+CLASS_WORDS = mixed(np.arange(256), 98).view(np.int64)
+START_WORD = int(CLASS_WORDS[START])
 
 
 def endings(start: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -200,6 +206,111 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     return own
 
 
+def neighbour_counts(texts: DataFrame, state: DataFrame, head: Lookup, fixed: np.ndarray, classes: int, sides: int = 2) -> DataFrame:
+    """word, slot, n: how often a neighbour of each class stands to the right (slot: the class) and, of two sides, to the left (slot: classes more) of each word.
+
+    state: word, class of all training words and the class words; head: classes of the most frequent ones, which spare their joins.
+    Words in fixed, or with one side all of head, only add to class bigrams: their class's word stands for them, on the right side alone.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((head, np.sort(fixed)))
+    names = ["word", "other", "slot", "open"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, (known, still) = [], 0, shared.value
+
+        def flush():
+            rows = pa.table([np.concatenate(x) for x in zip(*held, strict=True)], names=names)
+            rows = rows.append_column("n", pa.array(np.ones(len(rows), np.int64))).group_by(names, use_threads=False).aggregate([("n", "sum")])
+            return rows.rename_columns([*names, "n"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            for low, high, data, offsets in text_slices(batch.column(0)):
+                row, _, _, hashed, _ = word_spans(data, offsets)
+                word = np.concatenate([[START_WORD, END_WORD], hashed.view(np.int64)])
+                of = known.get(word, -1)
+                fold = (of >= 0) & ((still[np.minimum(np.searchsorted(still, word), len(still) - 1)] == word) if sides == 2 else True)
+                name = np.where(fold, CLASS_WORDS[of], word)
+                ends = sequence(row, np.arange(FIRST, len(word)), high - low)
+                for side in range(sides):
+                    at, by = ends[side], ends[1 - side]
+                    if side:
+                        at, by = at[~fold[at]], by[~fold[at]]
+                    open_ = of[by] < 0
+                    # where the class is known, the row is joined by its own word, which changes nothing and spreads it
+                    held.append((name[at], np.where(open_, word[by], name[at]), side * classes + np.where(open_, 0, of[by]), open_))
+                    size += len(at)
+                if size >= CHUNK:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    rows = texts.select("text").mapInArrow(count, "word long, other long, slot long, open boolean, n long")
+    joined = rows.join(state.select(F.col("word").alias("other"), "class"), "other")
+    slot = F.col("slot") + F.when(F.col("open"), F.col("class")).otherwise(0)
+    return joined.groupBy("word", slot.cast("int").alias("slot")).agg(F.sum("n").alias("n"))
+
+
+def class_bigrams(neighbours: DataFrame, state: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class bigrams, from the neighbours to the right."""
+    table = np.zeros((classes, classes))
+    right = neighbours.where(F.col("slot") < classes).join(state.select("word", "class"), "word")
+    for r in right.groupBy("class", "slot").agg(F.sum("n").alias("n")).collect():
+        table[r["class"], r["slot"]] = r["n"]
+    return table
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of class bigrams, but for what does not depend on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(word: np.ndarray, own: np.ndarray, slot: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each word's first row, class by which the likelihood gains most); rows of one word stand together. own: the class it has now."""
+    classes = len(table)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+    now, n = own[first], n.astype(np.float64)
+
+    def gains(x: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """x: of each row the counts by class; without the word, those of its own class are less by n."""
+        x = x.copy()
+        at = np.arange(len(x)), own
+        x[at] = np.maximum(x[at] - n, 0)
+        return _xlogx(x + n[:, None]) - _xlogx(x)
+
+    gain = np.zeros((len(first), classes))
+    for low in range(0, len(word), 20_000):
+        part = slice(low, low + 20_000)
+        by_class = np.concatenate([table.T, table])[slot[part]]  # to the right: counts before that class; to the left: counts behind it
+        np.add.at(gain, which[part], gains(by_class, n[part], own[part]))
+    for margin, on in ((table.sum(1), slot < classes), (table.sum(0), slot >= classes)):
+        total = np.bincount(which[on], n[on], len(first))
+        gain -= gains(np.broadcast_to(margin, gain.shape), total, now)
+    gain[:, :FIRST] = -np.inf
+    best = gain.argmax(1)
+    at = np.arange(len(first))
+    return first, np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
+
+
+def chosen_classes(neighbours: DataFrame, state: DataFrame, table: np.ndarray) -> DataFrame:
+    """state, in which each word that is no item has the best class by its neighbours."""
+    shared = state.sparkSession.sparkContext.broadcast(table)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1).flatten()
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            word, own = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 2))
+            first, best = best_classes(word, own, rows.field(0).to_numpy(), rows.field(1).to_numpy(), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(best.astype(np.int32))], names=["word", "best"])
+
+    # at most two rows a class for each word
+    grouped = neighbours.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("rows"))
+    best = grouped.join(state.where("NOT fixed").select("word", "class"), "word").mapInArrow(choose, "word long, best int")
+    return state.join(best, "word", "left").select("word", "n", "fixed", F.coalesce("best", "class").alias("class"))
+
+
 @dataclass
 class Model:
     items: Items
@@ -207,13 +318,14 @@ class Model:
     transition: np.ndarray  # log10 by class
     emission: np.ndarray  # log10 of each class's divisor
     head: Lookup  # counts of the most frequent words
+    head_classes: Lookup
     ends: int  # training texts
     base: float  # log10 of the unigram divisor
     tokens: int
 
 
-def fit(train: DataFrame, ws: Workspace, words: int = 512, ends: int = 384, classes: int = 40, head: int = 200_000, back_off: float = 5.0) -> tuple[Model, DataFrame]:
-    """The model, and the table word, n of all training words."""
+def fit(train: DataFrame, ws: Workspace, words: int = 768, ends: int = 480, classes: int = 40, head: int = 250_000, back_off: float = 5.0, passes: int = 2) -> tuple[Model, DataFrame]:
+    """The model, and the table word, n, class of all training words."""
     spark = train.sparkSession
     vocabulary = ws.save(word_counts(train), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -228,26 +340,47 @@ def fit(train: DataFrame, ws: Workspace, words: int = 512, ends: int = 384, clas
     items = Items(Lookup.of(own, FIRST + np.arange(len(own))), Lookup.of(common, FIRST + len(own) + np.arange(len(common))), size)
     bigrams = item_bigrams(train, items)
     of_item = exchange(bigrams, classes)
-    member = np.zeros((size, classes))
-    member[np.arange(size), of_item] = 1
-    table = member.T @ bigrams @ member
+    end_rows = spark.createDataFrame([(int(e), FIRST + len(own) + i) for i, e in enumerate(common)], "ending long, end_item int")
+    class_rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of_item)], "item int, class int")
+    # tables of at most `words`, `ends` and their sum of rows
+    numbered = vocabulary.join(F.broadcast(item_rows), "word", "left").join(F.broadcast(end_rows), "ending", "left")
+    fixed = F.col("item").isNotNull()
+    numbered = numbered.select("word", "n", fixed.alias("fixed"), F.coalesce("item", "end_item", F.lit(size - 1)).alias("item")).join(F.broadcast(class_rows), "item")
+    class_words = spark.createDataFrame([(int(CLASS_WORDS[c]), 0, True, c) for c in range(classes)], "word long, n long, fixed boolean, class int")
+    state = ws.save(numbered.select("word", "n", "fixed", "class").unionByName(class_words), "classes-0")
+    still = np.append(own, [START_WORD, END_WORD])
+    least = int(top["n"].min()) if len(top) else None
+
+    def head_classes(state: DataFrame) -> Lookup:
+        rows = (state.where((F.col("n") >= least) | (F.col("n") == 0)) if least is not None else state.limit(0)).select("word", "class").toPandas()
+        return Lookup.of(rows["word"], rows["class"].to_numpy(np.int64))
+
+    table, before = None, None
+    for k in range(passes + 1):
+        of_head = head_classes(state)
+        neighbours = ws.save(neighbour_counts(train, state, of_head, still, classes, 2 if k < passes else 1), f"neighbours-{k}")
+        now = class_bigrams(neighbours, state, classes)
+        if table is not None and likelihood(now) < likelihood(table):
+            state, of_head = before
+            break
+        table, before = now, (state, of_head)
+        if k < passes:
+            state = ws.save(chosen_classes(neighbours, state, table), f"classes-{k + 1}")
+        ws.drop(f"neighbours-{k}")
+        spark.sparkContext._jvm.System.gc()  # else the shuffle files of every pass stay
     overall = table.sum(0) + 1
     overall[START] = 0
     overall /= overall.sum()
     with np.errstate(divide="ignore"):
         transition = np.log10((table + back_off * overall) / (table.sum(1, keepdims=True) + back_off))
-    end_rows = spark.createDataFrame([(int(e), FIRST + len(own) + i) for i, e in enumerate(common)], "ending long, end_item int")
-    class_rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of_item)], "item int, class int")
-    # tables of at most `words`, `ends` and their sum of rows
-    numbered = vocabulary.join(F.broadcast(item_rows), "word", "left").join(F.broadcast(end_rows), "ending", "left")
-    numbered = numbered.select("n", F.coalesce("item", "end_item", F.lit(size - 1)).alias("item")).join(F.broadcast(class_rows), "item")
     divisor = np.zeros(classes)
-    for r in numbered.groupBy("class").agg((F.sum("n") + F.count("*")).alias("d")).collect():
+    for r in state.where(F.col("n") > 0).groupBy("class").agg((F.sum("n") + F.count("*")).alias("d")).collect():
         divisor[r["class"]] = r["d"]
     divisor[np.unique(of_item[FIRST + len(own) :])] += 1  # the place of unknown words
     divisor[END] = 0
     known = Lookup.of(top["word"], top["n"].to_numpy(np.int64))
-    return Model(items, of_item, transition, np.log10(np.maximum(divisor, 1)), known, documents, float(np.log10(n + v + 1)), int(n)), vocabulary.select("word", "n")
+    model = Model(items, of_item, transition, np.log10(np.maximum(divisor, 1)), known, of_head, documents, float(np.log10(n + v + 1)), int(n))
+    return model, state.where(F.col("n") > 0).select("word", "n", "class")
 
 
 def scores(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
@@ -262,41 +395,63 @@ def scores(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
                 rows = high - low
                 row, start, length, hashed, data = word_spans(data, offsets)
                 word = hashed.view(np.int64)
-                left, right = sequence(row, m.items.of(word, endings(start, length, data)), rows)
-                left, right = m.classes[left], m.classes[right]
-                each = m.transition[left, right] - m.emission[right]
-                place = np.concatenate([row, np.arange(rows)])
                 count = m.head.get(word, 0)
                 head = count > 0
                 counted = np.bincount(row, np.log10(count + 1), rows)
                 tokens = np.bincount(row, minlength=rows) + 1
                 known = np.bincount(row, head, rows).astype(np.int64) + (m.ends > 0)
                 base = counted + np.log10(m.ends + 1) - tokens * m.base
-                total = counted + np.bincount(place, each, rows)
-                # one row a document, and one for each of its words that is not in the head
+                # one row a document with the classes of its words, and one for each of its words that is not in the head, with the class of its ending
+                own = np.where(head, m.head_classes.get(word, 0), m.classes[m.items.of(word, endings(start, length, data))])
+                first = np.concatenate([[0], np.cumsum(tokens - 1)])
+                line = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(own.astype(np.uint8))])
                 tail_row, tail_word = row[~head], word[~head]
                 t = len(tail_row)
                 zero, none = np.zeros(t, np.int64), np.zeros(t)
                 at = pa.array(np.concatenate([np.arange(rows), tail_row]) + low)
                 key = batch.column(1).take(at)
-                columns = [np.concatenate(x) for x in ((batch.column(1).to_numpy()[low:high], tail_word), (np.ones(rows, np.int64), zero), (tokens, zero), (known, zero), (base, none), (total, none))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), key, *map(pa.array, columns)], names=["doc_id", "key", "word", "copies", "n_tokens", "n_known", "base", "total"])
+                columns = [np.concatenate(x) for x in ((batch.column(1).to_numpy()[low:high], tail_word), (np.ones(rows, np.int64), zero), (tokens, zero), (known, zero), (base, none), (counted, none))]
+                place = np.concatenate([np.zeros(rows, np.int32), (np.flatnonzero(~head) - first[tail_row]).astype(np.int32)])
+                ending = np.concatenate([np.zeros(rows, np.int32), own[~head].astype(np.int32)])
+                lines = pa.concat_arrays([line, pa.nulls(t, pa.binary())])
+                names = ["doc_id", "key", "word", "copies", "n_tokens", "n_known", "base", "total", "place", "ending", "line"]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), key, *map(pa.array, columns), pa.array(place), pa.array(ending), lines], names=names)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds to each document's score the bigrams of its classes."""
+        m = shared.value
+        for batch in batches:
+            line, tails = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            sizes = np.array([len(x) for x in line.to_pylist()], np.int64)
+            own = np.frombuffer(b"".join(line.to_pylist()), np.uint8).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            rows = tails.flatten()
+            own[np.repeat(first, np.diff(tails.offsets.to_numpy())) + rows.field(0).to_numpy()] = rows.field(1).to_numpy()
+            left, right = sequence(np.repeat(np.arange(len(sizes)), sizes), own, len(sizes))
+            place = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes))])
+            more = np.bincount(place, m.transition[left, right] - m.emission[right], len(sizes))
+            columns = [batch.column(i) for i in range(batch.num_columns - 3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(batch.column(batch.num_columns - 3).to_numpy() + more)], names=["doc_id", "copies", "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
-    parts = rows.mapInArrow(score, f"doc_id {kind}, key long, word long, copies long, n_tokens long, n_known long, base double, total double")
+    parts = rows.mapInArrow(score, f"doc_id {kind}, key long, word long, copies long, n_tokens long, n_known long, base double, total double, place int, ending int, line binary")
     joined = parts.join(vocabulary, "word", "left")
     tail = F.when((F.col("copies") == 0) & F.col("n").isNotNull(), F.col("n"))
     more = F.log10(F.coalesce(tail, F.lit(0)) + 1)
+    is_tail = F.col("copies") == 0
     sums = joined.groupBy("doc_id", "key").agg(
         F.sum("copies").alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + tail.isNotNull().cast("long")).alias("n_known"),
         F.sum(F.col("base") + more).alias("base_score"),
         F.sum(F.col("total") + more).alias("score"),
+        F.first("line", ignorenulls=True).alias("line"),
+        F.collect_list(F.when(is_tail, F.struct("place", F.coalesce("class", "ending").alias("class")))).alias("tails"),
     )
-    # rows with the same id and text were summed together
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    # rows with the same id and text were summed together; their words, at the same places, have the same classes
+    each = [(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))]
+    found = sums.select("doc_id", "copies", *each, "line", "tails").mapInArrow(follow, f"doc_id {kind}, copies long, n_tokens long, n_known long, base_score double, score double")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, kept_out: int = 2) -> DataFrame:

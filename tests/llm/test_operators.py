@@ -6,11 +6,15 @@ from collections import Counter
 from math import log10
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import fingerprint, jaccard, mixing, packing, quality, scoring, tokens, topk, toxicity, warc
+from lexloom.llm.common import Workspace
 from lexloom.llm.queries import _tokenizer
+from lexloom.llm.words import text_slices, word_spans
 
 SF = "/root/testdata/sf0.001"
 BASE = "the quick brown fox jumps over the lazy dog and runs away from the farm while it rains all day long in the green hills of home"
@@ -156,6 +160,31 @@ def test_scoring(docs):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_scoring_classes(spark):
+    """Rare words of one ending stand in two contexts: each has the class of its own neighbours; scores follow from the classes, of words outside the head too."""
+    nouns, verbs = ([a + b + "ing" for b in "bcdfghklmn"] for a in ("no", "ve"))
+    texts = [f"the {n} was {v} then" for n in nouns for v in verbs] + ["the noun was verb then"] * 300 + ["the", "was then", ""]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, vocabulary = scoring.fit(train, Workspace(spark, "test"), words=5, ends=4, classes=8, head=6)
+    word = lambda w: int(word_spans(*next(text_slices(pa.array([w])))[2:])[3].view("int64")[0])
+    rows = {r["word"]: r for r in vocabulary.collect()}
+    assert len(rows) == 26 and sum(r["n"] for r in rows.values()) == sum(len(t.split()) + 1 for t in texts)
+    classes = [{rows[word(w)]["class"] for w in kind} for kind in (nouns, verbs)]
+    assert [len(c) for c in classes] == [1, 1] and classes[0] != classes[1]
+    docs = [(1, "the nobing was vecing then"), (2, "vecing the unseen noding"), (3, ""), (3, ""), (4, None)]
+    got = scoring.scores(spark.createDataFrame(docs, "doc_id long, text string"), model, vocabulary).collect()
+    want = []
+    for i, text in docs:
+        total, left = 0.0, scoring.START
+        for w in (text or "").split():
+            unknown = model.classes[model.items.ends.get(scoring.endings(np.array([0]), np.array([len(w)]), np.frombuffer(w.encode(), np.uint8)), model.items.size - 1)][0]
+            of, n = (rows[word(w)]["class"], rows[word(w)]["n"]) if word(w) in rows else (unknown, 0)
+            total += model.transition[left, of] - model.emission[of] + log10(n + 1)
+            left = of
+        want.append((i, pytest.approx(total + model.transition[left, scoring.END])))
+    assert sorted((r["doc_id"], r["score"]) for r in got) == want
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
