@@ -54,6 +54,18 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (i <= 1) | ((i == 2) & (F.length(a) == F.length(b)) & (F.length(a) > 1) & swapped)
 
 
+def one_edit_pairs(values: DataFrame) -> DataFrame:
+    """first, second: pairs (first < second) of distinct values that are within one edit. values: value.
+
+    Such values share a key among the value itself and the value with one character removed; two swapped neighbours too.
+    """
+    n = F.length("value")
+    dropped = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr("value", F.lit(1), i - 1), F.substr("value", i + 1, n)))).otherwise(F.array().cast("array<string>"))
+    keys = values.select("value").where("value IS NOT NULL").distinct().select("value", F.explode(F.array_distinct(F.concat(F.array("value"), dropped))).alias("key"))
+    met = keys.withColumnRenamed("value", "first").join(keys.withColumnRenamed("value", "second"), "key").where("first < second").dropDuplicates(["first", "second"])
+    return met.where(within_one_edit(F.col("first"), F.col("second"))).select("first", "second")
+
+
 #: Roman numerals that count as ordinals.
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx"]
 

@@ -39,6 +39,11 @@ def h17(spark, sf_dir):
     return a.join(b, "head").where("first < second").where(names.within_one_edit(F.col("first"), F.col("second"))).select("first", "second")
 
 
+@query("h17_one_edit_pairs", "WITH v AS (SELECT DISTINCT value FROM {entities}) SELECT a.value AS first, b.value AS second FROM v a JOIN v b ON a.value < b.value AND abs(length(a.value) - length(b.value)) <= 1 WHERE damerau_levenshtein(a.value, b.value) <= 1")
+def h17_pairs(spark, sf_dir):
+    return names.one_edit_pairs(frame(spark, sf_dir, "entities"))
+
+
 @query("h24_text_quality")
 def h24(spark, sf_dir):
     return frame(spark, sf_dir, "docs").select("id", text.text_quality(F.col("text")).alias("quality"), text.unidentifiable(F.col("text")).alias("unidentifiable"))
