@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, most_frequent, text_or_empty
-from .components import components
+from ..stars import components
 from .words import mixed, runs, shingle_sets, weighed_shingle_sets
 
 #: Similarity as a fraction of whole numbers: two sets link when NEAR[1] * intersection >= NEAR[0] * union.

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stars import components
+from ..workspace import Workspace
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """a, b for each edge in each direction."""
@@ -45,11 +48,6 @@ def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 4) -> Dat
     return found.where(F.size("path") > 1).orderBy(F.size("path"), "path").limit(1)
 
 
-def label_components(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, label: the least id reachable over links (src, dst) in at most `rounds` steps."""
-    steps = both_ways(links)
-    labels = steps.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(rounds):
-        heard = steps.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        labels = labels.join(heard, "id").select("id", F.least("label", "heard").alias("label"))
-    return labels
+def label_components(links: DataFrame) -> DataFrame:
+    """id, label: the least id reachable over links (src, dst), in any number of steps."""
+    return components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")), Workspace(links.sparkSession, "components")).withColumnRenamed("node", "id")

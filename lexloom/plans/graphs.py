@@ -35,7 +35,7 @@ def g12(spark, sf_dir):
     supplier = frame(spark, sf_dir, "supplier")
     top = supplier.agg(F.max("s_suppkey").alias("top"))
     links = supplier.join(F.broadcast(top)).where("s_suppkey + 25 <= top").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 25).alias("dst"))
-    return label_components(links, rounds=6)
+    return label_components(links)
 
 
 sql("k14_entity_profile", "SELECT src, slice(sort_array(collect_list(concat(predicate, ' ', dst))), 1, 5) AS neighbours FROM {edges} GROUP BY src", "SELECT src, list_sort(list(concat(predicate, ' ', dst)))[1:5] AS neighbours FROM {edges} GROUP BY src")

@@ -6,7 +6,7 @@ No step gathers a node's links: it takes their minimum and joins it back, so a n
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .workspace import Workspace
 
 
 def components(links: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFrame:
