@@ -41,7 +41,7 @@ DEFINITIONS: dict[str, tuple[str, str | None]] = {
     ),
     "links": (
         """SELECT document_id, category, CAST(row_number() OVER (PARTITION BY document_id ORDER BY n DESC, category) - 1 AS INT) AS rank
-           FROM (SELECT user_id AS document_id, event_type AS category, count(*) AS n FROM {events} WHERE event_id % 3 = 0 GROUP BY ALL)""",
+           FROM (SELECT user_id AS document_id, event_type AS category, count(*) AS n FROM {events} GROUP BY ALL)""",
         None,
     ),
     "nodes": (
