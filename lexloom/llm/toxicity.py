@@ -7,7 +7,7 @@ its document's label, then keeps, of toxic documents, only the windows that the
 A document's score is that of its most toxic window, set to probabilities by a logistic fit on a part kept from training.
 
 Training reads a bounded sample of labelled rows: at most `toxic_rows` and `clean_rows` documents, first by a hash of their
-ids, and at most `windows` windows of each, also by hash. Scoring covers whole texts: with embeddings and softmax multiplied
+ids, with their whole texts, so that the logistic fit sees the same maximum as a score. Scoring covers whole texts too: with embeddings and softmax multiplied
 out, each bucket adds one number to its window, so the model that goes to the tasks has one number a bucket.
 
 Defined cases: null, empty and word-less texts get the score of an empty bag (the logistic fit's value for the softmax bias);
@@ -250,7 +250,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, size: int = 4, epoc
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, windows: int) -> tuple[list[str], np.ndarray, float]:
+def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int) -> tuple[list[str], np.ndarray, float]:
     """(texts, toxic, share of toxic labels) of a bounded sample of labelled documents. labels: doc_id, toxic."""
     good = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND _id IS NOT NULL")
     share = good.agg(F.avg("toxic")).first()[0]
@@ -261,20 +261,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_row
     # bounded by toxic_rows + clean_rows
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text in batch.column(0).to_pylist():
-                words = "".join(c if c.isalnum() or c > "\x7f" else " " for c in text).split() if len(text) > windows * WINDOW else text.split()
-                parts = [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)]
-                if len(parts) > windows:
-                    picked = np.sort(np.random.default_rng(len(words)).choice(len(parts), windows, replace=False))
-                    parts = [parts[i] for i in picked]
-                    text = " ".join(w for part in parts for w in part)
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1), batch.column(2)], names=["text", "toxic", "_id"])
-
-    found = rows.select("text", "toxic", "_id").mapInArrow(cut, "text string, toxic int, _id long").toPandas()
+    found = rows.select("text", "toxic", "_id").toPandas()
     found = found.sort_values(["_id", "text"], kind="stable")
     return found["text"].tolist(), found["toxic"].to_numpy() == 1, float(share)
 
@@ -305,9 +292,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     return docs.mapInArrow(kept, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows: int = 2500, windows: int = 32) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows: int = 2500) -> Model:
     """A model from the labels (doc_id, toxic) of docs."""
-    texts, toxic, share = training_rows(docs, labels, toxic_rows, clean_rows, windows)
+    texts, toxic, share = training_rows(docs, labels, toxic_rows, clean_rows)
     if not toxic.any() or toxic.all():
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))), 1.0, 0.0)
