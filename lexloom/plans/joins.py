@@ -9,7 +9,7 @@ from .registry import query, sql
 
 sql("c1_documents_of_entity", "SELECT d.id, d.title FROM {docs} d LEFT SEMI JOIN (SELECT document_id FROM {entities} WHERE entity_type = 'ORG' AND contains(value, 'tion')) e ON d.id = e.document_id ORDER BY d.id DESC LIMIT 50", "SELECT id, title FROM {docs} WHERE id IN (SELECT document_id FROM {entities} WHERE entity_type = 'ORG' AND contains(value, 'tion')) ORDER BY id DESC LIMIT 50")
 sql("c2_documents_of_category", "SELECT d.id, l.rank FROM {docs} d JOIN {links} l ON d.id = l.document_id WHERE l.category = 'click'")
-sql("c3_mentions", "SELECT id, count(*) OVER () AS total, count(*) OVER () > 10000 AS truncated FROM (SELECT DISTINCT document_id AS id FROM {entities} WHERE contains(value, 'blea')) ORDER BY id LIMIT 10000")
+sql("c3_mentions", "WITH m AS (SELECT DISTINCT document_id AS id FROM {entities} WHERE contains(value, 'blea')) SELECT id, (SELECT count(*) FROM m) AS total, (SELECT count(*) FROM m) > 10000 AS truncated FROM m ORDER BY id LIMIT 10000", "SELECT id, count(*) OVER () AS total, count(*) OVER () > 10000 AS truncated FROM (SELECT DISTINCT document_id AS id FROM {entities} WHERE contains(value, 'blea')) ORDER BY id LIMIT 10000")
 sql("c5_backfill", "SELECT d.id AS document_id, f.feature FROM {docs} d CROSS JOIN (SELECT DISTINCT feature FROM {ledger}) f LEFT ANTI JOIN {ledger} l ON l.document_id = d.id AND l.feature = f.feature WHERE d.status = 'active'", "SELECT id AS document_id, feature FROM {docs} CROSS JOIN (SELECT DISTINCT feature FROM {ledger}) f WHERE status = 'active' AND NOT EXISTS (SELECT 1 FROM {ledger} WHERE ledger.document_id = id AND ledger.feature = f.feature)")
 sql("c6_orphan_prune", "SELECT n.id FROM {nodes} n LEFT ANTI JOIN (SELECT src AS id FROM {edges} WHERE predicate = 'CUSTOMER_OF' UNION SELECT dst FROM {edges} WHERE predicate = 'CUSTOMER_OF') e ON n.id = e.id", "SELECT id FROM {nodes} WHERE id NOT IN (SELECT src FROM {edges} WHERE predicate = 'CUSTOMER_OF' UNION SELECT dst FROM {edges} WHERE predicate = 'CUSTOMER_OF')")
 sql("c8_vocabulary_counts", "SELECT v.category, count(l.document_id) AS documents FROM (SELECT DISTINCT event_type AS category FROM {events} UNION SELECT 'unused') v LEFT JOIN {links} l ON v.category = l.category GROUP BY v.category")
