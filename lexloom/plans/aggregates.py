@@ -10,7 +10,7 @@ sql("d4_type_counts", "SELECT record_type, count(*) AS n FROM {records} GROUP BY
 sql("d5_top_merchants", "SELECT merchant, currency, count(*) AS n, CAST(sum(amount_minor) AS BIGINT) AS total_minor FROM {records} GROUP BY merchant, currency ORDER BY n DESC, merchant, currency NULLS LAST LIMIT 5")
 sql("d6_entity_facets", "SELECT entity_type, value, count(DISTINCT document_id) AS documents, CAST(sum(frequency) AS BIGINT) AS occurrences FROM {entities} GROUP BY entity_type, value ORDER BY occurrences DESC, value, entity_type LIMIT 100")
 sql("d7_facet_suggest", "WITH e AS (SELECT document_id, value FROM {entities}), s AS (SELECT value AS picked FROM e GROUP BY value ORDER BY count(*) DESC, value LIMIT 1) SELECT e.value, count(DISTINCT e.document_id) AS documents FROM e JOIN (SELECT document_id FROM e JOIN s ON e.value = s.picked) d ON e.document_id = d.document_id WHERE e.value NOT IN (SELECT picked FROM s) AND e.value LIKE 't%' GROUP BY e.value")
-sql("d8_counts_by_document", "SELECT document_id, count(*) AS n FROM {entities} WHERE document_id < 100 GROUP BY document_id")
+sql("d8_counts_by_document", "SELECT document_id, count(*) AS n FROM {entities} GROUP BY document_id")
 sql("d9_corpus_stats", "SELECT count(DISTINCT entity_type, value) AS entities, count(DISTINCT document_id) AS documents, count(*) AS mentions FROM {entities}", "SELECT count(DISTINCT (entity_type, value)) AS entities, count(DISTINCT document_id) AS documents, count(*) AS mentions FROM {entities}")
 sql("d9_status_histogram", "SELECT status, count(*) AS n, count(DISTINCT document_id) AS documents FROM {ledger} GROUP BY status")
 sql("d10_fingerprint", "SELECT concat('chunks=', CAST(count(*) AS STRING), ';latest=', CAST(max(document_id) AS STRING)) AS token FROM {chunks}", "SELECT concat('chunks=', CAST(count(*) AS VARCHAR), ';latest=', CAST(max(document_id) AS VARCHAR)) AS token FROM {chunks}")
