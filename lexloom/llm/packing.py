@@ -11,7 +11,7 @@ Defined cases: null and empty texts are one piece, the end id alone; a text of a
 rows that repeat are packed one by one (they may swap places); an empty table gives an empty result.
 """
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,44 +23,57 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, text_or_empty
 
-#: Beside such places, spaces are not where the byte-level tokenizer always starts a new pre-token.
-UNEVEN = re.compile(r"\s | \s|^ | $")
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: How a byte-level tokenizer parts a text before it joins bytes (fixed values: the published pattern, and the bytes that stand for themselves).
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def written_bytes() -> dict[str, int]:
+    """The byte of each character of a byte-level vocabulary: printable ones are themselves, the others count on from 256."""
+    others = [b for b in range(256) if b not in set(PLAIN)]
+    return {chr(b): b for b in PLAIN} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def ranked_encoding(tokenizer_file: str):
+    """The same encoding by tiktoken, or None where the file is more than ranks of byte strings: other merges, other pre-tokens, a normalizer."""
+    import tiktoken
+
+    with open(tokenizer_file, encoding="utf-8") as f:
+        file = json.load(f)
+    model, parts, added = file["model"], file["pre_tokenizer"] or {}, file["added_tokens"]
+    if model.get("type", "BPE") != "BPE" or file["normalizer"] or parts.get("type") != "ByteLevel" or parts.get("add_prefix_space") or not parts.get("use_regex", True):
+        return None
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added):
+        return None
+    special = {x["content"]: x["id"] for x in added}
+    vocab = {w: i for w, i in model["vocab"].items() if w not in special}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [vocab.get(w) for w in merged] != list(range(256, 256 + len(merged))) or len(vocab) != 256 + len(merged):
+        return None  # ids are no ranks
+    value = written_bytes()
+    ranks = {bytes(value[c] for c in w): i for w, i in vocab.items()}
+    return tiktoken.Encoding(tokenizer_file, pat_str=PARTS, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Encoder:
-    """Ids of texts, as little-endian uint32 bytes, by a byte-level BPE file of the tokenizers library.
+    """Ids of texts, as little-endian uint32 bytes, by a file of the tokenizers library; strings of added tokens in a text are those tokens.
 
-    Such a tokenizer never joins ids across a single space between two other characters, so a text is encoded word by
-    word, and each Python worker keeps the ids of words in a bounded table.
+    A byte-level BPE file whose ids rise with its merges is read as ranks for tiktoken, which gives the same ids in a
+    quarter of the time; other files go to the tokenizers library itself.
     """
 
-    def __init__(self, tokenizer_file: str, most_kept: int = 400_000):
+    def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {}
-        self.most_kept = most_kept
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.fast = ranked_encoding(tokenizer_file)
+        self.plain = None if self.fast else Tokenizer.from_file(tokenizer_file)
 
     def ids(self, text: str) -> bytes:
-        parts = CUT.split(text) if UNEVEN.search(text) else text.split(" ")
-        first, rest = self._encode([parts[0]])[0], parts[1:]
-        kept = self.kept
-        try:
-            return first + b"".join(map(kept.__getitem__, rest))
-        except KeyError:
-            pass
-        if len(kept) >= self.most_kept:
-            kept.clear()
-        missing = list({x for x in rest if x not in kept})
-        fresh = dict(zip(missing, self._encode([" " + x for x in missing]), strict=True))
-        found = first + b"".join([kept[x] if x in kept else fresh[x] for x in rest])
-        kept.update((x, y) for x, y in fresh.items() if len(x) <= 64)
-        return found
+        if self.fast:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
