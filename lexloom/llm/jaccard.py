@@ -193,63 +193,82 @@ def led(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lists, "leader long, node long").distinct()
 
 
-def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int) -> list[tuple[int, int]]:
-    """Links that join all similar sets of a leader's group; sets[leader] leads."""
+def united(parent: np.ndarray, places: np.ndarray) -> None:
+    """Join the components of some places, in place; parent: of each place one at or before it, a root's its own."""
+    roots = parent[places]
+    while (roots != parent[roots]).any():
+        roots = parent[roots]
+    parent[places] = parent[roots] = roots.min()
+
+
+def roots_of(parent: np.ndarray) -> np.ndarray:
+    while (parent != parent[parent]).any():
+        parent[:] = parent[parent]
+    return parent
+
+
+def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int, tile: int = 256, width: int = 512) -> list[tuple[int, int]]:
+    """Links that join all similar sets of a leader's group; sets[leader] leads.
+
+    Sets that the leader does not answer are compared with the others a tile of rows at a time, so memory grows with the
+    group's elements and with tile times its sets only.
+    """
     g = len(sets)
-    n = np.array([len(x) for x in sets])
+    n = np.array([len(x) for x in sets], np.int32)
     own = sets[leader]
-    values, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
-    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    values, offsets = np.concatenate(sets), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1).astype(np.int32)
     inside = own[at] == values
-    overlap = np.add.reduceat(inside.astype(np.int64), offsets[:-1])
+    overlap = np.add.reduceat(inside.astype(np.int32), offsets[:-1])
     linked = NEAR[1] * overlap >= NEAR[0] * (n + len(own) - overlap)
-    label = np.where(linked, leader, np.arange(g))
+    parent = np.where(linked, leader, np.arange(g))
+    if linked[:leader].any():  # parents stand at or before their places
+        parent[linked] = np.flatnonzero(linked)[0]
+        parent[leader] = parent[linked][0]
     rest = np.flatnonzero(~linked)
     if len(rest) and g > 2:
-        need = needed(n[rest][:, None], n[None, :])
-        sized = NEAR[1] * np.minimum(n[rest][:, None], n[None, :]) >= NEAR[0] * np.maximum(n[rest][:, None], n[None, :])
+        # columns: the part within the leader, then what sets share outside it (elements of one set alone count nowhere)
+        outer = np.flatnonzero(~inside)
+        fresh, code, times = np.unique(values[outer], return_inverse=True, return_counts=True)
+        often = np.where(times > 1, np.cumsum(times > 1) - 1 + len(own), -1).astype(np.int32)
+        at[outer] = often[code.ravel()]
+        columns, row = at, np.repeat(np.arange(g, dtype=np.int32), n)
+        del values, inside, outer, fresh, code, times, often
+        keep = columns >= 0
+        order = np.argsort(columns[keep], kind="stable")
+        columns, row = columns[keep][order], row[keep][order]
+        del keep, order
         outside = n - overlap
-        bound = np.minimum(overlap[rest][:, None], overlap[None, :]) + np.minimum(outside[rest][:, None], outside[None, :])
-        open_ = sized & (bound >= need)
-        open_[np.arange(len(rest)), rest] = False
-        open_[:, leader] = False  # answered
-        r, c = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-        if len(r):
+        for low in range(0, len(rest), tile):
+            x = rest[low : low + tile]
+            small, large = np.minimum(n[x][:, None], n), np.maximum(n[x][:, None], n)
+            open_ = NEAR[1] * small >= NEAR[0] * large
+            open_ &= np.minimum(overlap[x][:, None], overlap) + np.minimum(outside[x][:, None], outside) >= needed(n[x][:, None], n)
+            open_ &= parent[x][:, None] != roots_of(parent)  # what is joined already needs no answer
+            open_[:, leader] = False  # answered
+            r, c = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(r):
+                continue
+            at_r, at_c = np.full(g, -1, np.int32), np.full(g, -1, np.int32)
+            at_r[x[r]], at_c[c] = np.arange(len(r)), np.arange(len(c))
             both = np.zeros((len(r), len(c)), np.float32)
-            row = np.repeat(np.arange(g), n)
-            # the part within the leader, then what Y and Z share outside it (elements of one set alone count nowhere)
-            fresh, code, times = np.unique(values[~inside], return_inverse=True, return_counts=True)
-            often = np.cumsum(times > 1) - 1
-            keep = times[code.ravel()] > 1
-            parts = [(row[inside], at[inside], len(own)), (row[~inside][keep], often[code.ravel()[keep]], int((times > 1).sum()))]
-            for rows, columns, width in parts:
-                order = np.argsort(columns, kind="stable")
-                rows, columns = rows[order], columns[order]
-                for low in range(0, width, 2048):
-                    a, b = np.searchsorted(columns, [low, low + 2048])
-                    if a == b:
-                        continue
-                    dense = np.zeros((g, min(2048, width - low)), np.float32)
-                    dense[rows[a:b], columns[a:b] - low] = 1
-                    both += dense[rest[r]] @ dense[c].T
-            both = np.rint(both).astype(np.int64)
-            hit = open_[np.ix_(r, c)] & (NEAR[1] * both >= NEAR[0] * (n[rest[r]][:, None] + n[c][None, :] - both))
-            x, y = rest[r], c
-            while True:  # the smallest label spreads along links
-                before = label.copy()
-                low = np.where(hit, label[y][None, :], g).min(axis=1, initial=g)
-                np.minimum.at(label, x, low)
-                low = np.where(hit, label[x][:, None], g).min(axis=0, initial=g)
-                np.minimum.at(label, y, low)
-                np.minimum.at(label, before, label.copy())
-                label = label[label]
-                if (label == before).all():
-                    break
+            for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, width):
+                i, j = np.searchsorted(columns, [first, first + width])
+                own_r, own_c = at_r[row[i:j]], at_c[row[i:j]]
+                if (own_r >= 0).any():
+                    left, right = np.zeros((len(r), width), np.float32), np.zeros((len(c), width), np.float32)
+                    left[own_r[own_r >= 0], columns[i:j][own_r >= 0] - first] = 1
+                    right[own_c[own_c >= 0], columns[i:j][own_c >= 0] - first] = 1
+                    both += left @ right.T
+            hit = open_[np.ix_(r, c)] & (NEAR[1] * both >= NEAR[0] * (n[x[r]][:, None] + n[c][None, :] - both))
+            for k in np.flatnonzero(hit.any(axis=1)):
+                united(parent, np.append(c[hit[k]], x[r[k]]))
+    label = roots_of(parent)
     moved = np.flatnonzero(label != np.arange(g))
     return [(int(nodes[label[i]]), int(nodes[i])) for i in moved]
 
 
-def dealt(stars: DataFrame, facts: DataFrame, block_rows: int = 1500, block_elements: int = 1_500_000) -> DataFrame:
+def dealt(stars: DataFrame, facts: DataFrame, block_rows: int = 1500, block_elements: int = 750_000) -> DataFrame:
     """leader, p, q and facts (node, n, ...) of every leader's group, those of one (leader, p, q) together.
 
     A group beyond the block bounds is cut into blocks by hash; every two blocks, and each with itself, meet as one (p, q),
@@ -282,24 +301,20 @@ def plausible_stars(nodes: np.ndarray, n: np.ndarray, bitmaps: list[bytes]) -> l
     """(leader, follower) pairs that cover every pair of a group that bitmaps do not rule out: two bitmaps differ in no more bits than their sets in elements."""
     g, size = len(nodes), min(len(b) for b in bitmaps) // 8
     bits = np.stack([folded(b, size) for b in bitmaps])
-    label = np.arange(g)
-    hits = []
+    step = max(1, 4_000_000 // (8 * size))  # rows that are compared at a time
+    parent = np.arange(g)
     for i in range(g - 1):
+        places = np.arange(i + 1, g)
         m = n[i + 1 :]
-        allowed = n[i] + m - 2 * needed(n[i], m)
-        sized = NEAR[1] * np.minimum(n[i], m) >= NEAR[0] * np.maximum(n[i], m)
-        ok = np.flatnonzero(sized)
-        apart = np.bitwise_count(bits[i + 1 + ok] ^ bits[i]).sum(axis=1)
-        hits.append(i + 1 + ok[apart <= allowed[ok]])
-    while True:  # the smallest place spreads along plausible pairs
-        before = label.copy()
-        for i, js in enumerate(hits):
-            if len(js):
-                low = min(label[i], label[js].min())
-                label[i] = low
-                label[js] = np.minimum(label[js], low)
-        if (label == before).all():
-            break
+        # what is joined already covers its pairs
+        places = places[(NEAR[1] * np.minimum(n[i], m) >= NEAR[0] * np.maximum(n[i], m)) & (roots_of(parent)[i] != parent[i + 1 :])]
+        found = [np.array([i])]
+        for low in range(0, len(places), step):
+            js = places[low : low + step]
+            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            found.append(js[apart <= n[i] + n[js] - 2 * needed(n[i], n[js])])
+        united(parent, np.concatenate(found))
+    label = roots_of(parent)
     return [(int(nodes[label[i]]), int(nodes[i])) for i in np.flatnonzero(label != np.arange(g))]
 
 
@@ -377,7 +392,7 @@ def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def labelled_components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, key (a hash of the text), n_shingles, label (of the component; empty sets: null), component_id for each row of docs."""
+    """doc_id, key (a hash of the text), n_shingles, label (a number of the component; empty sets: null), component_id for each row of docs."""
     ws = Workspace(docs.sparkSession, "jaccard")
     described_ = ws.save(described(docs, frequent(docs, ws, width), width), "sets")
     full = described_.where("node IS NOT NULL")
@@ -390,9 +405,12 @@ def labelled_components(docs: DataFrame, width: int = 5) -> DataFrame:
     sets = ws.save(elements_of(docs, wanted, width), "elements")
     links = ws.save(grouped_links(stars, sets), "links")
     ws.drop("elements", "stars", "candidates", "wanted")
-    labels = components(links, ws)
-    labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    final = labelled.join(smallest, "label").select(F.col("node").alias("_node"), "label", "component_id")
+    # nodes are named by their smallest doc_id (null last), so the smallest name of a component holds its smallest doc_id
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
+    named = nodes.select("node", name.alias("name"))
+    ends = links.join(named.withColumnsRenamed({"node": "a", "name": "from"}), "a").join(named.withColumnsRenamed({"node": "b", "name": "to"}), "b")
+    labels = components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")), ws).select(F.col("node.node").alias("_node"), "label")
+    final = nodes.join(labels, F.col("node") == F.col("_node"), "left").select(F.col("node").alias("_node"), F.coalesce("label", name).alias("label"))
     joined = described_.select("doc_id", "key", "n_shingles", "node").join(final, F.col("node") == F.col("_node"), "left")
-    return joined.select("doc_id", "key", "n_shingles", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label.id"))
+    return joined.select("doc_id", "key", "n_shingles", F.col("label.node").alias("label"), component.alias("component_id"))
