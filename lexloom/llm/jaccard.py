@@ -411,6 +411,7 @@ def labelled_components(docs: DataFrame, width: int = 5) -> DataFrame:
     ends = links.join(named.withColumnsRenamed({"node": "a", "name": "from"}), "a").join(named.withColumnsRenamed({"node": "b", "name": "to"}), "b")
     labels = components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")), ws).select(F.col("node.node").alias("_node"), "label")
     final = nodes.join(labels, F.col("node") == F.col("_node"), "left").select(F.col("node").alias("_node"), F.coalesce("label", name).alias("label"))
+    final = ws.save(final, "labels")  # a join of two plain tables: Spark splits the node of a large group of equal sets
     joined = described_.select("doc_id", "key", "n_shingles", "node").join(final, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label.id"))
     return joined.select("doc_id", "key", "n_shingles", F.col("label.node").alias("label"), component.alias("component_id"))

@@ -4,11 +4,12 @@ Every word belongs to a class; a text's probability is the product of class-tran
 from a start mark to an end mark. The most frequent words are items of their own, all others share the item of their
 ending (the last three bytes; rare endings share one item), so the class of any word, unknown ones too, is known from the
 word alone. The exchange algorithm moves items between classes while the likelihood of the training bigrams rises; it
-works on item bigrams, a table whose size is bounded by the number of items. From there, passes over all training texts
-give every other word a class of its own: Spark counts the classes of each word's neighbours, and all words choose at once
-the class by which the likelihood gains most against the class bigrams as they stand; a pass that lowers the likelihood is
-undone. Only class bigrams reach the driver. Words that training lacks have the class of their ending. Counts of words,
-endings and bigrams cover all training texts.
+works on item bigrams, a table whose size is bounded by the number of items. Then every other training word is exchanged
+too: a pass over all training texts counts the classes beside each of its places, and the word takes the class by which the
+likelihood gains most against the class bigrams as they stand. Texts become lines of classes, once by item and once by
+each word's own class; class bigrams are counted from the training lines, and the own classes are kept if they make those
+likelier. Only item and class bigrams reach the driver. Words that training lacks have the class of their ending. Counts
+of words, endings and bigrams cover all training texts.
 
 A class emits its words by add-one counts, with one place for words that training lacks if it holds endings, so
 probabilities sum to one. Words are known by 64-bit hashes of their lower-cased bytes. The most frequent words' counts and
@@ -32,9 +33,6 @@ from .words import mixed, text_slices, word_spans
 CHUNK = 2_000_000
 START, END, FIRST = 0, 1, 2  # items
 END_WORD = int(mixed(np.array([0]), 99)[0].view(np.int64))
-#: What stands for all words of a class whose own counts are not needed; the first is the start mark.
-CLASS_WORDS = mixed(np.arange(256), 98).view(np.int64)
-START_WORD = int(CLASS_WORDS[START])
 
 
 def endings(start: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -48,8 +46,10 @@ def endings(start: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.ndarr
 
 def summed(values: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct values, one of each further column, counts."""
-    unique, first, n = np.unique(values, return_index=True, return_counts=True)
-    return unique, *(x[first] for x in more), n
+    order = np.argsort(values)
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else order
+    return values[first], *(x[order[first]] for x in more), np.diff(np.append(first, len(values)))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -84,6 +84,8 @@ class Lookup:
 
     keys: np.ndarray
     values: np.ndarray
+    some: np.ndarray | None = None
+    mask: int = 0
 
     @classmethod
     def of(cls, keys, values) -> "Lookup":
@@ -91,11 +93,18 @@ class Lookup:
         order = np.argsort(keys)
         return cls(keys[order], np.asarray(values)[order])
 
-    def get(self, keys: np.ndarray, default: np.ndarray | int) -> np.ndarray:
-        if not len(self.keys):
-            return np.broadcast_to(default, keys.shape).copy()
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], default)
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        out = np.full(keys.shape, default, self.values.dtype if len(self.keys) else np.int64)
+        if len(self.keys):
+            if self.some is None:  # which low bits occur: most keys that are not here need no search
+                self.mask = (1 << (16 * len(self.keys)).bit_length()) - 1
+                self.some = np.zeros(self.mask + 1, bool)
+                self.some[self.keys & self.mask] = True
+            near = np.flatnonzero(self.some[keys & self.mask])
+            at = np.minimum(np.searchsorted(self.keys, keys[near]), len(self.keys) - 1)
+            hit = self.keys[at] == keys[near]
+            out[near[hit]] = self.values[at[hit]]
+        return out
 
 
 @dataclass
@@ -206,58 +215,44 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     return own
 
 
-def neighbour_counts(texts: DataFrame, state: DataFrame, head: Lookup, fixed: np.ndarray, classes: int, sides: int = 2) -> DataFrame:
-    """word, slot, n: how often a neighbour of each class stands to the right (slot: the class) and, of two sides, to the left (slot: classes more) of each word.
-
-    state: word, class of all training words and the class words; head: classes of the most frequent ones, which spare their joins.
-    Words in fixed, or with one side all of head, only add to class bigrams: their class's word stands for them, on the right side alone.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast((head, np.sort(fixed)))
-    names = ["word", "other", "slot", "open"]
+def neighbours(texts: DataFrame, items: Items, classes: np.ndarray) -> DataFrame:
+    """word, places: of each word that is no item, its places of about CHUNK tokens; a place is its own class, the class to its left and that to its right, packed by number of classes in four bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast((items, classes))
+    base = int(classes.max()) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, (known, still) = [], 0, shared.value
+        held, size, (its, of) = [], 0, shared.value
 
         def flush():
-            rows = pa.table([np.concatenate(x) for x in zip(*held, strict=True)], names=names)
-            rows = rows.append_column("n", pa.array(np.ones(len(rows), np.int64))).group_by(names, use_threads=False).aggregate([("n", "sum")])
-            return rows.rename_columns([*names, "n"]).combine_chunks().to_batches()
+            word, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(word)
+            word = word[order]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            for low in range(0, len(first), 50_000):  # rows of some ten bytes
+                part = np.append(first, len(word))[low : low + 50_001]
+                data = places[order[part[0] : part[-1]]]
+                lists = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((4 * (part - part[0])).astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(word[part[:-1]]), lists], names=["word", "places"])
 
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column(0)):
-                row, _, _, hashed, _ = word_spans(data, offsets)
-                word = np.concatenate([[START_WORD, END_WORD], hashed.view(np.int64)])
-                of = known.get(word, -1)
-                fold = (of >= 0) & ((still[np.minimum(np.searchsorted(still, word), len(still) - 1)] == word) if sides == 2 else True)
-                name = np.where(fold, CLASS_WORDS[of], word)
-                ends = sequence(row, np.arange(FIRST, len(word)), high - low)
-                for side in range(sides):
-                    at, by = ends[side], ends[1 - side]
-                    if side:
-                        at, by = at[~fold[at]], by[~fold[at]]
-                    open_ = of[by] < 0
-                    # where the class is known, the row is joined by its own word, which changes nothing and spreads it
-                    held.append((name[at], np.where(open_, word[by], name[at]), side * classes + np.where(open_, 0, of[by]), open_))
-                    size += len(at)
+                row, start, length, hashed, data = word_spans(data, offsets)
+                word = hashed.view(np.int64)
+                item = its.of(word, endings(start, length, data))
+                own = of[item].astype(np.int32)
+                left, right = np.full(len(own), START, np.int32), np.full(len(own), END, np.int32)
+                same = row[1:] == row[:-1]
+                left[1:][same], right[:-1][same] = own[:-1][same], own[1:][same]
+                rest = item >= FIRST + len(its.words.keys)  # known by their endings
+                held.append((word[rest], ((own * base + left) * base + right)[rest]))
+                size += int(rest.sum())
                 if size >= CHUNK:
                     yield from flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
-    rows = texts.select("text").mapInArrow(count, "word long, other long, slot long, open boolean, n long")
-    joined = rows.join(state.select(F.col("word").alias("other"), "class"), "other")
-    slot = F.col("slot") + F.when(F.col("open"), F.col("class")).otherwise(0)
-    return joined.groupBy("word", slot.cast("int").alias("slot")).agg(F.sum("n").alias("n"))
-
-
-def class_bigrams(neighbours: DataFrame, state: DataFrame, classes: int) -> np.ndarray:
-    """Counts of class bigrams, from the neighbours to the right."""
-    table = np.zeros((classes, classes))
-    right = neighbours.where(F.col("slot") < classes).join(state.select("word", "class"), "word")
-    for r in right.groupBy("class", "slot").agg(F.sum("n").alias("n")).collect():
-        table[r["class"], r["slot"]] = r["n"]
-    return table
+    return texts.select("text").mapInArrow(count, "word long, places binary")
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -265,67 +260,103 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
-def best_classes(word: np.ndarray, own: np.ndarray, slot: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each word's first row, class by which the likelihood gains most); rows of one word stand together. own: the class it has now."""
-    classes = len(table)
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-    now, n = own[first], n.astype(np.float64)
-
-    def gains(x: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """x: of each row the counts by class; without the word, those of its own class are less by n."""
-        x = x.copy()
-        at = np.arange(len(x)), own
-        x[at] = np.maximum(x[at] - n, 0)
-        return _xlogx(x + n[:, None]) - _xlogx(x)
-
-    gain = np.zeros((len(first), classes))
-    for low in range(0, len(word), 20_000):
-        part = slice(low, low + 20_000)
-        by_class = np.concatenate([table.T, table])[slot[part]]  # to the right: counts before that class; to the left: counts behind it
-        np.add.at(gain, which[part], gains(by_class, n[part], own[part]))
-    for margin, on in ((table.sum(1), slot < classes), (table.sum(0), slot >= classes)):
-        total = np.bincount(which[on], n[on], len(first))
-        gain -= gains(np.broadcast_to(margin, gain.shape), total, now)
+class Gains:
+    """What class bigrams gain in likelihood where n places are added to them: kept by n up to `most`, worked out beyond."""
+
+    def __init__(self, table: np.ndarray, most: int = 64):
+        self.classes, self.most = len(table), most
+        #: by slot: counts of each class before that class, of each class behind it, and the margins
+        self.counts = np.concatenate([table.T, table, [table.sum(1)], [table.sum(0)]])
+        self.kept = np.stack([self._gain(self.counts, np.float64(n)) for n in range(most + 1)])
+
+    @staticmethod
+    def _gain(x: np.ndarray, n) -> np.ndarray:
+        return _xlogx(x + n) - _xlogx(x)
+
+    def of(self, slot: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Of each row, by class; the class that the word has now is counted without the word."""
+        out = self.kept[np.minimum(n, self.most), slot]
+        many = np.flatnonzero(n > self.most)
+        out[many] = self._gain(self.counts[slot[many]], n[many][:, None])
+        out[np.arange(len(n)), own] = self._gain(np.maximum(self.counts[slot, own] - n, 0), n)
+        return out
+
+
+def best_classes(of: np.ndarray, slot: np.ndarray, n: np.ndarray, now: np.ndarray, gains: Gains) -> tuple[np.ndarray, np.ndarray]:
+    """(count, class by which the likelihood gains most) of each word, from rows (of: its number, slot: a class to the right, or to the left if it is beyond the classes, n), by word; now: its class."""
+    base, first = gains.classes, np.searchsorted(of, np.arange(len(now)))
+    total = np.add.reduceat(np.where(slot < base, n, 0), first)
+    gain = np.add.reduceat(gains.of(slot, n, now[of]), first, axis=0)
+    for margin in (2 * base, 2 * base + 1):
+        gain -= gains.of(np.full(len(now), margin), total, now)
     gain[:, :FIRST] = -np.inf
-    best = gain.argmax(1)
-    at = np.arange(len(first))
-    return first, np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
+    row = np.arange(len(now))
+    top = gain.argmax(1)
+    return total, np.where(gain[row, top] > gain[row, now] + 1e-9, top, now)
 
 
-def chosen_classes(neighbours: DataFrame, state: DataFrame, table: np.ndarray) -> DataFrame:
-    """state, in which each word that is no item has the best class by its neighbours."""
-    shared = state.sparkSession.sparkContext.broadcast(table)
+def word_classes(found: DataFrame, table: np.ndarray) -> DataFrame:
+    """word, n, before (the class of its item), class (the best by its neighbours) of each word of neighbours(); table: class bigrams by item."""
+    shared, base = found.sparkSession.sparkContext.broadcast(table), len(table)
+    names = ["word", "n", "before", "class"]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(1).flatten()
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            word, own = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 2))
-            first, best = best_classes(word, own, rows.field(0).to_numpy(), rows.field(1).to_numpy(), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(best.astype(np.int32))], names=["word", "best"])
+        gains, last = Gains(shared.value), None  # the last word may go on in the next batch: its number, class and counts by slot
 
-    # at most two rows a class for each word
-    grouped = neighbours.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("rows"))
-    best = grouped.join(state.where("NOT fixed").select("word", "class"), "word").mapInArrow(choose, "word long, best int")
-    return state.join(best, "word", "left").select("word", "n", "fixed", F.coalesce("best", "class").alias("class"))
+        def chosen(words, now, of, slot, n) -> pa.RecordBatch:
+            total, best = best_classes(of, slot, n, now, gains)
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(total), pa.array(now.astype(np.int32)), pa.array(best.astype(np.int32))], names=names)
+
+        for batch in batches:
+            for low, high, data, offsets in text_slices(batch.column(1)):
+                word, places = batch.column(0).to_numpy()[low:high], data.view(np.int32)
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                words, now = word[first], places[offsets[first] // 4] // (base * base)
+                number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+                number = np.repeat(number, np.diff(offsets) // 4)
+                of, slot, n = np.concatenate([number, number]), np.concatenate([places % base, base + places // base % base]), np.ones(2 * len(places), np.int64)
+                if last is not None:
+                    if last[0] != words[0]:
+                        words, now, of = np.append(last[0], words), np.append(last[1], now), of + 1
+                    of, slot, n = np.append(np.zeros(len(last[2]), np.int64), of), np.append(last[2], slot), np.append(last[3], n)
+                code = of * (2 * base) + slot
+                order = np.argsort(code)
+                code, n = code[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                of, slot, n = code[first] // (2 * base), code[first] % (2 * base), np.add.reduceat(n, first)
+                end = int(np.searchsorted(of, len(words) - 1))
+                last = words[-1], now[-1], slot[end:], n[end:]
+                if end:
+                    yield chosen(words[:-1], now[:-1], of[:end], slot[:end], n[:end])
+        if last is not None:
+            yield chosen(np.array([last[0]]), np.array([last[1]]), np.zeros(len(last[2]), np.int64), last[2], last[3])
+
+    # a word has a row a chunk of texts, which are folded as they come: no word's places are gathered
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word long, n long, before int, class int")
 
 
 @dataclass
-class Model:
+class Words:
+    """What is known of words without a join."""
+
     items: Items
     classes: np.ndarray  # of each item
-    transition: np.ndarray  # log10 by class
-    emission: np.ndarray  # log10 of each class's divisor
     head: Lookup  # counts of the most frequent words
-    head_classes: Lookup
+    head_classes: Lookup  # their own classes
     ends: int  # training texts
-    base: float  # log10 of the unigram divisor
     tokens: int
+    base: float  # log10 of the unigram divisor
+
+
+@dataclass
+class Model:
+    transition: np.ndarray  # log10 by class
+    emission: np.ndarray  # log10 of each class's divisor
+    own: bool  # by words' own classes, or else by those of their items
 
 
-def fit(train: DataFrame, ws: Workspace, words: int = 768, ends: int = 480, classes: int = 40, head: int = 250_000, back_off: float = 5.0, passes: int = 2) -> tuple[Model, DataFrame]:
-    """The model, and the table word, n, class of all training words."""
+def fit_words(train: DataFrame, ws: Workspace, words: int = 768, ends: int = 480, classes: int = 40, head: int = 250_000) -> tuple[Words, DataFrame]:
+    """Classes of all training words: the frequent ones, and the table word, n, before, class of all."""
     spark = train.sparkSession
     vocabulary = ws.save(word_counts(train), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -333,62 +364,36 @@ def fit(train: DataFrame, ws: Workspace, words: int = 768, ends: int = 480, clas
     documents = int(top.loc[top["word"] == END_WORD, "n"].sum())
     top = top[top["word"] != END_WORD]
     own = top["word"].to_numpy(np.int64)[:words]
-    item_rows = spark.createDataFrame([(int(w), FIRST + i) for i, w in enumerate(own)] + [(END_WORD, END)], "word long, item int")
-    rest = vocabulary.join(F.broadcast(item_rows), "word", "left_anti")
+    own_rows = spark.createDataFrame([(int(w),) for w in [*own, END_WORD]], "word long")  # at most words + 1 rows
+    rest = vocabulary.join(F.broadcast(own_rows), "word", "left_anti")
     common = [r["ending"] for r in rest.groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "ending").limit(ends).collect()]
     size = FIRST + len(own) + len(common) + 1
     items = Items(Lookup.of(own, FIRST + np.arange(len(own))), Lookup.of(common, FIRST + len(own) + np.arange(len(common))), size)
     bigrams = item_bigrams(train, items)
     of_item = exchange(bigrams, classes)
-    end_rows = spark.createDataFrame([(int(e), FIRST + len(own) + i) for i, e in enumerate(common)], "ending long, end_item int")
-    class_rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of_item)], "item int, class int")
-    # tables of at most `words`, `ends` and their sum of rows
-    numbered = vocabulary.join(F.broadcast(item_rows), "word", "left").join(F.broadcast(end_rows), "ending", "left")
-    fixed = F.col("item").isNotNull()
-    numbered = numbered.select("word", "n", fixed.alias("fixed"), F.coalesce("item", "end_item", F.lit(size - 1)).alias("item")).join(F.broadcast(class_rows), "item")
-    class_words = spark.createDataFrame([(int(CLASS_WORDS[c]), 0, True, c) for c in range(classes)], "word long, n long, fixed boolean, class int")
-    state = ws.save(numbered.select("word", "n", "fixed", "class").unionByName(class_words), "classes-0")
-    still = np.append(own, [START_WORD, END_WORD])
-    least = int(top["n"].min()) if len(top) else None
-
-    def head_classes(state: DataFrame) -> Lookup:
-        rows = (state.where((F.col("n") >= least) | (F.col("n") == 0)) if least is not None else state.limit(0)).select("word", "class").toPandas()
-        return Lookup.of(rows["word"], rows["class"].to_numpy(np.int64))
-
-    table, before = None, None
-    for k in range(passes + 1):
-        of_head = head_classes(state)
-        neighbours = ws.save(neighbour_counts(train, state, of_head, still, classes, 2 if k < passes else 1), f"neighbours-{k}")
-        now = class_bigrams(neighbours, state, classes)
-        if table is not None and likelihood(now) < likelihood(table):
-            state, of_head = before
-            break
-        table, before = now, (state, of_head)
-        if k < passes:
-            state = ws.save(chosen_classes(neighbours, state, table), f"classes-{k + 1}")
-        ws.drop(f"neighbours-{k}")
-        spark.sparkContext._jvm.System.gc()  # else the shuffle files of every pass stay
-    overall = table.sum(0) + 1
-    overall[START] = 0
-    overall /= overall.sum()
-    with np.errstate(divide="ignore"):
-        transition = np.log10((table + back_off * overall) / (table.sum(1, keepdims=True) + back_off))
-    divisor = np.zeros(classes)
-    for r in state.where(F.col("n") > 0).groupBy("class").agg((F.sum("n") + F.count("*")).alias("d")).collect():
-        divisor[r["class"]] = r["d"]
-    divisor[np.unique(of_item[FIRST + len(own) :])] += 1  # the place of unknown words
-    divisor[END] = 0
+    member = np.zeros((size, classes))
+    member[np.arange(size), of_item] = 1
+    found = neighbours(train, items, np.append(of_item, classes - 1))
+    fixed = [(int(w), int(c), int(k), int(k)) for w, c, k in zip(own, top["n"][:words], of_item[FIRST:], strict=False)] + [(END_WORD, documents, END, END)] * (documents > 0)
+    fixed = spark.createDataFrame(fixed, "word long, n long, before int, class int")
+    state = ws.save(word_classes(found, member.T @ bigrams @ member).unionByName(fixed), "classes")
+    ws.drop("vocabulary")
+    spark.sparkContext._jvm.System.gc()  # else the shuffle files of these passes stay
+    least = int(top["n"].min()) if len(top) else 1
+    rows = state.where(F.col("n") >= least).select("word", "class").toPandas()  # as many as `top`
     known = Lookup.of(top["word"], top["n"].to_numpy(np.int64))
-    model = Model(items, of_item, transition, np.log10(np.maximum(divisor, 1)), known, of_head, documents, float(np.log10(n + v + 1)), int(n))
-    return model, state.where(F.col("n") > 0).select("word", "n", "class")
+    return Words(items, of_item, known, Lookup.of(rows["word"], rows["class"].to_numpy(np.int64)), documents, int(n), float(np.log10(n + v + 1))), state
 
 
-def scores(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for each row of docs."""
+def class_lines(docs: DataFrame, words: Words, state: DataFrame) -> DataFrame:
+    """doc_id, copies, n_tokens, n_known, base_score, total (log10 of word counts), before, line: each text as a line of classes, a byte a word.
+
+    before holds the classes of items, line those of the words themselves. Rows with one doc_id and text are one row, counted by copies.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column(2)):
@@ -401,57 +406,119 @@ def scores(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
                 tokens = np.bincount(row, minlength=rows) + 1
                 known = np.bincount(row, head, rows).astype(np.int64) + (m.ends > 0)
                 base = counted + np.log10(m.ends + 1) - tokens * m.base
-                # one row a document with the classes of its words, and one for each of its words that is not in the head, with the class of its ending
-                own = np.where(head, m.head_classes.get(word, 0), m.classes[m.items.of(word, endings(start, length, data))])
+                # one row a document with the classes of its words, and one for each of its words that is not in the head
+                by_item = m.classes[m.items.of(word, endings(start, length, data))]
+                own = np.where(head, m.head_classes.get(word, 0), by_item)
                 first = np.concatenate([[0], np.cumsum(tokens - 1)])
-                line = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(own.astype(np.uint8))])
+                lines = [pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(x.astype(np.uint8))]) for x in (by_item, own)]
                 tail_row, tail_word = row[~head], word[~head]
                 t = len(tail_row)
                 zero, none = np.zeros(t, np.int64), np.zeros(t)
                 at = pa.array(np.concatenate([np.arange(rows), tail_row]) + low)
-                key = batch.column(1).take(at)
-                columns = [np.concatenate(x) for x in ((batch.column(1).to_numpy()[low:high], tail_word), (np.ones(rows, np.int64), zero), (tokens, zero), (known, zero), (base, none), (counted, none))]
+                spread = batch.column(3).to_numpy()[low:high]
+                columns = [np.concatenate(x) for x in ((spread, tail_word), (np.ones(rows, np.int64), zero), (tokens, zero), (known, zero), (base, none), (counted, none))]
                 place = np.concatenate([np.zeros(rows, np.int32), (np.flatnonzero(~head) - first[tail_row]).astype(np.int32)])
-                ending = np.concatenate([np.zeros(rows, np.int32), own[~head].astype(np.int32)])
-                lines = pa.concat_arrays([line, pa.nulls(t, pa.binary())])
-                names = ["doc_id", "key", "word", "copies", "n_tokens", "n_known", "base", "total", "place", "ending", "line"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), key, *map(pa.array, columns), pa.array(place), pa.array(ending), lines], names=names)
+                lines = [pa.concat_arrays([x, pa.nulls(t, pa.binary())]) for x in lines]
+                names = ["doc_id", "key", "word", "copies", "n_tokens", "n_known", "base", "total", "place", "before", "line"]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, columns), pa.array(place), *lines], names=names)
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to each document's score the bigrams of its classes."""
-        m = shared.value
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Puts the classes of words outside the head at their places in the line."""
         for batch in batches:
             line, tails = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            sizes = np.array([len(x) for x in line.to_pylist()], np.int64)
-            own = np.frombuffer(b"".join(line.to_pylist()), np.uint8).astype(np.int64)
-            first = np.cumsum(sizes) - sizes
-            rows = tails.flatten()
-            own[np.repeat(first, np.diff(tails.offsets.to_numpy())) + rows.field(0).to_numpy()] = rows.field(1).to_numpy()
-            left, right = sequence(np.repeat(np.arange(len(sizes)), sizes), own, len(sizes))
-            place = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes))])
-            more = np.bincount(place, m.transition[left, right] - m.emission[right], len(sizes))
-            columns = [batch.column(i) for i in range(batch.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(batch.column(batch.num_columns - 3).to_numpy() + more)], names=["doc_id", "copies", "n_tokens", "n_known", "base_score", "score"])
-
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
-    parts = rows.mapInArrow(score, f"doc_id {kind}, key long, word long, copies long, n_tokens long, n_known long, base double, total double, place int, ending int, line binary")
-    joined = parts.join(vocabulary, "word", "left")
+            for low, high, data, first in text_slices(line):
+                part, own = tails.slice(low, high - low), data.copy()
+                rows = part.flatten()
+                own[np.repeat(first[:-1], np.diff(part.offsets.to_numpy())) + rows.field(0).to_numpy()] = rows.field(1).to_numpy()
+                whole = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(batch.num_columns - 2)), whole], names=LINE)
+
+    text = text_or_empty()
+    # a document's own row goes to a place of its own, however many documents have its text
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"), F.xxhash64(F.lit("a document"), "doc_id", text).alias("spread"))
+    parts = rows.mapInArrow(read, f"doc_id {kind}, key long, word long, copies long, n_tokens long, n_known long, base double, total double, place int, before binary, line binary")
+    joined = parts.join(state.select("word", "n", "class"), "word", "left")
     tail = F.when((F.col("copies") == 0) & F.col("n").isNotNull(), F.col("n"))
     more = F.log10(F.coalesce(tail, F.lit(0)) + 1)
-    is_tail = F.col("copies") == 0
     sums = joined.groupBy("doc_id", "key").agg(
         F.sum("copies").alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + tail.isNotNull().cast("long")).alias("n_known"),
         F.sum(F.col("base") + more).alias("base_score"),
-        F.sum(F.col("total") + more).alias("score"),
+        F.sum(F.col("total") + more).alias("total"),
+        F.first("before", ignorenulls=True).alias("before"),
         F.first("line", ignorenulls=True).alias("line"),
-        F.collect_list(F.when(is_tail, F.struct("place", F.coalesce("class", "ending").alias("class")))).alias("tails"),
+        F.collect_list(F.when(tail.isNotNull(), F.struct("place", "class"))).alias("tails"),
     )
     # rows with the same id and text were summed together; their words, at the same places, have the same classes
-    each = [(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))]
-    found = sums.select("doc_id", "copies", *each, "line", "tails").mapInArrow(follow, f"doc_id {kind}, copies long, n_tokens long, n_known long, base_score double, score double")
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_tokens", "n_known", "base_score", "score")
+    each = [(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("total", "double"))]
+    return sums.select("doc_id", "copies", *each, "before", "line", "tails").mapInArrow(placed, f"doc_id {kind}, copies long, n_tokens long, n_known long, base_score double, total double, before binary, line binary")
+
+
+LINE = ["doc_id", "copies", "n_tokens", "n_known", "base_score", "total", "before", "line"]
+
+
+def steps(lines: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first line, end line, line, left class, right class) of every step of some lines, from the start mark to the end mark, a slice of lines at a time."""
+    for low, high, data, offsets in text_slices(lines):
+        row = np.repeat(np.arange(high - low), np.diff(offsets))
+        left, right = sequence(row, data.astype(np.int64), high - low)
+        yield low, high, np.concatenate([row, np.arange(high - low)]) + low, left, right
+
+
+def class_bigrams(lines: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of class bigrams of all lines: by items, and by the words themselves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, classes * classes), np.int64)
+        for batch in batches:
+            copies = batch.column(0).to_numpy()
+            for k in range(2):
+                for _, _, row, left, right in steps(batch.column(1 + k)):
+                    total[k] += np.bincount(left * classes + right, copies[row], classes * classes).astype(np.int64)
+        kind, code = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(code), pa.array(total[kind, code])], names=["kind", "code", "n"])
+
+    out = np.zeros((2, classes * classes))
+    for r in lines.select("copies", "before", "line").mapInArrow(count, "kind long, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).collect():
+        out[r["kind"], r["code"]] = r["n"]
+    return out[0].reshape(classes, classes), out[1].reshape(classes, classes)
+
+
+def fit_model(lines: DataFrame, words: Words, state: DataFrame, classes: int = 40, back_off: float = 5.0, own: bool | None = None) -> Model:
+    """Probabilities of classes and of their words, from the lines of the training texts; own: which classes, None for the likelier."""
+    by_item, by_word = class_bigrams(lines, classes)
+    own = likelihood(by_word) >= likelihood(by_item) if own is None else own
+    table = by_word if own else by_item
+    overall = table.sum(0) + 1
+    overall[START] = 0
+    overall /= overall.sum()
+    with np.errstate(divide="ignore"):
+        transition = np.log10((table + back_off * overall) / (table.sum(1, keepdims=True) + back_off))
+    divisor = np.zeros(classes)
+    for r in state.groupBy((F.col("class") if own else F.col("before")).alias("class")).agg((F.sum("n") + F.count("*")).alias("d")).collect():
+        divisor[r["class"]] = r["d"]
+    divisor[np.unique(words.classes[FIRST + len(words.items.words.keys) :])] += 1  # the place of unknown words
+    divisor[END] = 0
+    return Model(transition, np.log10(np.maximum(divisor, 1)), bool(own))
+
+
+def scores(lines: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of each document of lines."""
+    shared = lines.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "copies", "n_tokens", "n_known", "base_score"]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            more = np.zeros(batch.num_rows)
+            for low, high, row, left, right in steps(batch.column(6)):
+                more[low:high] = np.bincount(row - low, m.transition[left, right] - m.emission[right], high - low)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(batch.column(5).to_numpy() + more)], names=[*names, "score"])
+
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    found = lines.select(*names, "total", "line" if model.own else "before").mapInArrow(follow, f"doc_id {kind}, copies long, n_tokens long, n_known long, base_score double, score double")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, kept_out: int = 2) -> DataFrame:
@@ -461,7 +528,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, kept_out: int = 2) -> Dat
     """
     ws = Workspace(docs.sparkSession, "scoring")
     out = F.coalesce(remainder(F.col("doc_id"), modulus) == kept_out, F.lit(False))
-    train = docs.where(~out).select(text_or_empty().alias("text"))
-    model, vocabulary = fit(train, ws)
-    found = scores(docs, model, vocabulary)
-    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    words, state = fit_words(docs.where(~out).select(text_or_empty().alias("text")), ws)
+    lines = ws.save(class_lines(docs, words, state), "lines")
+    found = scores(lines, fit_model(lines.where(~out), words, state))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

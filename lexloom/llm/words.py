@@ -40,8 +40,8 @@ def powers(n: int) -> np.ndarray:
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in them) for runs of rows of about `limit` bytes; a longer text is a slice of its own."""
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
+    """(first row, end row, bytes, offsets of the rows in them) for runs of rows of about `limit` bytes; a longer text is a slice of its own. Binary columns too."""
+    column = column.cast(pa.large_binary()).fill_null(b"") if column.null_count else column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return

@@ -165,26 +165,74 @@ def test_scoring_classes(spark):
     nouns, verbs = ([a + b + "ing" for b in "bcdfghklmn"] for a in ("no", "ve"))
     texts = [f"the {n} was {v} then" for n in nouns for v in verbs] + ["the noun was verb then"] * 300 + ["the", "was then", ""]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, vocabulary = scoring.fit(train, Workspace(spark, "test"), words=5, ends=4, classes=8, head=6)
+    ws = Workspace(spark, "test")
+    words, state = scoring.fit_words(train, ws, words=5, ends=4, classes=8, head=6)
+    learned = ws.save(scoring.class_lines(train.withColumn("doc_id", F.monotonically_increasing_id()), words, state), "learned")
+    model = scoring.fit_model(learned, words, state, classes=8)
+    assert model.own
     word = lambda w: int(word_spans(*next(text_slices(pa.array([w])))[2:])[3].view("int64")[0])
-    rows = {r["word"]: r for r in vocabulary.collect()}
+    rows = {r["word"]: r for r in state.collect()}
     assert len(rows) == 26 and sum(r["n"] for r in rows.values()) == sum(len(t.split()) + 1 for t in texts)
     classes = [{rows[word(w)]["class"] for w in kind} for kind in (nouns, verbs)]
     assert [len(c) for c in classes] == [1, 1] and classes[0] != classes[1]
     docs = [(1, "the nobing was vecing then"), (2, "vecing the unseen noding"), (3, ""), (3, ""), (4, None)]
-    got = scoring.scores(spark.createDataFrame(docs, "doc_id long, text string"), model, vocabulary).collect()
+
+    def path(text):
+        for w in (text or "").split():
+            unknown = words.classes[words.items.ends.get(scoring.endings(np.array([0]), np.array([len(w)]), np.frombuffer(w.encode(), np.uint8)), words.items.size - 1)][0]
+            yield (rows[word(w)]["class"], rows[word(w)]["n"]) if word(w) in rows else (unknown, 0)
+
+    table = np.zeros((8, 8))
+    for text in texts:
+        line = [scoring.START, *(c for c, _ in path(text)), scoring.END]
+        for a, b in zip(line, line[1:]):
+            table[a, b] += 1
+    overall = table.sum(0) + 1
+    overall[scoring.START] = 0
+    assert np.allclose(10**model.transition, (table + 5 * overall / overall.sum()) / (table.sum(1, keepdims=True) + 5))
+    got = scoring.scores(scoring.class_lines(spark.createDataFrame(docs, "doc_id long, text string"), words, state), model).collect()
     want = []
     for i, text in docs:
         total, left = 0.0, scoring.START
-        for w in (text or "").split():
-            unknown = model.classes[model.items.ends.get(scoring.endings(np.array([0]), np.array([len(w)]), np.frombuffer(w.encode(), np.uint8)), model.items.size - 1)][0]
-            of, n = (rows[word(w)]["class"], rows[word(w)]["n"]) if word(w) in rows else (unknown, 0)
+        for of, n in path(text):
             total += model.transition[left, of] - model.emission[of] + log10(n + 1)
             left = of
         want.append((i, pytest.approx(total + model.transition[left, scoring.END])))
     assert sorted((r["doc_id"], r["score"]) for r in got) == want
 
 
+def test_best_classes_by_brute_force():
+    """The class that gains most is the one by which the likelihood of all class bigrams rises most, each word moved alone."""
+    random = np.random.default_rng(3)
+    base = 6
+    table = random.integers(1, 400, (base, base)).astype(float)
+    of, slot, n, now = [], [], [], np.array([2, 3, 5, 4])
+    for k, c in enumerate(now):
+        right, left = random.multinomial(90 * (k + 1), [1 / base] * base), random.multinomial(90 * (k + 1), [1 / base] * base)
+        right[c] = left[c] = 0  # a word beside its own class counts for either side apart
+        left[0] += right.sum() - left.sum()
+        for s, counts in ((0, right), (base, left)):
+            for d in np.flatnonzero(counts):
+                of, slot, n = [*of, k], [*slot, s + d], [*n, counts[d]]
+        table[c] += right
+        table[:, c] += left
+    of, slot, n = np.array(of), np.array(slot), np.array(n)
+    total, best = scoring.best_classes(of, slot, n, now, scoring.Gains(table))
+    for k, c in enumerate(now):
+        right, left = (np.bincount(slot[of == k] % base * (slot[of == k] // base == side), n[of == k] * (slot[of == k] // base == side), base) for side in (0, 1))
+        value = []
+        for to in range(scoring.FIRST, base):
+            moved = table.copy()
+            moved[c] -= right
+            moved[:, c] -= left
+            moved[to] += right
+            moved[:, to] += left
+            value.append(scoring.likelihood(moved))
+        assert total[k] == right.sum()
+        rank = sorted(value, reverse=True)
+        assert value[best[k] - scoring.FIRST] >= rank[0] - 0.05 * (rank[0] - rank[-1])  # gains of the cell (to, to) are summed apart
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
