@@ -2,14 +2,14 @@
 
 A monolithic archive is one gzip stream over many records, so no record can be read without inflating all before it.
 normalise() inflates such a file once, as a stream, writes every record as a gzip member of its own and keeps a sidecar
-index (one JSON line a record: id, type, offset, length). read_records() then reads members by their offsets.
+index (one JSON line a record: id, type, offset, length). read_records() opens the index and reads members by their offsets.
 
 Files go to the shared folder through pyarrow's file systems: under a temporary name first, then renamed, so a task that
 runs twice leaves one whole file. Python holds one record and one buffer at a time.
 
 Defined cases: null html is an empty payload; a null or unusable url becomes urn:page:<page_id>; a null page_id is
 written as such and never refers or is referred to unless all rows of its payload lack an id; rows that repeat the
-largest page_id of a payload are all responses; an empty table writes no archive and gives an empty result.
+largest page_id of a payload are all responses, with record ids of their own, and its revisits then name the page, not a record; an empty table writes no archive and gives an empty result.
 """
 
 import base64
@@ -33,21 +33,22 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVES = "archive string, records long"
-INDEX = "archive string, record_id string, offset long, length long"
 
 
 def record_id(key: str) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}"
 
 
-def build_record(page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, copy: int = 0) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit that names the response it repeats."""
+def build_record(page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, key: str, refers_key: str | None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit that names the response it repeats. key, refers_key: what their record ids are made of."""
     uri = url if url and not re.search(r"[\x00-\x20\x7f]", url) else f"urn:page:{page_id}"
     block = HTTP + (payload if refers_to is None else b"")
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id(f'page:{page_id}:{copy}')}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri)]
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{record_id(key)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     head += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()), ("X-Page-ID", page_id), ("X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_id(f'page:{refers_to}:0')}>"), ("X-Refers-To-Page", refers_to)]
+        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", refers_to)]
+    if refers_key is not None:
+        head += [("WARC-Refers-To", f"<{record_id(refers_key)}>")]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head)).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -120,7 +121,9 @@ class _Output:
 
 
 def write_monolithic(records: DataFrame, folder: str, roll: int = 64 << 20, level: int = 1) -> DataFrame:
-    """Write records (page_id, url, payload, digest, refers_to, copy) as .warc.gz files of one gzip stream each, about `roll` plain bytes a file.
+    """Write records (page_id, url, payload, digest, refers_to, first) as .warc.gz files of one gzip stream each, about `roll` plain bytes a file.
+
+    first: whether the response with this payload is one record only, which has an id of its page and payload; other ids hold the record's place.
 
     Gives archive, records: run it once, by writing its result.
     """
@@ -134,7 +137,9 @@ def write_monolithic(records: DataFrame, folder: str, roll: int = 64 << 20, leve
                 if out is None:
                     uri = f"{folder}/part-{part:06d}-{number:04d}.warc.gz"
                     out, z, plain, count, number = _Output(uri, attempt), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0, number + 1
-                record = build_record(x.page_id, x.url, x.payload, x.digest, x.refers_to, x.copy)
+                named = f"page:{x.page_id if x.refers_to is None else x.refers_to}:{x.digest}" if x.first else None
+                key = named if named and x.refers_to is None else f"place:{x.page_id}:{uri}:{count}"
+                record = build_record(x.page_id, x.url, x.payload, x.digest, x.refers_to, key, named)
                 out.write(z.compress(record))
                 plain, count = plain + len(record), count + 1
                 if plain >= roll:
@@ -147,13 +152,13 @@ def write_monolithic(records: DataFrame, folder: str, roll: int = 64 << 20, leve
             out.close()
             yield pd.DataFrame({"archive": [uri], "records": [count]})
 
-    return records.select("page_id", "url", "payload", "digest", "refers_to", "copy").mapInPandas(write, ARCHIVES)
+    return records.select("page_id", "url", "payload", "digest", "refers_to", "first").mapInPandas(write, ARCHIVES)
 
 
-def normalise_file(source_uri: str, target_uri: str, attempt: str = "0", level: int = 3) -> list[tuple[str, int, int]]:
-    """Rewrite one archive with a member for every record, and its index beside it as <target>.idx. Gives the index."""
+def normalise_file(source_uri: str, target_uri: str, attempt: str = "0", level: int = 3) -> tuple[int, int]:
+    """Rewrite one archive with a member for every record, and its index beside it as <target>.idx: a JSON line a record. Gives records, bytes."""
     fs, path = pafs.FileSystem.from_uri(source_uri)
-    out, index = _Output(target_uri, attempt), []
+    out, records = _Output(target_uri, attempt), 0
     side = _Output(f"{target_uri}.idx", attempt)
     with fs.open_input_stream(path, compression=None) as source:
         for headers, record in split_records(inflate(source)):
@@ -162,51 +167,63 @@ def normalise_file(source_uri: str, target_uri: str, attempt: str = "0", level:
             out.write(member)
             entry = {"id": headers.get("warc-record-id", "").strip("<>"), "type": headers.get("warc-type"), "offset": offset, "length": len(member)}
             side.write((json.dumps(entry) + "\n").encode())
-            index.append((entry["id"], offset, len(member)))
+            records += 1
     out.close()
     side.close()
-    return index
+    return records, out.size
+
+
+def one_a_task(archives: DataFrame) -> DataFrame:
+    """The rows of a table of archives, each in a partition of its own while there are no more than 20,000; such a number, Spark does not lower."""
+    return archives.repartition(int(min(max(archives.count(), 1), 20_000)))
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 3) -> DataFrame:
-    """Normalise every archive of `archives` (archive: uri) into folder. Gives the index: archive, record_id, offset, length."""
+    """Normalise every archive of `archives` (archive: uri) into folder, each with its index beside it. Gives archive, records, bytes: run it once, by writing its result."""
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt = str(TaskContext.get().taskAttemptId())
         for batch in batches:
             for uri in batch["archive"]:
                 target = f"{folder}/{uri.rpartition('/')[2]}"
-                index = normalise_file(uri, target, attempt, level)
-                yield pd.DataFrame(index, columns=["record_id", "offset", "length"]).assign(archive=target)[["archive", "record_id", "offset", "length"]]
+                yield pd.DataFrame([(target, *normalise_file(uri, target, attempt, level))], columns=["archive", "records", "bytes"])
 
-    return archives.select("archive").mapInPandas(rewrite, INDEX)
+    return one_a_task(archives.select("archive")).mapInPandas(rewrite, f"{ARCHIVES}, bytes long")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Read the members that an index names: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for a revisit).
+def read_index(uri: str) -> Iterator[dict]:
+    """The entries (id, type, offset, length) of an archive's index, a line at a time."""
+    fs, path = pafs.FileSystem.from_uri(f"{uri}.idx")
+    with fs.open_input_stream(path, compression=None) as side:
+        rest = b""
+        while data := side.read(CHUNK):
+            *lines, rest = (rest + data).split(b"\n")
+            yield from map(json.loads, lines)
 
-    Rows of one archive that stand together are read through one open file.
-    """
+
+def read_member(file, entry: dict) -> bytes:
+    """The record of an index entry, whatever stands before it in the open archive."""
+    return zlib.decompress(file.read_at(entry["length"], entry["offset"]), 31)
+
+
+def read_records(archives: DataFrame) -> DataFrame:
+    """Read normalised archives by their indexes: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for a revisit)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uri, file = None, None
         for batch in batches:
-            rows = []
-            for x in batch.itertuples(index=False):
-                if x.archive != uri:
-                    if file is not None:
-                        file.close()
-                    fs, path = pafs.FileSystem.from_uri(x.archive)
-                    uri, file = x.archive, fs.open_input_file(path)
-                rows.append(_parsed(zlib.decompress(file.read_at(x.length, x.offset), 31)))
-                if len(rows) == 500:
+            for uri in batch["archive"]:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as file:
+                    rows, size = [], 0
+                    for entry in read_index(uri):
+                        rows.append(_parsed(read_member(file, entry)))
+                        size += len(rows[-1][-1] or b"")
+                        if len(rows) == 500 or size > 16 * CHUNK:
+                            yield pd.DataFrame(rows, columns=COLUMNS)
+                            rows, size = [], 0
                     yield pd.DataFrame(rows, columns=COLUMNS)
-                    rows = []
-            yield pd.DataFrame(rows, columns=COLUMNS)
-        if file is not None:
-            file.close()
 
-    return index.select("archive", "offset", "length").mapInPandas(read, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
+    return one_a_task(archives.select("archive")).mapInPandas(read, "page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary")
 
 
 COLUMNS = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
@@ -230,11 +247,12 @@ def page_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"))
     large = rows.where(F.octet_length("payload") >= least)
-    repeated = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("_d"), "first")
+    each = large.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    repeated = each.groupBy("digest").agg(F.max("page_id").alias("last"), F.max_by("n", "page_id").alias("rows"), F.sum("n").alias("n")).where("n > 1 AND last IS NOT NULL").select(F.col("digest").alias("_d"), "last", "rows")
     # few payloads repeat: Spark broadcasts this side if it is small, and otherwise may split a skewed digest
     joined = rows.join(repeated, F.when(F.octet_length("payload") >= least, F.col("digest")) == F.col("_d"), "left")
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first").cast("string"))
-    return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page_id"), "url", "payload", "digest", refers.alias("refers_to"), F.lit(0).alias("copy"))
+    refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last").cast("string"))
+    return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page_id"), "url", "payload", "digest", refers.alias("refers_to"), F.coalesce(F.col("rows") == 1, F.lit(False)).alias("first"))
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -242,10 +260,10 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     ws = Workspace(pages.sparkSession, "warc")
     kind = pages.schema["page_id"].dataType
     archives = ws.save(write_monolithic(page_records(pages, least), ws.path("monolithic")), "archives")
-    index = ws.save(normalise(archives.repartition(F.col("archive")), ws.path("members")), "index")
+    members = ws.save(normalise(archives, ws.path("members")), "normal")
     ws.drop("monolithic")
     page = F.when(F.col("page_id") != "null", F.col("page_id")).cast(kind)
-    return read_records(index).select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return read_records(members).select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 #: DuckDB SQL for op6_warc.

@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips and held-out accuracy, on awkward rows."""
 
+import gzip
 import hashlib
 import re
 from collections import Counter
@@ -127,6 +128,33 @@ def test_warc(spark):
     assert [(i, got[i]["record_type"], got[i]["refers_to"]) for i in range(1, 7)] == [(1, "revisit", 2)] + [(i, "response", None) for i in range(2, 7)]
 
 
+def test_warc_members_and_index(spark):
+    """Each entry of a sidecar inflates alone to its record; record ids are unique, repeated rows and all; revisits name responses that exist."""
+    big = "<p>" + "z" * 2000
+    rows = [(i, None if i % 5 else "bad url", big + str(i % 7)) for i in range(60)] + [(70, "http://r/", big)] * 3 + [(71, "http://s/", "small")] * 2 + [(None, None, big)]
+    ws = Workspace(spark, "test")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = ws.save(warc.write_monolithic(warc.page_records(pages), ws.path("monolithic"), roll=20_000), "archives")
+    members = ws.save(warc.normalise(archives, ws.path("members")), "normal").collect()
+    assert len(members) > 1 and sum(r["records"] for r in members) == len(rows)
+    ids, refers = [], []
+    for r in members:
+        path = r["archive"].removeprefix("file://")
+        data, end = open(path, "rb").read(), 0
+        whole = gzip.decompress(data)
+        for entry in warc.read_index(r["archive"]):
+            assert entry["offset"] == end
+            end += entry["length"]
+            record = gzip.decompress(data[entry["offset"] : end])
+            assert record in whole and record.startswith(b"WARC/1.1\r\n")
+            head = warc.parse_headers(record[: record.index(b"\r\n\r\n")])
+            assert head["warc-record-id"] == f"<{entry['id']}>" and head["warc-type"] == entry["type"]
+            ids.append(head["warc-record-id"])
+            refers += [head["warc-refers-to"]] if "warc-refers-to" in head else []
+        assert end == len(data) == r["bytes"]
+    assert len(set(ids)) == len(ids) == len(rows) and refers and set(refers) <= set(ids)
+
+
 def test_exact_top_k(spark):
     import numpy as np
 
@@ -142,6 +170,21 @@ def test_exact_top_k(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
 
 
+def test_exact_top_k_awkward(spark):
+    """Ties at the kth place, repeated ids, an all-zero query, several dimensions, empty vectors, clashing columns, many blocks."""
+    random = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in random.integers(-2, 3, 4)]) for i in range(300)] + [(i, [float(x) for x in random.integers(-2, 3, 3)]) for i in range(300, 340)]
+    rows += [(7, [1.0] * 4), (7, [1.0] * 4), (50, [2.0] * 4), (400, [0.0] * 4), (401, []), (402, None), (None, [1.0] * 4), (450, [1.0, None, 1.0, 1.0]), (500, [1.0])]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, rank int, score long, dim int")
+    got = topk.exact_top_k(frame, block=16, query_block=2, group=2).collect()
+    q = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v]
+    want = []
+    for i in sorted({i for i, _ in q if i % 50 == 0}):
+        found = [(-int(a @ b), j) for k, a in q if k == i for j, b in q if j != i and len(a) == len(b)]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(found)[:5])]
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_scoring(docs):
     got = scoring.score_documents(docs).collect()
     train = Counter()
