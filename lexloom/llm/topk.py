@@ -14,11 +14,13 @@ id; an empty table gives an empty result.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .words import runs
+
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
     """id, v (array of long: floor(scale * component)), dim."""
@@ -66,38 +68,58 @@ def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((rows[near], -scores[near]))[:k]]
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_column: str = "vec_id", vector_column: str = "embedding", block: int = 8192, query_block: int = 512) -> DataFrame:
+def packed(rows: DataFrame, count, per: int, name: str) -> DataFrame:
+    """dim, <name>, ids, cells, cell: rows (id, v, dim) in blocks of about `per`, dealt by a hash of their ids; cells in the narrowest whole numbers, of type cell."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["dim", name]):
+            table = table.combine_chunks()
+            cells = table.column("v").chunk(0).flatten().to_numpy()
+            kind = next(t for t in ("<i2", "<i4", "<i8") if t == "<i8" or np.abs(cells.astype(np.float64)).max() < np.iinfo(t).max)
+            row = [[table.column("dim")[0]], [table.column(name)[0]], [table.column("id").to_numpy().astype("<i8").tobytes()], [cells.astype(kind).tobytes()], [kind]]
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() if isinstance(x, pa.Scalar) else x for x in c], t) for c, t in zip(row, types, strict=True)], names=["dim", name, "ids", "cells", "cell"])
+
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.ceil(count / per))).select("dim", name, "id", "v")
+    return dealt.repartition("dim", name).sortWithinPartitions("dim", name, "id").mapInArrow(pack, f"dim int, {name} long, ids binary, cells binary, cell string")
+
+
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_column: str = "vec_id", vector_column: str = "embedding", block: int = 8192, query_block: int = 512, group: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by `every`, its k best other rows.
 
-    block, query_block: about how many vectors a row of packed candidates or queries holds.
+    block, query_block: about how many vectors a row of packed candidates or queries holds; group: query blocks a task takes for one block of candidates.
     """
     base = quantised(vectors, id_column, vector_column, scale)
-    n = base.groupBy("dim").agg(F.count("*").alias("n"))  # one row per dimension
+    n = base.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("asked"))  # one row per dimension
     sized = base.join(n, "dim")
-    pack = F.sort_array(F.collect_list(F.struct("id", "v"))).alias("items")
-
-    def packed(rows: DataFrame, count, per: int, name: str) -> DataFrame:
-        deal = F.pmod(F.xxhash64("id"), F.ceil(count / per)).alias(name)
-        return rows.withColumn(name, deal).groupBy("dim", "n", name).agg(pack)
-
-    candidates = packed(sized, F.col("n"), block, "cb").withColumnRenamed("items", "c_items")
-    queries = packed(sized.where(F.col("id") % every == 0), F.greatest(F.col("n") / every, F.lit(1)), query_block, "qb")
-    queries = queries.select("dim", "qb", F.col("items").alias("q_items"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("cb"))
-    pairs = queries.join(candidates.drop("n"), ["dim", "cb"])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = n.agg(F.coalesce(F.sum(F.ceil(F.col("n") / block) * F.ceil(F.col("asked") / (query_block * group))), F.lit(1))).first()[0]
+    parts = int(min(max(parts, 1) * 2, 20_000))  # each with a candidate block and a group of query blocks or two; fewer rows than that need no more
+    groups = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("asked") / (query_block * group)) - 1)
+    candidates = packed(sized, F.col("n"), block, "cb").join(n, "dim").where("asked > 0")
+    candidates = candidates.select("dim", "cb", F.explode(groups).alias("qg"), F.col("ids").alias("c_ids"), F.col("cells").alias("c_cells"), F.col("cell").alias("c_cell"))
+    queries = packed(sized.where(F.col("id") % every == 0), F.col("asked"), query_block, "qb").join(n, "dim")
+    every_block = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)
+    queries = queries.select("dim", F.floor(F.col("qb") / group).alias("qg"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("cell").alias("q_cell"), F.explode(every_block).alias("cb"))
+    keys = ["dim", "cb", "qg"]
+    pairs = queries.repartition(parts, *keys).join(candidates.repartition(parts, *keys).hint("merge"), keys)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, matrix, rising = None, None, None, None
         for batch in batches:
-            for q_items, c_items in zip(batch["q_items"], batch["c_items"], strict=True):
-                ids = np.array([x["id"] for x in c_items], np.int64)
-                matrix = np.array([x["v"] for x in c_items], np.int64)
-                exact = matrix.shape[1] * float(np.abs(matrix).max()) * max(float(np.abs(x["v"]).max()) for x in q_items) < 2**52
-                if exact:  # then doubles hold every sum, and numpy multiplies them faster
-                    matrix = matrix.astype(np.float64)
-                rising = np.argsort(matrix, axis=0, kind="stable").T.copy()
-                found = [(int(x["id"]), score, vec) for x in q_items for score, vec in threshold_search(matrix, ids, rising, np.array(x["v"], matrix.dtype), int(x["id"]), k)]
-                yield pd.DataFrame(found, columns=["query_id", "score", "vec_id"]).astype("int64")
-
-    found = pairs.select("q_items", "c_items").mapInPandas(search, "query_id long, score long, vec_id long")
+            for x in range(batch.num_rows):
+                dim, cb, _, q_ids, q_cells, q_cell, c_ids, c_cells, c_cell = (batch.column(i)[x].as_py() for i in range(9))
+                if last != (dim, cb):
+                    last, ids = (dim, cb), np.frombuffer(c_ids, np.int64)
+                    whole = np.frombuffer(c_cells, c_cell).reshape(-1, dim).astype(np.int64)
+                    rising, largest = np.argsort(whole, axis=0, kind="stable").T.copy(), float(np.abs(whole).max())
+                    floats = whole.astype(np.float64)
+                asked = np.frombuffer(q_cells, q_cell).reshape(-1, dim).astype(np.int64)
+                exact = dim * largest * float(np.abs(asked).max()) < 2**52  # then doubles hold every sum, and numpy multiplies them faster
+                matrix, asked = (floats, asked.astype(np.float64)) if exact else (whole, asked)
+                found = [(int(q), score, vec) for q, v in zip(np.frombuffer(q_ids, np.int64), asked, strict=True) for score, vec in threshold_search(matrix, ids, rising, v, int(q), k)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "score", "vec_id"])
+
+    found = pairs.select(*keys, "q_ids", "q_cells", "q_cell", "c_ids", "c_cells", "c_cell").mapInArrow(search, "query_id long, score long, vec_id long")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
