@@ -75,6 +75,16 @@ DEFINITIONS: dict[str, tuple[str, str | None]] = {
            FROM (SELECT id, tenant_id, text, CAST(unnest(generate_series(0, greatest(length(text) - 201, 0), 1000)) AS INT) AS start FROM {docs} WHERE status = 'active')
            WHERE trim(substr(text, start + 1, 1200)) <> ''""",
     ),
+    "named": (
+        """SELECT id, CASE WHEN id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_type,
+             concat(array_join(CASE WHEN id % 7 = 0 THEN reverse(w) ELSE w END, ' '), CASE WHEN id % 13 = 0 THEN ' ii' WHEN id % 5 = 1 THEN 'q' ELSE '' END) AS value
+           FROM (SELECT doc_id AS id, slice(filter(split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ')), ' '), x -> x <> ''), 1, CAST(2 + doc_id % 3 AS INT)) AS w FROM {documents})
+           WHERE size(w) > 0""",
+        """SELECT id, CASE WHEN id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_type,
+             concat(array_to_string(CASE WHEN id % 7 = 0 THEN list_reverse(w) ELSE w END, ' '), CASE WHEN id % 13 = 0 THEN ' ii' WHEN id % 5 = 1 THEN 'q' ELSE '' END) AS value
+           FROM (SELECT doc_id AS id, list_filter(string_split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')[1:2 + doc_id % 3] AS w FROM {documents})
+           WHERE len(w) > 0""",
+    ),
     "vectors": ("SELECT vec_id AS chunk_id, CAST(floor(vec_id / 5) AS BIGINT) AS document_id, label AS category, embedding FROM {embeddings}", None),
 }
 

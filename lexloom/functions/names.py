@@ -18,26 +18,81 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
-def trigram_pairs(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataFrame:
-    """a, b, score: pairs (a < b) of one block whose trigram similarity reaches threshold[0] / threshold[1].
+def gram_matches(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataFrame:
+    """a, b, score: pairs (a < b) of one block whose trigram similarity reaches threshold[0] / threshold[1]. rows: id, block, name, each name once a block.
 
-    rows: id, block, name. A pair that is similar enough shares one of the first n - ceil(t * n) + 1 grams of each side
-    in an order of all grams, so only those meet in the join; both sets are then compared whole.
+    Grams are ordered by how many names hold them, rare ones first. A similar pair shares one of the first
+    n - ceil(t * n) + 1 grams of each side, at positions that leave enough behind them, and its sizes are near; only ids
+    meet there, the sets are attached for the final comparison.
     """
     p, q = threshold
-    sets = rows.select("id", "block", F.array_sort(F.transform(trigrams(F.col("name")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))).alias("grams")).where(F.size("grams") > 0)
-    n = F.size("grams")
-    first = sets.select("id", "block", "grams", F.explode(F.slice("grams", F.lit(1), (n - F.ceil(n * p / q) + 1).cast("int"))).alias("gram"))
-    a, b = (first.select(F.col("id").alias(x), "block", F.col("grams").alias(f"{x}_grams"), "gram") for x in "ab")
-    met = a.join(b, ["block", "gram"]).where("a < b").dropDuplicates(["a", "b"])
+    sets = rows.select("id", "block", trigrams(F.col("name")).alias("grams")).where(F.size("grams") > 0)
+    each = sets.select("id", "block", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = each.groupBy("block", "gram").agg(F.count("*").alias("names"))
+    order = each.join(counts, ["block", "gram"]).groupBy("id", "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("names", "gram"))).alias("grams"))
+    first = order.select("id", "block", "n", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * p / q) + 1).cast("int"))).alias("at", "gram"))
+    a, b = (first.select(F.col("id").alias(x), "block", F.col("gram.gram").alias("gram"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at")) for x in "ab")
+    near = (F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (p + q) >= (F.col("a_n") + F.col("b_n")) * p)
+    met = a.join(b, ["block", "gram"]).where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
+    held = sets.select("id", "grams")
+    whole = met.join(held.withColumnsRenamed({"id": "a", "grams": "a_grams"}), "a").join(held.withColumnsRenamed({"id": "b", "grams": "b_grams"}), "b")
     both, either = F.size(F.array_intersect("a_grams", "b_grams")), F.size(F.array_union("a_grams", "b_grams"))
-    return met.where(both * q >= p * either).select("a", "b", (both / either).alias("score"))
+    return whole.where(both * q >= p * either).select("a", "b", (both / either).alias("score"))
+
+
+def trigram_pairs(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataFrame:
+    """a, b, score: pairs (a < b) of one block whose trigram similarity reaches threshold[0] / threshold[1]. rows: id, block, name.
+
+    Equal names of a block are compared once; their pairs are made from the names that match.
+    """
+    held = rows.where("name IS NOT NULL").groupBy("block", "name").agg(F.min("id").alias("name_id"))
+    names = gram_matches(held.select(F.col("name_id").alias("id"), "block", "name"), threshold)
+    alike = held.where(F.size(trigrams(F.col("name"))) > 0).select(F.col("name_id").alias("x"), F.col("name_id").alias("y"), F.lit(1.0).alias("score"))
+    both = names.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(names.select(F.col("b").alias("x"), F.col("a").alias("y"), "score")).unionByName(alike)
+    named = rows.join(held, ["block", "name"]).select("id", "name_id")
+    found = named.select(F.col("id").alias("a"), F.col("name_id").alias("x")).join(both, "x").join(named.select(F.col("id").alias("b"), F.col("name_id").alias("y")), "y")
+    return found.where(F.col("a") < F.col("b")).select("a", "b", "score")
+
+
+def name_tokens(name: Column) -> Column:
+    """Distinct sorted tokens, lower-cased, punctuation as spaces; the lower-cased words themselves where nothing is left."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}\s_]", " ")), r"\s+"), lambda w: w != "")
+    bare = F.filter(F.split(F.lower(name), r"\s+"), lambda w: w != "")
+    return F.array_sort(F.array_distinct(F.when(F.size(words) > 0, words).otherwise(bare)))
 
 
 def resolution_key(name: Column) -> Column:
-    """Punctuation stripped, lower-cased, tokens distinct and sorted; the trimmed name where nothing is left."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}\s_]", "")), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) > 0, F.array_join(F.array_sort(F.array_distinct(words)), " ")).otherwise(F.lower(F.trim(name)))
+    """The name's tokens, joined; one key for any order, case and punctuation of its words."""
+    return F.array_join(name_tokens(name), " ")
+
+
+def display_key(name: Column) -> Column:
+    """Lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+
+
+def merchant_key(name: Column) -> Column:
+    """Punctuation as spaces, lower case, single spaces; null where nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}\s_]", " "), r"\s+", " ")), F.lit(""))
+
+
+def postal_place(value: Column) -> Column:
+    """struct(code, place) of a name that begins with 4 or 5 digits and goes on with a letter; null for others."""
+    pattern = r"^(\d{4,5})\s+(\p{L}.+)$"
+    bare = F.trim(value)
+    return F.when(bare.rlike(pattern), F.struct(F.regexp_extract(bare, pattern, 1).alias("code"), F.trim(F.regexp_extract(bare, pattern, 2)).alias("place")))
+
+
+def typo_tokens(a: Column, b: Column) -> Column:
+    """Different tokens of at least 4 characters with one first character and one edit between them."""
+    return (a != b) & (F.least(F.length(a), F.length(b)) >= 4) & (F.substr(a, F.lit(1), F.lit(1)) == F.substr(b, F.lit(1), F.lit(1))) & within_one_edit(a, b)
+
+
+def edit_keys(value: Column) -> Column:
+    """The value and what is left of it without one character: values within one edit, or one swap, share a key."""
+    n = F.length(value)
+    dropped = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(value, F.lit(1), i - 1), F.substr(value, i + 1, n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(value), dropped))
 
 
 def category_key(name: Column) -> Column:
@@ -59,9 +114,7 @@ def one_edit_pairs(values: DataFrame) -> DataFrame:
 
     Such values share a key among the value itself and the value with one character removed; two swapped neighbours too.
     """
-    n = F.length("value")
-    dropped = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr("value", F.lit(1), i - 1), F.substr("value", i + 1, n)))).otherwise(F.array().cast("array<string>"))
-    keys = values.select("value").where("value IS NOT NULL").distinct().select("value", F.explode(F.array_distinct(F.concat(F.array("value"), dropped))).alias("key"))
+    keys = values.select("value").where("value IS NOT NULL").distinct().select("value", F.explode(edit_keys(F.col("value"))).alias("key"))
     met = keys.withColumnRenamed("value", "first").join(keys.withColumnRenamed("value", "second"), "key").where("first < second").dropDuplicates(["first", "second"])
     return met.where(within_one_edit(F.col("first"), F.col("second"))).select("first", "second")
 

@@ -1,6 +1,6 @@
 """Named queries over the standard tables, and for each the SQL that states its result."""
 
-from . import aggregates, filters, graphs, joins, ledgers, paging, searches, texts
+from . import aggregates, filters, graphs, joins, ledgers, paging, resolution, searches, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "graphs", "joins", "ledgers", "paging", "searches", "texts"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "graphs", "joins", "ledgers", "paging", "resolution", "searches", "texts"]
