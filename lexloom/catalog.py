@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 DEFINITIONS: dict[str, tuple[str, str | None]] = {
     "docs": (
         """SELECT doc_id AS id, source AS tenant_id, sha2(text, 256) AS sha256, lang AS language, text,
-             CASE WHEN row_number() OVER (PARTITION BY source, sha2(text, 256) ORDER BY doc_id) = 1 THEN 'active' ELSE 'duplicate' END AS status,
+             CASE WHEN first IS NULL THEN 'duplicate' ELSE 'active' END AS status,
              substr(split_part(text, chr(10), 1), 1, 60) AS title, date_add(DATE '2024-01-01', CAST(doc_id % 365 AS INT)) AS document_date,
-             CASE WHEN doc_id % 7 = 0 THEN TRUE WHEN doc_id % 7 = 1 THEN FALSE END AS unidentifiable FROM {documents}""",
+             CASE WHEN doc_id % 7 = 0 THEN TRUE WHEN doc_id % 7 = 1 THEN FALSE END AS unidentifiable
+           FROM {documents} LEFT JOIN (SELECT min(doc_id) AS first FROM {documents} GROUP BY source, sha2(text, 256)) ON doc_id = first""",
         """SELECT doc_id AS id, source AS tenant_id, sha256(text) AS sha256, lang AS language, text,
              CASE WHEN row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) = 1 THEN 'active' ELSE 'duplicate' END AS status,
              substr(split_part(text, chr(10), 1), 1, 60) AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS DATE) AS document_date,
@@ -85,6 +86,20 @@ DEFINITIONS: dict[str, tuple[str, str | None]] = {
            FROM (SELECT doc_id AS id, list_filter(string_split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')[1:2 + doc_id % 3] AS w FROM {documents})
            WHERE len(w) > 0""",
     ),
+    "letters": (
+        """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
+             CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627' WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,
+             CASE k % 3 WHEN 0 THEN concat('Register: HRB ', CAST(k % 100000 AS STRING)) WHEN 1 THEN concat('Amtsgericht Bonn, VR ', CAST(k % 100000 AS STRING)) ELSE 'Code PR 77' END,
+             CASE k % 2 WHEN 0 THEN 'Steuernummer 12/345/67890' ELSE 'Az. 12/345/67890' END,
+             CASE k % 3 WHEN 0 THEN 'Ruf +49 30 1234567' WHEN 1 THEN 'Tel. 030 1234567' ELSE 'Kunde 030 1234567' END,
+             concat('Hauptstraße ', CAST(1 + k % 90 AS STRING)), concat(CAST(10000 + k % 80000 AS STRING), ' München'), 'Ende.') AS text FROM (SELECT *, concat('DE', lpad(CAST(98 - CAST(CAST(concat(bban, '131400') AS DECIMAL(38, 0)) % 97 AS INT) AS STRING), 2, '0'), substr(bban, 1, 17), CASE WHEN broken = 3 THEN CAST((CAST(substr(bban, 18, 1) AS INT) + 1) % 10 AS STRING) ELSE substr(bban, 18, 1) END) AS iban FROM (SELECT c_custkey AS id, lpad(CAST(c_custkey * 7919 AS STRING), 18, '0') AS bban, c_custkey % 4 AS broken, c_name, CAST(c_custkey AS STRING) AS n, c_custkey AS k FROM {customer}))""",
+        """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
+             CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627' WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,
+             CASE k % 3 WHEN 0 THEN concat('Register: HRB ', CAST(k % 100000 AS VARCHAR)) WHEN 1 THEN concat('Amtsgericht Bonn, VR ', CAST(k % 100000 AS VARCHAR)) ELSE 'Code PR 77' END,
+             CASE k % 2 WHEN 0 THEN 'Steuernummer 12/345/67890' ELSE 'Az. 12/345/67890' END,
+             CASE k % 3 WHEN 0 THEN 'Ruf +49 30 1234567' WHEN 1 THEN 'Tel. 030 1234567' ELSE 'Kunde 030 1234567' END,
+             concat('Hauptstraße ', CAST(1 + k % 90 AS VARCHAR)), concat(CAST(10000 + k % 80000 AS VARCHAR), ' München'), 'Ende.') AS text FROM (SELECT *, concat('DE', lpad(CAST(98 - CAST(CAST(concat(bban, '131400') AS HUGEINT) % 97 AS INT) AS VARCHAR), 2, '0'), substr(bban, 1, 17), CASE WHEN broken = 3 THEN CAST((CAST(substr(bban, 18, 1) AS INT) + 1) % 10 AS VARCHAR) ELSE substr(bban, 18, 1) END) AS iban FROM (SELECT c_custkey AS id, lpad(CAST(c_custkey * 7919 AS VARCHAR), 18, '0') AS bban, c_custkey % 4 AS broken, c_name, CAST(c_custkey AS VARCHAR) AS n, c_custkey AS k FROM {customer}))""",
+    ),
     "vectors": ("SELECT vec_id AS chunk_id, CAST(floor(vec_id / 5) AS BIGINT) AS document_id, label AS category, embedding FROM {embeddings}", None),
 }
 

@@ -9,17 +9,21 @@ from ..workspace import Workspace
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """a, b for each edge in each direction."""
-    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """id, depth: nodes within `hops` of the seeds (column id), each with its least depth."""
+    """id, depth: nodes within `hops` of the seeds (column id), each with its least depth.
+
+    A hop joins the edges with what the last one reached, a written table: Spark sends it to every task while it is small.
+    """
+    ws = Workspace(edges.sparkSession, "neighbourhood")
     steps = both_ways(edges)
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    seen = ws.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "depth-0")
     frontier = seen
     for depth in range(1, hops + 1):
-        reached = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+        reached = steps.join(frontier, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
+        frontier = ws.save(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), f"depth-{depth}")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -36,16 +40,16 @@ def shortest_paths(edges: DataFrame, start: str, end: str, most: int = 4) -> Dat
 
     The frontier keeps one path a node (the least), so it never outgrows the nodes.
     """
+    ws = Workspace(edges.sparkSession, "paths")
     steps = both_ways(edges)
-    frontier = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
-    found = frontier.where(F.col("id") == end).select("path")
-    seen = frontier.select("id")
-    for _ in range(most if start != end else 0):
-        walked = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        frontier = walked.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        seen = seen.unionByName(frontier.select("id"))
-        found = found.unionByName(frontier.where(F.col("id") == end).select("path"))
-    return found.where(F.size("path") > 1).orderBy(F.size("path"), "path").limit(1)
+    frontier = seen = ws.save(edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>"), "depth-0")
+    for depth in range(1, most + 1 if start != end else 1):
+        walked = steps.join(frontier, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
+        frontier = ws.save(walked.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), f"depth-{depth}")
+        if not frontier.limit(1).count() or frontier.where(F.col("id") == end).count():
+            break
+        seen = seen.unionByName(frontier)
+    return frontier.where((F.col("id") == end) & (F.size("path") > 1)).select("path")
 
 
 def label_components(links: DataFrame) -> DataFrame:

@@ -44,7 +44,9 @@ def h17_pairs(spark, sf_dir):
     return names.one_edit_pairs(frame(spark, sf_dir, "entities"))
 
 
-@query("h24_text_quality")
+@query("h24_text_quality", """WITH d AS (SELECT id, text, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w, regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS solid FROM {docs}),
+ q AS (SELECT id, text, CASE WHEN len(w) > 0 THEN round(0.6::DOUBLE * len(list_filter(w, lambda x: regexp_full_match(x, '[\\p{L}]{2,}[.,;:!?]?'))) / len(w) + 0.4::DOUBLE * length(regexp_replace(solid, '[^\\p{L}]', '', 'g')) / greatest(length(solid), 1), 4) ELSE 0.0::DOUBLE END AS quality FROM d)
+ SELECT id, quality, CASE WHEN length(trim(text)) >= 40 THEN quality < 0.35 END AS unidentifiable FROM q""")
 def h24(spark, sf_dir):
     return frame(spark, sf_dir, "docs").select("id", text.text_quality(F.col("text")).alias("quality"), text.unidentifiable(F.col("text")).alias("unidentifiable"))
 
@@ -71,4 +73,18 @@ sql("i8_metadata_normalise", "SELECT id, CASE WHEN lower(trim(title)) IN ('', 'n
 sql("i10_derived_duration", "SELECT user_id, event_id, CASE WHEN gap > 0 THEN gap END AS seconds FROM (SELECT user_id, event_id, unix_timestamp(ts) - unix_timestamp(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM {events})", "SELECT user_id, event_id, CASE WHEN gap > 0 THEN gap END AS seconds FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS gap FROM events)")
 sql("i17_json_merge", "SELECT event_id, to_json(map_concat(from_json(props, 'map<string,int>'), map('seen', 1))) AS props FROM {events}", """SELECT event_id, replace(CAST(json_merge_patch(props, '{"seen": 1}') AS VARCHAR), ' ', '') AS props FROM events""")
 sql("l26_head_slice", "SELECT id, substr(text, 1, 6000) AS head FROM {docs}")
-sql("l32_provenance_check", "SELECT b.item_id, d.doc_id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text) WHERE trim(b.text) <> ''")
+@query("l32_provenance_check", "SELECT b.item_id, d.doc_id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text) WHERE trim(b.text) <> ''")
+def l32(spark, sf_dir):
+    """Passages that stand in documents: both meet on a run of five inner words of the passage, shorter passages look at every document."""
+    run = 5
+    passages = frame(spark, sf_dir, "benchmark").where("trim(text) <> ''").select("item_id", F.col("text").alias("passage"), F.split("text", " ").alias("w"))
+    anchored = passages.where(F.size("w") >= run + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, run), " ")).alias("anchor"))
+    docs = frame(spark, sf_dir, "documents").select("doc_id", "text")
+    # words by place, zipped with themselves moved on: slices in a lambda would split the text at every place
+    split = docs.select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= run)
+    moved = F.arrays_zip(*(F.slice("w", F.lit(k), F.size("w") - run + 1).alias(f"w{k}") for k in range(1, run + 1)))
+    places = split.select("doc_id", F.explode(moved).alias("z")).select("doc_id", F.xxhash64(F.concat_ws(" ", *(f"z.w{k}" for k in range(1, run + 1)))).alias("anchor"))
+    met = places.join(anchored, "anchor").select("doc_id", "item_id", "passage").distinct()
+    long = docs.join(met, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = passages.where(F.size("w") < run + 2).select("item_id", "passage").join(docs, F.contains("text", "passage")).select("item_id", "doc_id")
+    return long.unionByName(short)
