@@ -86,6 +86,16 @@ DEFINITIONS: dict[str, tuple[str, str | None]] = {
            FROM (SELECT doc_id AS id, list_filter(string_split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')[1:2 + doc_id % 3] AS w FROM {documents})
            WHERE len(w) > 0""",
     ),
+    # words of titles as mentions of entities
+    "spots": (
+        """SELECT id AS document_id, title, s.start AS start, s.end AS stop, s.value AS value, CASE WHEN length(s.value) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS label, CAST(length(s.value) % 7 AS DOUBLE) / 8 AS score
+           FROM (SELECT id, title, explode(transform(sequence(1, size(m)), i -> named_struct('start', aggregate(slice(g, 1, i), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i - 1), 0, (a, x) -> a + length(x)),
+               'end', aggregate(slice(g, 1, i), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x)), 'value', m[i - 1]))) AS s
+             FROM (SELECT id, title, split(title, '[A-Z][a-z]+|[a-z]{5,}', -1) AS g, regexp_extract_all(title, '[A-Z][a-z]+|[a-z]{5,}', 0) AS m FROM {docs} WHERE status = 'active') WHERE size(m) > 0)""",
+        """SELECT document_id, title, CAST(start AS INT) AS start, CAST(start + length(value) AS INT) AS stop, value, CASE WHEN length(value) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS label, CAST(length(value) % 7 AS DOUBLE) / 8 AS score
+           FROM (SELECT document_id, title, m[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+             FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT id AS document_id, title, string_split_regex(title, '[A-Z][a-z]+|[a-z]{5,}') AS g, regexp_extract_all(title, '[A-Z][a-z]+|[a-z]{5,}') AS m FROM {docs} WHERE status = 'active')))""",
+    ),
     "letters": (
         """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
              CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627' WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,

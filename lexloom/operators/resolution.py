@@ -159,7 +159,7 @@ def fuzzy_top(entities: DataFrame, wanted: DataFrame, threshold: tuple[int, int]
     asked = wanted.select("query_id", "entity_type", grams.alias("asked")).where("size(asked) > 0")
     asked = asked.select("*", F.explode(F.slice("asked", F.lit(1), (F.size("asked") - F.ceil(F.size("asked") * p / q) + 1).cast("int"))).alias("gram"))
     held = nodes_of(entities).select("id", "entity_type", grams.alias("held")).select("*", F.explode("held").alias("gram"))
-    met = asked.join(held, ["entity_type", "gram"]).dropDuplicates(["query_id", "id"])
+    met = asked.join(held, ["entity_type", "gram"]).dropDuplicates(["query_id", "id", "held"])
     both, either = F.size(F.array_intersect("asked", "held")), F.size(F.array_union("asked", "held"))
     scored = met.where(both * q >= p * either).select("query_id", "id", (both / either).alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -1,6 +1,6 @@
 """Named queries over the standard tables, and for each the SQL that states its result."""
 
-from . import aggregates, answers, filters, graphs, identifiers, joins, ledgers, paging, resolution, searches, texts
+from . import aggregates, answers, filters, graphs, identifiers, joins, ledgers, paging, resolution, searches, texts, triples
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "answers", "filters", "graphs", "identifiers", "joins", "ledgers", "paging", "resolution", "searches", "texts"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "answers", "filters", "graphs", "identifiers", "joins", "ledgers", "paging", "resolution", "searches", "texts", "triples"]
