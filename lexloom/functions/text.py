@@ -31,3 +31,41 @@ def chunks(docs: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
     rows = docs.select("id", clean.alias("t")).select("id", "t", F.posexplode(starts).alias("ordinal", "start"))
     rows = rows.select("id", "ordinal", "start", F.substr("t", F.col("start") + 1, F.lit(size)).alias("text"))
     return rows.where(F.trim("text") != "").withColumn("tokens", token_estimate(F.col("text")))
+
+
+#: Frequent short words of four languages.
+STOPWORDS = {
+    "en": "the of and to in is that for it with as was on be by this are from or an".split(),
+    "fr": "le la les de des et un une du en est que dans pour sur au qui par ne pas".split(),
+    "de": "der die das und ist nicht den von mit ein eine zu im dem auf für des sich als auch".split(),
+    "es": "el los las y una del que en es por con para se su al lo como más pero o".split(),
+}
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"
+
+
+def _among(known: list[str]):
+    return lambda w: w.isin(known)
+
+
+def language(text: Column) -> Column:
+    """The language whose frequent words stand most often in a text, the first of equals; unknown without any, and below 20 characters."""
+    words = F.split(F.lower(text), "[^a-zà-öø-ÿß]+")
+    hits = {name: F.size(F.filter(words, _among(known))) for name, known in STOPWORDS.items()}
+    most, out = F.greatest(*hits.values()), F.when(F.length(F.trim(text)) < 20, "unknown")
+    out = out.when(most == 0, "unknown")
+    for name, n in hits.items():
+        out = out.when(n == most, name)
+    return out
+
+
+def plausible(term: Column, script: str = "latin") -> Column:
+    """Three letters or more, no character four times in a row, letters of the script (or of none of the known ones), and in Latin enough vowels."""
+    letters = F.length(F.regexp_replace(term, r"[^\p{L}]", ""))
+    vowels = F.length(F.regexp_replace(F.lower(term), f"[^{VOWELS}]", ""))
+    scripts = {"cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "cyrillic": r"\p{IsCyrillic}", "latin": r"\p{IsLatin}"}
+    foreign = F.lit(False)
+    for name, pattern in scripts.items():
+        if name != script:
+            foreign = foreign | term.rlike(pattern)
+    good = (letters >= 3) & ~term.rlike(r"(.)\1{3}") & ~foreign
+    return good & (vowels > 0) & (vowels >= 0.15 * letters) if script == "latin" else good

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "lexloom-shared")
-        spark.conf.set("lexloom.shared.dir", folder)
     return folder.rstrip("/")
 
 
