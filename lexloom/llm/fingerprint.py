@@ -112,11 +112,13 @@ class Sketches:
         return [base64.b64encode(x.tobytes()).decode() for x in np.concatenate(parts, axis=1)]
 
 
-def difference(rows: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def difference(rows: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, budget: int = 4_000_000, most_cells: int = CELLS * 4**13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, digest, sign: 1 only in a, -1 only in b) of what differs; a, b: (row, digest) of the paragraphs of rows 0 .. rows - 1."""
     found = []
     open_ = np.arange(rows)
     while len(open_):
+        if cells > most_cells:  # two digests that share all cells at every size, or a difference beyond any text's
+            raise RuntimeError(f"difference: {len(open_)} rows do not decode in {most_cells} cells")
         failed = []
         step = max(1, budget // cells)
         for low in range(0, len(open_), step):

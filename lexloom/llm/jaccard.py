@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, most_frequent, text_or_empty
+from .common import WORD, Workspace, most_frequent, text_or_empty
 from ..stars import components
 from .words import mixed, runs, shingle_sets, weighed_shingle_sets
 
@@ -381,14 +381,16 @@ def near_components(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null ids last), then of a hash of the text."""
-    found = labelled_components(docs, width)
+    """docs with one row of each component: that of the smallest doc_id (null ids last), then of a hash of the text.
+
+    Rows without words are in no component: all stay. Repeated rows, and equal texts with one id, are copies: one stays.
+    """
+    text = text_or_empty()
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_tie"), text.rlike(WORD).alias("worded"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("key").alias("tie"))
-    best = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("best")).select("best.id", "best.tie")
-    best = best.unionByName(found.where("label IS NULL").select(F.col("doc_id").alias("id"), F.col("key").alias("tie")).distinct())
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_tie"))
-    kept = keyed.join(best, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")), "left_semi")
-    return kept.dropDuplicates(["own_id", "own_tie"]).select("row.*")
+    found = labelled_components(docs, width).where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("best")).select("best.id", "best.tie")
+    kept = keyed.where("worded").join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tie") == F.col("tie")), "left_semi").dropDuplicates(["own_id", "own_tie"])
+    return kept.unionByName(keyed.where("NOT worded")).select("row.*")
 
 
 def labelled_components(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -73,7 +73,9 @@ class Grams:
                 buckets.append(((x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39) >> np.uint32(32 - BITS)).astype(np.int32))
                 counts.append(inner)
         # a word that follows itself counts once
-        head, tail = spread[-1][begins], spread[0][begins + np.maximum(lengths - 1, 0)]
+        head, tail = value[begins + 1], spread[0][begins + np.maximum(lengths - 1, 0)]
+        for size, x in zip(GRAMS, spread, strict=True):  # the longest n-gram from the word's edge that ends within it
+            head = np.where(lengths >= size - 1, x[begins], head)
         text = np.searchsorted(ends, begins + 1, "right")
         same = np.zeros(len(begins), bool)
         same[1:] = (head[1:] == head[:-1]) & (tail[1:] == tail[:-1]) & (lengths[1:] == lengths[:-1]) & (text[1:] == text[:-1])
