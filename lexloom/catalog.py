@@ -78,37 +78,64 @@ DEFINITIONS: dict[str, tuple[str, str | None]] = {
     ),
     "named": (
         """SELECT id, CASE WHEN id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_type,
-             concat(array_join(CASE WHEN id % 7 = 0 THEN reverse(w) ELSE w END, ' '), CASE WHEN id % 13 = 0 THEN ' ii' WHEN id % 5 = 1 THEN 'q' ELSE '' END) AS value
-           FROM (SELECT doc_id AS id, slice(filter(split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ')), ' '), x -> x <> ''), 1, CAST(2 + doc_id % 3 AS INT)) AS w FROM {documents})
+             concat(array_join(CASE WHEN id % 7 = 0 THEN reverse(w) ELSE w END, ' '), CASE WHEN id % 13 = 0 THEN ' ii' WHEN id % 5 = 1 THEN 'q'
+  ELSE '' END) AS value
+          
+  FROM (SELECT doc_id AS id, slice(filter(split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ')), ' '), x -> x <> ''), 1, CAST(2 + doc_id % 3 AS INT)) AS w
+  FROM {documents})
            WHERE size(w) > 0""",
         """SELECT id, CASE WHEN id % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS entity_type,
-             concat(array_to_string(CASE WHEN id % 7 = 0 THEN list_reverse(w) ELSE w END, ' '), CASE WHEN id % 13 = 0 THEN ' ii' WHEN id % 5 = 1 THEN 'q' ELSE '' END) AS value
-           FROM (SELECT doc_id AS id, list_filter(string_split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')[1:2 + doc_id % 3] AS w FROM {documents})
+             concat(array_to_string(CASE WHEN id % 7 = 0 THEN list_reverse(w) ELSE w END, ' '), CASE WHEN id % 13 = 0 THEN ' ii'
+  WHEN id % 5 = 1 THEN 'q' ELSE '' END) AS value
+          
+  FROM (SELECT doc_id AS id, list_filter(string_split(lower(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> '')[1:2 + doc_id % 3] AS w
+  FROM {documents})
            WHERE len(w) > 0""",
     ),
     # words of titles as mentions of entities
     "spots": (
-        """SELECT id AS document_id, title, s.start AS start, s.end AS stop, s.value AS value, CASE WHEN length(s.value) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS label, CAST(length(s.value) % 7 AS DOUBLE) / 8 AS score
-           FROM (SELECT id, title, explode(transform(sequence(1, size(m)), i -> named_struct('start', aggregate(slice(g, 1, i), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i - 1), 0, (a, x) -> a + length(x)),
+        """SELECT id AS document_id, title, s.start AS start, s.end AS stop, s.value AS value, CASE WHEN length(s.value) % 2 = 0 THEN 'PERSON'
+  ELSE 'ORG' END AS label, CAST(length(s.value) % 7 AS DOUBLE) / 8 AS score
+          
+  FROM (SELECT id, title, explode(transform(sequence(1, size(m)), i -> named_struct('start', aggregate(slice(g, 1, i), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i - 1), 0, (a, x) -> a + length(x)),
                'end', aggregate(slice(g, 1, i), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x)), 'value', m[i - 1]))) AS s
-             FROM (SELECT id, title, split(title, '[A-Z][a-z]+|[a-z]{5,}', -1) AS g, regexp_extract_all(title, '[A-Z][a-z]+|[a-z]{5,}', 0) AS m FROM {docs} WHERE status = 'active') WHERE size(m) > 0)""",
-        """SELECT document_id, title, CAST(start AS INT) AS start, CAST(start + length(value) AS INT) AS stop, value, CASE WHEN length(value) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS label, CAST(length(value) % 7 AS DOUBLE) / 8 AS score
-           FROM (SELECT document_id, title, m[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
-             FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT id AS document_id, title, string_split_regex(title, '[A-Z][a-z]+|[a-z]{5,}') AS g, regexp_extract_all(title, '[A-Z][a-z]+|[a-z]{5,}') AS m FROM {docs} WHERE status = 'active')))""",
+             FROM (SELECT id, title, split(title, '[A-Z][a-z]+|[a-z]{5,}', -1) AS g, regexp_extract_all(title, '[A-Z][a-z]+|[a-z]{5,}', 0) AS m
+  FROM {docs} WHERE status = 'active') WHERE size(m) > 0)""",
+        """SELECT document_id, title, CAST(start AS INT) AS start, CAST(start + length(value) AS INT) AS stop, value, CASE
+  WHEN length(value) % 2 = 0 THEN 'PERSON' ELSE 'ORG' END AS label, CAST(length(value) % 7 AS DOUBLE) / 8 AS score
+          
+  FROM (SELECT document_id, title, m[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+             FROM (SELECT *, unnest(generate_series(1, len(m))) AS i
+  FROM (SELECT id AS document_id, title, string_split_regex(title, '[A-Z][a-z]+|[a-z]{5,}') AS g, regexp_extract_all(title, '[A-Z][a-z]+|[a-z]{5,}') AS m
+  FROM {docs} WHERE status = 'active')))""",
     ),
     "letters": (
-        """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
-             CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627' WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,
-             CASE k % 3 WHEN 0 THEN concat('Register: HRB ', CAST(k % 100000 AS STRING)) WHEN 1 THEN concat('Amtsgericht Bonn, VR ', CAST(k % 100000 AS STRING)) ELSE 'Code PR 77' END,
+        """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban
+  ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
+             CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627'
+  WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,
+             CASE k % 3 WHEN 0 THEN concat('Register: HRB ', CAST(k % 100000 AS STRING))
+  WHEN 1 THEN concat('Amtsgericht Bonn, VR ', CAST(k % 100000 AS STRING)) ELSE 'Code PR 77' END,
              CASE k % 2 WHEN 0 THEN 'Steuernummer 12/345/67890' ELSE 'Az. 12/345/67890' END,
              CASE k % 3 WHEN 0 THEN 'Ruf +49 30 1234567' WHEN 1 THEN 'Tel. 030 1234567' ELSE 'Kunde 030 1234567' END,
-             concat('Hauptstraße ', CAST(1 + k % 90 AS STRING)), concat(CAST(10000 + k % 80000 AS STRING), ' München'), 'Ende.') AS text FROM (SELECT *, concat('DE', lpad(CAST(98 - CAST(CAST(concat(bban, '131400') AS DECIMAL(38, 0)) % 97 AS INT) AS STRING), 2, '0'), substr(bban, 1, 17), CASE WHEN broken = 3 THEN CAST((CAST(substr(bban, 18, 1) AS INT) + 1) % 10 AS STRING) ELSE substr(bban, 18, 1) END) AS iban FROM (SELECT c_custkey AS id, lpad(CAST(c_custkey * 7919 AS STRING), 18, '0') AS bban, c_custkey % 4 AS broken, c_name, CAST(c_custkey AS STRING) AS n, c_custkey AS k FROM {customer}))""",
-        """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
-             CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627' WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,
-             CASE k % 3 WHEN 0 THEN concat('Register: HRB ', CAST(k % 100000 AS VARCHAR)) WHEN 1 THEN concat('Amtsgericht Bonn, VR ', CAST(k % 100000 AS VARCHAR)) ELSE 'Code PR 77' END,
+             concat('Hauptstraße ', CAST(1 + k % 90 AS STRING)), concat(CAST(10000 + k % 80000 AS STRING), ' München'), 'Ende.') AS text
+  FROM (SELECT *, concat('DE', lpad(CAST(98 - CAST(CAST(concat(bban, '131400') AS DECIMAL(38, 0)) % 97 AS INT) AS STRING), 2, '0'), substr(bban, 1, 17), CASE
+  WHEN broken = 3 THEN CAST((CAST(substr(bban, 18, 1) AS INT) + 1) % 10 AS STRING) ELSE substr(bban, 18, 1) END) AS iban
+  FROM (SELECT c_custkey AS id, lpad(CAST(c_custkey * 7919 AS STRING), 18, '0') AS bban, c_custkey % 4 AS broken, c_name, CAST(c_custkey AS STRING) AS n, c_custkey AS k
+  FROM {customer}))""",
+        """SELECT id, iban, concat_ws(chr(10), c_name, concat('Konto: ', CASE WHEN k % 2 = 0 THEN iban
+  ELSE concat_ws(' ', substr(iban, 1, 4), substr(iban, 5, 4), substr(iban, 9, 4), substr(iban, 13, 4), substr(iban, 17, 4), substr(iban, 21, 2)) END),
+             CASE k % 5 WHEN 0 THEN 'USt-IdNr. DE136695976' WHEN 1 THEN 'USt-IdNr. DE136695977' WHEN 2 THEN 'Nummer ATU13585627'
+  WHEN 3 THEN 'VAT FR40303265045' ELSE 'Ref FR40303265045' END,
+             CASE k % 3 WHEN 0 THEN concat('Register: HRB ', CAST(k % 100000 AS VARCHAR))
+  WHEN 1 THEN concat('Amtsgericht Bonn, VR ', CAST(k % 100000 AS VARCHAR)) ELSE 'Code PR 77' END,
              CASE k % 2 WHEN 0 THEN 'Steuernummer 12/345/67890' ELSE 'Az. 12/345/67890' END,
              CASE k % 3 WHEN 0 THEN 'Ruf +49 30 1234567' WHEN 1 THEN 'Tel. 030 1234567' ELSE 'Kunde 030 1234567' END,
-             concat('Hauptstraße ', CAST(1 + k % 90 AS VARCHAR)), concat(CAST(10000 + k % 80000 AS VARCHAR), ' München'), 'Ende.') AS text FROM (SELECT *, concat('DE', lpad(CAST(98 - CAST(CAST(concat(bban, '131400') AS HUGEINT) % 97 AS INT) AS VARCHAR), 2, '0'), substr(bban, 1, 17), CASE WHEN broken = 3 THEN CAST((CAST(substr(bban, 18, 1) AS INT) + 1) % 10 AS VARCHAR) ELSE substr(bban, 18, 1) END) AS iban FROM (SELECT c_custkey AS id, lpad(CAST(c_custkey * 7919 AS VARCHAR), 18, '0') AS bban, c_custkey % 4 AS broken, c_name, CAST(c_custkey AS VARCHAR) AS n, c_custkey AS k FROM {customer}))""",
+             concat('Hauptstraße ', CAST(1 + k % 90 AS VARCHAR)), concat(CAST(10000 + k % 80000 AS VARCHAR), ' München'), 'Ende.') AS text
+  FROM (SELECT *, concat('DE', lpad(CAST(98 - CAST(CAST(concat(bban, '131400') AS HUGEINT) % 97 AS INT) AS VARCHAR), 2, '0'), substr(bban, 1, 17), CASE
+  WHEN broken = 3 THEN CAST((CAST(substr(bban, 18, 1) AS INT) + 1) % 10 AS VARCHAR) ELSE substr(bban, 18, 1) END) AS iban
+  FROM (SELECT c_custkey AS id, lpad(CAST(c_custkey * 7919 AS VARCHAR), 18, '0') AS bban, c_custkey % 4 AS broken, c_name, CAST(c_custkey AS VARCHAR) AS n, c_custkey AS k
+  FROM {customer}))""",
     ),
     "vectors": ("SELECT vec_id AS chunk_id, CAST(floor(vec_id / 5) AS BIGINT) AS document_id, label AS category, embedding FROM {embeddings}", None),
 }

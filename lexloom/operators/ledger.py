@@ -26,3 +26,13 @@ def bumped(ledger: DataFrame, versions: DataFrame) -> DataFrame:
     old = (F.col("status") == "done") & (F.col("version") < F.col("current"))
     joined = ledger.join(F.broadcast(versions), "feature", "left")
     return joined.select("document_id", "feature", F.when(old, F.col("current")).otherwise(F.col("version")).alias("version"), F.when(old, "pending").otherwise(F.col("status")).alias("status"), F.when(old, 0).otherwise(F.col("attempts")).alias("attempts"))
+
+
+def marked(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The ledger after outcomes (document_id, feature, outcome): done, failed (once more), reset and requeue (pending, without attempts); the last of equals by name counts."""
+    last = outcomes.groupBy("document_id", "feature").agg(F.max("outcome").alias("outcome"))
+    joined = ledger.join(last, ["document_id", "feature"], "left")
+    again = F.col("outcome").isin("reset", "requeue")
+    status = F.when(again, "pending").when(F.col("outcome").isNotNull(), F.col("outcome")).otherwise(F.col("status"))
+    attempts = F.when(again, 0).when(F.col("outcome") == "failed", F.col("attempts") + 1).otherwise(F.col("attempts"))
+    return joined.withColumn("status", status).withColumn("attempts", attempts.cast("int")).drop("outcome")

@@ -109,6 +109,11 @@ def mime_of(content: Column) -> Column:
     return out.when(text.rlike(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"), "application/octet-stream").otherwise("text/plain")
 
 
+def verdict_of(mime: Column, size: Column, most_bytes: int) -> Column:
+    """reject for empty and oversized content, quarantine for content of no known kind, else admit."""
+    return F.when((mime == "application/x-empty") | (size > most_bytes), "reject").when(mime == "application/octet-stream", "quarantine").otherwise("admit")
+
+
 def hmac_sha256(key: str, message: Column) -> Column:
     """HMAC-SHA256 in hexadecimal, by its definition: two hashes with the padded key."""
     import hashlib

@@ -44,7 +44,8 @@ def c15_longer(spark, sf_dir):
     return shortest_paths(edges, "c7", "r0").unionByName(shortest_paths(edges, "c7", "r4"))
 
 
-@query("g12_components", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 25 AS b FROM supplier WHERE s_suppkey + 25 <= (SELECT max(s_suppkey) FROM supplier)), t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+@query("g12_components", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 25 AS b FROM supplier WHERE s_suppkey + 25 <= (SELECT max(s_suppkey)
+  FROM supplier)), t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
  r(id, other) AS (SELECT a, a FROM t UNION SELECT r.id, t.b FROM r JOIN t ON r.other = t.a) SELECT id, min(other) AS label FROM r GROUP BY id""")
 def g12(spark, sf_dir):
     supplier = frame(spark, sf_dir, "supplier")
@@ -53,12 +54,18 @@ def g12(spark, sf_dir):
     return label_components(links)
 
 
-sql("k14_entity_profile", "SELECT src, slice(sort_array(collect_list(concat(predicate, ' ', dst))), 1, 5) AS neighbours FROM {edges} GROUP BY src", "SELECT src, list_sort(list(concat(predicate, ' ', dst)))[1:5] AS neighbours FROM {edges} GROUP BY src")
+sql("k14_entity_profile",
+    "SELECT src, slice(sort_array(collect_list(concat(predicate, ' ', dst))), 1, 5) AS neighbours FROM {edges} GROUP BY src",
+    "SELECT src, list_sort(list(concat(predicate, ' ', dst)))[1:5] AS neighbours FROM {edges} GROUP BY src")
 sql("l7_canonical_root", "SELECT n_nationkey AS id, CASE WHEN n_nationkey >= 10 THEN n_nationkey % 5 WHEN n_nationkey >= 5 THEN n_nationkey - 5 ELSE n_nationkey END AS root FROM {nation}")
 sql("l11_edges_touching", "SELECT src, predicate, dst FROM {edges} WHERE src = 's3' OR dst = 's3'")
 sql("l12_provenance", "SELECT predicate, dst, document_id FROM {provenance} WHERE src IN ('c1', 'c2', 'c4')")
 sql("l10_purge_document", "SELECT src, predicate, dst, count(*) AS evidence FROM {provenance} WHERE document_id % 100 <> 1 GROUP BY ALL")
 sql("b15_canonical_only", "SELECT id, label FROM {nodes} WHERE entity_type IN ('GPE', 'REGION')")
 sql("l8_mentions_of_node", "SELECT document_id FROM {provenance} WHERE dst = 's1' ORDER BY document_id LIMIT 50")
-sql("e7_unique_longest", "SELECT alias, target FROM (SELECT a.n_name AS alias, b.n_name AS target, length(b.n_name) AS len, max(length(b.n_name)) OVER (PARTITION BY a.n_name) AS longest, count(*) OVER (PARTITION BY a.n_name, length(b.n_name)) AS ties FROM {nation} a JOIN {nation} b ON a.n_name <> b.n_name AND substr(b.n_name, 1, 1) = substr(a.n_name, 1, 1)) WHERE len = longest AND ties = 1")
-sql("e8_strongest_suggestion", "SELECT src, max_by(dst, struct(evidence, dst)) AS best FROM {edges} WHERE predicate = 'CUSTOMER_OF' GROUP BY src", "SELECT src, arg_max(dst, row(evidence, dst)) AS best FROM {edges} WHERE predicate = 'CUSTOMER_OF' GROUP BY src")
+sql("e7_unique_longest", """SELECT alias, target
+  FROM (SELECT a.n_name AS alias, b.n_name AS target, length(b.n_name) AS len, max(length(b.n_name)) OVER (PARTITION BY a.n_name) AS longest, count(*) OVER (PARTITION BY a.n_name, length(b.n_name)) AS ties
+  FROM {nation} a JOIN {nation} b ON a.n_name <> b.n_name AND substr(b.n_name, 1, 1) = substr(a.n_name, 1, 1)) WHERE len = longest AND ties = 1""")
+sql("e8_strongest_suggestion",
+    "SELECT src, max_by(dst, struct(evidence, dst)) AS best FROM {edges} WHERE predicate = 'CUSTOMER_OF' GROUP BY src",
+    "SELECT src, arg_max(dst, row(evidence, dst)) AS best FROM {edges} WHERE predicate = 'CUSTOMER_OF' GROUP BY src")

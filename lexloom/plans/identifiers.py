@@ -36,9 +36,12 @@ def h30(spark, sf_dir):
 
 
 @query("h32_vat_checksums", """WITH RECURSIVE s AS (SELECT s_suppkey AS id, lpad(CAST(s_suppkey * 104729 % 1000000000 AS VARCHAR), 9, '0') AS d FROM supplier),
- r(id, d, k, p) AS (SELECT id, d, 0, 10 FROM s UNION ALL SELECT id, d, k + 1, (CASE WHEN (CAST(d[k + 1] AS INT) + p) % 10 = 0 THEN 10 ELSE (CAST(d[k + 1] AS INT) + p) % 10 END * 2) % 11 FROM r WHERE k < 8),
+ r(id, d, k, p) AS (SELECT id, d, 0, 10 FROM s UNION ALL SELECT id, d, k + 1, (CASE WHEN (CAST(d[k + 1] AS INT) + p) % 10 = 0 THEN 10
+  ELSE (CAST(d[k + 1] AS INT) + p) % 10 END * 2) % 11 FROM r WHERE k < 8),
  a AS (SELECT s_suppkey AS id, lpad(CAST(s_suppkey * 104729 % 100000000 AS VARCHAR), 8, '0') AS d FROM supplier)
- SELECT r.id, (11 - p) % 10 = CAST(r.d[9] AS INT) AS german, (96 - (SELECT sum(CASE WHEN i % 2 = 0 THEN CAST(substr('0246813579', CAST(a.d[i] AS INT) + 1, 1) AS INT) ELSE CAST(a.d[i] AS INT) END) FROM (SELECT CAST(unnest(generate_series(1, 7)) AS INT) AS i))) % 10 = CAST(a.d[8] AS INT) AS austrian
+ SELECT r.id, (11 - p) % 10 = CAST(r.d[9] AS INT) AS german, (96 - (SELECT sum(CASE
+  WHEN i % 2 = 0 THEN CAST(substr('0246813579', CAST(a.d[i] AS INT) + 1, 1) AS INT) ELSE CAST(a.d[i] AS INT) END)
+  FROM (SELECT CAST(unnest(generate_series(1, 7)) AS INT) AS i))) % 10 = CAST(a.d[8] AS INT) AS austrian
  FROM r JOIN a ON a.id = r.id WHERE k = 8""")
 def h32(spark, sf_dir):
     n = F.col("s_suppkey") * 104729
@@ -52,13 +55,16 @@ def h33(spark, sf_dir):
     return letters.select("id", preceded(F.col("text"), F.instr("text", "12/345") - 1, ids.TAX_CUE, 40).alias("cued"))
 
 
-@query("h34_addresses", "SELECT id, concat('Hauptstraße ', CAST(1 + id % 90 AS VARCHAR), ', ', CAST(10000 + id % 80000 AS VARCHAR), ' München') AS address, CAST(instr(text, 'Hauptstraße') - 1 AS INT) AS start FROM {letters}")
+@query("h34_addresses",
+    """SELECT id, concat('Hauptstraße ', CAST(1 + id % 90 AS VARCHAR), ', ', CAST(10000 + id % 80000 AS VARCHAR), ' München') AS address, CAST(instr(text, 'Hauptstraße') - 1 AS INT) AS start
+  FROM {letters}""")
 def h34(spark, sf_dir):
     rows = frame(spark, sf_dir, "letters").select("id", F.explode(ids.addresses(F.col("text"))).alias("x"))
     return rows.select("id", F.col("x.value").alias("address"), "x.start")
 
 
-@query("h35_person_parts", """SELECT id, CASE WHEN id % 5 < 4 THEN 'Anna' END AS given, CASE WHEN id % 5 < 4 THEN CASE id % 5 WHEN 1 THEN 'Maria' ELSE '' END END AS middle, CASE WHEN id % 5 < 4 THEN CASE id % 5 WHEN 2 THEN 'von der ' ELSE '' END || word END AS family
+@query("h35_person_parts", """SELECT id, CASE WHEN id % 5 < 4 THEN 'Anna' END AS given, CASE WHEN id % 5 < 4 THEN CASE id % 5 WHEN 1 THEN 'Maria' ELSE '' END END AS middle, CASE
+  WHEN id % 5 < 4 THEN CASE id % 5 WHEN 2 THEN 'von der ' ELSE '' END || word END AS family
  FROM (SELECT p_partkey AS id, string_split(p_name, ' ')[1] AS word FROM part)""")
 def h35(spark, sf_dir):
     word, id_ = F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_partkey")
@@ -79,10 +85,15 @@ def l51(spark, sf_dir):
     return frame(spark, sf_dir, "letters").select("id", F.size(rows).alias("n"), F.get(rows, F.lit(0))["end"].alias("end"))
 
 
-@query("h3_line_windows", """WITH RECURSIVE p AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL),
- c AS (SELECT id, list(e ORDER BY i) AS c FROM (SELECT id, i, n, length(line) + CASE WHEN i < n THEN 1 ELSE 0 END AS w, sum(length(line) + CASE WHEN i < n THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS e FROM p) WHERE w > 0 GROUP BY id),
+@query("h3_line_windows",
+    """WITH RECURSIVE p AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n
+  FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT id, list(e ORDER BY i) AS c FROM (SELECT id, i, n, length(line) + CASE WHEN i < n THEN 1 ELSE 0 END AS w, sum(length(line) + CASE
+  WHEN i < n THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS e FROM p) WHERE w > 0 GROUP BY id),
  r(id, c, f, l) AS (SELECT id, c, 0, greatest(1, len(list_filter(c, lambda x: x <= 300))) FROM c
-  UNION ALL SELECT id, c, greatest(l - 2, f + 1), greatest(greatest(l - 2, f + 1) + 1, len(list_filter(c, lambda x: x <= c[greatest(l - 2, f + 1)] + 300))) FROM r WHERE l < len(c))
+  UNION ALL
+  SELECT id, c, greatest(l - 2, f + 1), greatest(greatest(l - 2, f + 1) + 1, len(list_filter(c, lambda x: x <= c[greatest(l - 2, f + 1)] + 300))) FROM r
+  WHERE l < len(c))
  SELECT id, CAST(CASE WHEN f = 0 THEN 0 ELSE c[f] END AS INT) AS start, CAST(c[l] AS INT) AS "end" FROM r""")
 def h3(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -90,8 +101,11 @@ def h3(spark, sf_dir):
 
 
 @query("h4_break_windows", """WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
- n(id, t, a, e) AS (SELECT id, t, 0, CASE WHEN length(t) <= 1500 THEN length(t) WHEN regexp_matches(substr(t, 751, 750), '[ \\n]') THEN 750 + length(regexp_extract(substr(t, 751, 750), '(?s)^(.*)[ \\n]', 1)) ELSE 1500 END FROM d
-  UNION ALL SELECT id, t, e, CASE WHEN length(t) - e <= 1500 THEN length(t) WHEN regexp_matches(substr(t, e + 751, 750), '[ \\n]') THEN e + 750 + length(regexp_extract(substr(t, e + 751, 750), '(?s)^(.*)[ \\n]', 1)) ELSE e + 1500 END FROM n WHERE e < length(t))
+ n(id, t, a, e) AS (SELECT id, t, 0, CASE WHEN length(t) <= 1500 THEN length(t)
+  WHEN regexp_matches(substr(t, 751, 750), '[ \\n]') THEN 750 + length(regexp_extract(substr(t, 751, 750), '(?s)^(.*)[ \\n]', 1)) ELSE 1500 END FROM d
+  UNION ALL SELECT id, t, e, CASE WHEN length(t) - e <= 1500 THEN length(t)
+  WHEN regexp_matches(substr(t, e + 751, 750), '[ \\n]') THEN e + 750 + length(regexp_extract(substr(t, e + 751, 750), '(?s)^(.*)[ \\n]', 1))
+  ELSE e + 1500 END FROM n WHERE e < length(t))
  SELECT id, CAST(a AS INT) AS start, CAST(e AS INT) AS "end" FROM n""")
 def h4(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -108,14 +122,17 @@ def _windowed(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("document_id"), "window", F.col("i").alias("position"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.format_string("%.2f", "l_extendedprice").alias("amount"), F.when(F.col("l_linenumber") != 3, "eur").alias("currency"), F.lit(" Debit").alias("direction"), F.concat(F.lit("Shop & "), F.col("l_partkey")).alias("merchant"), F.concat(F.lit("line "), "l_linenumber").alias("description"))
 
 
-@query("g9_stitched_records", "SELECT l_orderkey AS document_id, count(*) AS records, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_linenumber <> 3) AS BIGINT) AS minor FROM lineitem GROUP BY l_orderkey")
+@query("g9_stitched_records", """SELECT l_orderkey AS document_id, count(*) AS records, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_linenumber <> 3) AS BIGINT) AS minor
+  FROM lineitem GROUP BY l_orderkey""")
 def g9(spark, sf_dir):
     records = windows.normalised_records(_windowed(spark, sf_dir))
     whole = windows.stitched(records, ["occurred_on", "merchant", "amount_minor", "currency", "direction", "description"])
     return whole.groupBy("document_id").agg(F.count("*").alias("records"), F.sum("amount_minor").alias("minor"))
 
 
-@query("i7_transactions", "SELECT l_orderkey AS document_id, CAST(l_shipdate AS DATE) AS occurred_on, CASE WHEN l_linenumber <> 3 THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS amount_minor, CASE WHEN l_linenumber <> 3 THEN 'EUR' END AS currency, concat('shop ', CAST(l_partkey AS VARCHAR)) AS merchant FROM lineitem")
+@query("i7_transactions", """SELECT l_orderkey AS document_id, CAST(l_shipdate AS DATE) AS occurred_on, CASE
+  WHEN l_linenumber <> 3 THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS amount_minor, CASE
+  WHEN l_linenumber <> 3 THEN 'EUR' END AS currency, concat('shop ', CAST(l_partkey AS VARCHAR)) AS merchant FROM lineitem""")
 def i7(spark, sf_dir):
     rows = frame(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit(0).alias("window"), F.lit(0).alias("position"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.format_string("%.2f", "l_extendedprice").alias("amount"), F.when(F.col("l_linenumber") != 3, "eur").alias("currency"), F.lit("").alias("direction"), F.concat(F.lit("Shop & "), F.col("l_partkey")).alias("merchant"), F.lit(None).cast("string").alias("description"))
     return windows.normalised_records(rows).select("document_id", "occurred_on", "amount_minor", "currency", "merchant")

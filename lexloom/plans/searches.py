@@ -8,7 +8,8 @@ from .registry import query, sql
 
 _LEX = """lex AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT chunk_id, len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'of')) AS score FROM (
-   SELECT chunk_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM {chunks}) WHERE list_contains(w, 'the') AND list_contains(w, 'of') ORDER BY score DESC, chunk_id LIMIT 80))"""
+   SELECT chunk_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM {chunks}) WHERE list_contains(w, 'the')
+  AND list_contains(w, 'of') ORDER BY score DESC, chunk_id LIMIT 80))"""
 _VEC = """vec AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT concat(v.chunk_id, ':0') AS chunk_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
   FROM embeddings_v v, (SELECT embedding FROM embeddings_v WHERE chunk_id = 3) q ORDER BY score DESC, chunk_id LIMIT 80))"""
@@ -21,7 +22,8 @@ def _arms(spark, sf_dir):
     return lexical_arm(chunks, ["the", "of"], 80), vector_arm(vectors.withColumn("chunk_id", F.concat(F.col("chunk_id"), F.lit(":0"))), wanted, 80)
 
 
-@query("j1_hybrid_search", f"WITH {_V}, {_LEX}, {_VEC} SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 20")
+@query("j1_hybrid_search", f"""WITH {_V}, {_LEX}, {_VEC} SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec)
+  GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 20""")
 def hybrid(spark, sf_dir):
     return fused(list(_arms(spark, sf_dir)))
 
@@ -36,9 +38,21 @@ def vector_top_k(spark, sf_dir):
     return _arms(spark, sf_dir)[1]
 
 
-sql("i20_vector_guard", "SELECT size(embedding) AS dim, count(*) AS n FROM {vectors} WHERE embedding IS NOT NULL GROUP BY size(embedding)", "SELECT CAST(len(embedding) AS INT) AS dim, count(*) AS n FROM {vectors} WHERE embedding IS NOT NULL GROUP BY len(embedding)")
-sql("e3_cross_source_rank", "WITH s AS (SELECT document_id, 'a' AS source, rank, 1.0D / (60 + rank) AS score FROM {links}) SELECT document_id, source, rank, score / (SELECT max(score) FROM s) AS relevance FROM s", "SELECT document_id, source, rank, score / max(score) OVER () AS relevance FROM (SELECT document_id, 'a' AS source, rank, 1.0::DOUBLE / (60 + rank) AS score FROM {links})")
-sql("e4_rank_relevance", "SELECT chunk_id, (n - place) / CAST(n AS DOUBLE) AS relevance FROM (SELECT chunk_id, row_number() OVER (PARTITION BY category ORDER BY chunk_id) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM {vectors})")
-sql("e5_edges_best", "SELECT chunk_id, CASE WHEN place % 2 = 0 THEN place ELSE 2 * n - place END AS slot FROM (SELECT chunk_id, row_number() OVER (PARTITION BY category ORDER BY chunk_id) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM {vectors})")
-sql("k11_rerank_threshold", "SELECT chunk_id, category / 10.0D AS score FROM {vectors} WHERE category / 10.0D >= 0.8 UNION ALL SELECT chunk_id, score FROM (SELECT chunk_id, category / 10.0D AS score FROM {vectors} ORDER BY category DESC, chunk_id LIMIT 1) WHERE NOT coalesce(score >= 0.8, false)", "SELECT chunk_id, score FROM (SELECT chunk_id, category / 10.0::DOUBLE AS score, row_number() OVER (ORDER BY category DESC, chunk_id) AS place FROM {vectors}) WHERE score >= 0.8 OR place = 1")
-sql("k9_retrieval_plan", "SELECT conv_id, turn, array_compact(array('passages', CASE WHEN contains(text, 'the') THEN 'graph' END, CASE WHEN contains(text, 'how many') THEN 'count' END)) AS plan FROM {conversations} WHERE role = 'user'", "SELECT conv_id, turn, list_filter(['passages', CASE WHEN contains(text, 'the') THEN 'graph' END, CASE WHEN contains(text, 'how many') THEN 'count' END], lambda x: x IS NOT NULL) AS plan FROM {conversations} WHERE role = 'user'")
+sql("i20_vector_guard",
+    "SELECT size(embedding) AS dim, count(*) AS n FROM {vectors} WHERE embedding IS NOT NULL GROUP BY size(embedding)",
+    "SELECT CAST(len(embedding) AS INT) AS dim, count(*) AS n FROM {vectors} WHERE embedding IS NOT NULL GROUP BY len(embedding)")
+sql("e3_cross_source_rank", """WITH s AS (SELECT document_id, 'a' AS source, rank, 1.0D / (60 + rank) AS score FROM {links})
+  SELECT document_id, source, rank, score / (SELECT max(score) FROM s) AS relevance FROM s""", """SELECT document_id, source, rank, score / max(score) OVER () AS relevance
+  FROM (SELECT document_id, 'a' AS source, rank, 1.0::DOUBLE / (60 + rank) AS score FROM {links})""")
+sql("e4_rank_relevance", """SELECT chunk_id, (n - place) / CAST(n AS DOUBLE) AS relevance FROM (SELECT chunk_id, row_number() OVER (PARTITION BY category
+  ORDER BY chunk_id) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM {vectors})""")
+sql("e5_edges_best", """SELECT chunk_id, CASE WHEN place % 2 = 0 THEN place ELSE 2 * n - place END AS slot FROM (SELECT chunk_id, row_number() OVER (PARTITION BY category
+  ORDER BY chunk_id) - 1 AS place, count(*) OVER (PARTITION BY category) AS n FROM {vectors})""")
+sql("k11_rerank_threshold", """SELECT chunk_id, category / 10.0D AS score FROM {vectors} WHERE category / 10.0D >= 0.8 UNION ALL SELECT chunk_id, score
+  FROM (SELECT chunk_id, category / 10.0D AS score FROM {vectors} ORDER BY category DESC, chunk_id LIMIT 1) WHERE NOT coalesce(score >= 0.8, false)""",
+    """SELECT chunk_id, score FROM (SELECT chunk_id, category / 10.0::DOUBLE AS score, row_number() OVER (ORDER BY category DESC, chunk_id) AS place
+  FROM {vectors}) WHERE score >= 0.8 OR place = 1""")
+sql("k9_retrieval_plan", """SELECT conv_id, turn, array_compact(array('passages', CASE WHEN contains(text, 'the') THEN 'graph' END, CASE
+  WHEN contains(text, 'how many') THEN 'count' END)) AS plan FROM {conversations} WHERE role = 'user'""",
+    """SELECT conv_id, turn, list_filter(['passages', CASE WHEN contains(text, 'the') THEN 'graph' END, CASE
+  WHEN contains(text, 'how many') THEN 'count' END], lambda x: x IS NOT NULL) AS plan FROM {conversations} WHERE role = 'user'""")

@@ -9,7 +9,10 @@ from .registry import query, sql
 _LEGAL = "v(predicate, src_type, dst_type) AS (VALUES " + ", ".join(f"('{p}', '{a}', '{b}')" for p, pairs in t.PREDICATES.items() for a, b in (x.split() for x in pairs)) + ")"
 
 
-@query("h36_predicate_types", f"WITH {_LEGAL}, n AS (SELECT * FROM {{nodes}}) SELECT e.predicate, s.entity_type AS src_type, o.entity_type AS dst_type, count(*) AS edges, count(v.predicate) AS legal FROM (SELECT * FROM {{edges}}) e JOIN n s ON e.src = s.id JOIN n o ON e.dst = o.id LEFT JOIN v ON v.predicate = e.predicate AND v.src_type = s.entity_type AND v.dst_type = o.entity_type GROUP BY ALL")
+@query("h36_predicate_types", f"""WITH {_LEGAL}, n AS (SELECT * FROM {{nodes}})
+  SELECT e.predicate, s.entity_type AS src_type, o.entity_type AS dst_type, count(*) AS edges, count(v.predicate) AS legal FROM (SELECT *
+  FROM {{edges}}) e JOIN n s ON e.src = s.id JOIN n o ON e.dst = o.id LEFT JOIN v ON v.predicate = e.predicate AND v.src_type = s.entity_type
+  AND v.dst_type = o.entity_type GROUP BY ALL""")
 def h36(spark, sf_dir):
     nodes = frame(spark, sf_dir, "nodes")
     types = [nodes.select(F.col("id").alias(end), F.col("entity_type").alias(f"{end}_type")) for end in ("src", "dst")]
@@ -18,12 +21,18 @@ def h36(spark, sf_dir):
     return rows.groupBy("predicate", "src_type", "dst_type").agg(F.count("*").alias("edges"), F.count("legal").alias("legal"))
 
 
-_DOUBLED = "m AS (SELECT document_id, start, stop, label, value, score FROM {spots} UNION ALL SELECT document_id, CAST(start + 2 AS INT), CAST(stop + 3 AS INT), 'ID', value, 0.5 FROM {spots} WHERE document_id % 2 = 0 UNION ALL SELECT document_id, start, stop, label, value, score FROM {spots} WHERE document_id % 3 = 0)"
+_DOUBLED = """m AS (SELECT document_id, start, stop, label, value, score FROM {spots} UNION ALL
+  SELECT document_id, CAST(start + 2 AS INT), CAST(stop + 3 AS INT), 'ID', value, 0.5 FROM {spots} WHERE document_id % 2 = 0 UNION ALL
+  SELECT document_id, start, stop, label, value, score FROM {spots} WHERE document_id % 3 = 0)"""
 
 
-@query("g7_span_dedup", f"""WITH RECURSIVE {_DOUBLED}, o AS (SELECT document_id, list(DISTINCT s) AS l FROM (SELECT document_id, struct_pack(p := CASE label WHEN 'ID' THEN -2.0::DOUBLE WHEN 'ORG' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END, c := -CAST(score AS DOUBLE), w := start - stop, a := start, b := stop, label := label, value := value) AS s FROM m) GROUP BY document_id),
+@query("g7_span_dedup", f"""WITH RECURSIVE {_DOUBLED}, o AS (SELECT document_id, list(DISTINCT s) AS l FROM (SELECT document_id, struct_pack(p := CASE label
+  WHEN 'ID' THEN -2.0::DOUBLE WHEN 'ORG' THEN -1.0::DOUBLE
+  ELSE 0.0::DOUBLE END, c := -CAST(score AS DOUBLE), w := start - stop, a := start, b := stop, label := label, value := value) AS s FROM m)
+  GROUP BY document_id),
  w(document_id, l, k, kept) AS (SELECT document_id, list_sort(l), 0, CAST([] AS INT[]) FROM o
-  UNION ALL SELECT document_id, l, k + 1, CASE WHEN len(list_filter(kept, lambda x: l[x].a < l[k + 1].b AND l[k + 1].a < l[x].b)) > 0 THEN kept ELSE list_append(kept, k + 1) END FROM w WHERE k < len(l)),
+  UNION ALL SELECT document_id, l, k + 1, CASE WHEN len(list_filter(kept, lambda x: l[x].a < l[k + 1].b AND l[k + 1].a < l[x].b)) > 0 THEN kept
+  ELSE list_append(kept, k + 1) END FROM w WHERE k < len(l)),
  f AS (SELECT document_id, l[unnest(kept)] AS s FROM w WHERE k = len(l))
  SELECT document_id, s.a AS start, s.b AS stop, s.label, s.value, -s.c AS score FROM f""")
 def g7(spark, sf_dir):
@@ -33,7 +42,8 @@ def g7(spark, sf_dir):
     return t.best_mentions(mentions, F.when(F.col("label") == "ID", 2.0).when(F.col("label") == "ORG", 1.0).otherwise(0.0))
 
 
-@query("c21_rule_relations", """WITH s AS (SELECT * FROM {spots}) SELECT a.document_id, a.start AS a_start, b.start AS b_start, 0.86::DOUBLE AS score FROM s a JOIN s b ON a.document_id = b.document_id AND (a.start, a.stop) < (b.start, b.stop) AND abs(b.start - a.stop) <= 12
+@query("c21_rule_relations", """WITH s AS (SELECT * FROM {spots}) SELECT a.document_id, a.start AS a_start, b.start AS b_start, 0.86::DOUBLE AS score FROM s a
+  JOIN s b ON a.document_id = b.document_id AND (a.start, a.stop) < (b.start, b.stop) AND abs(b.start - a.stop) <= 12
  WHERE regexp_matches(substr(a.title, a.stop + 1, greatest(b.start - a.stop, 0)), ' (is|the|of|le|la|de) ', 'i')""")
 def c21(spark, sf_dir):
     spots = frame(spark, sf_dir, "spots")
@@ -43,7 +53,8 @@ def c21(spark, sf_dir):
     return pairs.where(between.rlike("(?i) (is|the|of|le|la|de) ")).select("document_id", "a_start", "b_start", F.lit(0.86).alias("score"))
 
 
-@query("l49_overlaps", f"WITH {_DOUBLED} SELECT document_id, count(*) AS overlaps FROM m a JOIN m b USING (document_id) WHERE a.start < b.stop AND b.start < a.stop AND (a.start, a.stop, a.label) < (b.start, b.stop, b.label) GROUP BY document_id")
+@query("l49_overlaps", f"""WITH {_DOUBLED} SELECT document_id, count(*) AS overlaps FROM m a JOIN m b USING (document_id) WHERE a.start < b.stop AND b.start < a.stop
+  AND (a.start, a.stop, a.label) < (b.start, b.stop, b.label) GROUP BY document_id""")
 def l49(spark, sf_dir):
     from ..catalog import run_sql
 
@@ -58,10 +69,15 @@ def l49(spark, sf_dir):
 _TRI = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(X), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3)))))"
 
 
-@query("h40_entity_links", f"""WITH w AS (SELECT DISTINCT label, value FROM {{spots}}), g AS (SELECT min(id) AS id, label, value FROM (SELECT document_id AS id, label, lower(value) AS value FROM {{spots}} WHERE document_id % 4 = 0) GROUP BY label, value),
- s AS (SELECT w.label, w.value, g.id, len(list_intersect({_TRI.replace('X', 'w.value')}, {_TRI.replace('X', 'g.value')})) AS b, len(list_distinct(list_concat({_TRI.replace('X', 'w.value')}, {_TRI.replace('X', 'g.value')}))) AS e FROM w JOIN g USING (label)),
+@query("h40_entity_links", f"""WITH w AS (SELECT DISTINCT label, value FROM {{spots}}), g AS (SELECT min(id) AS id, label, value
+  FROM (SELECT document_id AS id, label, lower(value) AS value FROM {{spots}} WHERE document_id % 4 = 0) GROUP BY label, value),
+ s AS (SELECT w.label, w.value, g.id, len(list_intersect({_TRI.replace('X', 'w.value')}, {_TRI.replace('X', 'g.value')})) AS b, len(list_distinct(list_concat({_TRI.replace('X', 'w.value')}, {_TRI.replace('X', 'g.value')}))) AS e
+  FROM w JOIN g USING (label)),
  o AS (SELECT *, row_number() OVER (PARTITION BY label, value ORDER BY b / e::DOUBLE DESC, id) AS place FROM s WHERE b * 5 >= e * 3)
- SELECT w.label, w.value, coalesce(CAST(o.id AS VARCHAR), lower(w.label) || ':' || regexp_replace(lower(w.value), '[^a-z0-9]+', '-', 'g')) AS node, CASE WHEN b = e THEN 'exact' WHEN b IS NOT NULL THEN 'fuzzy' ELSE 'slug' END AS how FROM w LEFT JOIN o ON o.label = w.label AND o.value = w.value AND o.place = 1""")
+
+  SELECT w.label, w.value, coalesce(CAST(o.id AS VARCHAR), lower(w.label) || ':' || regexp_replace(lower(w.value), '[^a-z0-9]+', '-', 'g')) AS node, CASE
+  WHEN b = e THEN 'exact' WHEN b IS NOT NULL THEN 'fuzzy' ELSE 'slug' END AS how FROM w LEFT JOIN o ON o.label = w.label AND o.value = w.value
+  AND o.place = 1""")
 def h40(spark, sf_dir):
     spots = frame(spark, sf_dir, "spots")
     gazetteer = spots.where("document_id % 4 = 0").select(F.col("document_id").alias("id"), F.col("label").alias("entity_type"), F.lower("value").alias("value"))
@@ -70,31 +86,44 @@ def h40(spark, sf_dir):
 
 sql(
     "h38_gazetteer_matches",
-    "SELECT s.document_id, s.start, g.category, 0.985D AS score FROM {spots} s JOIN (SELECT DISTINCT lower(value) AS alias, label AS category FROM {spots} WHERE document_id % 10 = 0) g ON lower(s.value) = g.alias",
-    "SELECT s.document_id, s.start, g.category, 0.985::DOUBLE AS score FROM (SELECT * FROM {spots}) s JOIN (SELECT DISTINCT lower(value) AS alias, label AS category FROM {spots} WHERE document_id % 10 = 0) g ON lower(s.value) = g.alias",
+    """SELECT s.document_id, s.start, g.category, 0.985D AS score FROM {spots} s JOIN (SELECT DISTINCT lower(value) AS alias, label AS category FROM {spots}
+  WHERE document_id % 10 = 0) g ON lower(s.value) = g.alias""",
+    """SELECT s.document_id, s.start, g.category, 0.985::DOUBLE AS score FROM (SELECT * FROM {spots}) s
+  JOIN (SELECT DISTINCT lower(value) AS alias, label AS category FROM {spots} WHERE document_id % 10 = 0) g ON lower(s.value) = g.alias""",
 )
 sql(
     "c20_relinked_endpoints",
-    """WITH r AS (SELECT document_id, start, CAST(stop + document_id % 2 AS INT) AS stop, label, value FROM {spots}), e AS (SELECT document_id, label, lower(value) AS name, min(start) AS start FROM {spots} GROUP BY ALL)
-       SELECT r.document_id, r.start, CASE WHEN s.start IS NOT NULL THEN concat('span:', s.start) ELSE concat('text:', e.start) END AS endpoint FROM r LEFT JOIN (SELECT DISTINCT document_id, start, stop FROM {spots}) s ON s.document_id = r.document_id AND s.start = r.start AND s.stop = r.stop
+    """WITH r AS (SELECT document_id, start, CAST(stop + document_id % 2 AS INT) AS stop, label, value
+  FROM {spots}), e AS (SELECT document_id, label, lower(value) AS name, min(start) AS start FROM {spots} GROUP BY ALL)
+       SELECT r.document_id, r.start, CASE WHEN s.start IS NOT NULL THEN concat('span:', s.start) ELSE concat('text:', e.start) END AS endpoint FROM r
+  LEFT JOIN (SELECT DISTINCT document_id, start, stop FROM {spots}) s ON s.document_id = r.document_id AND s.start = r.start AND s.stop = r.stop
        LEFT JOIN e ON e.document_id = r.document_id AND e.label = r.label AND e.name = lower(r.value)""",
-    """SELECT document_id, start, CASE WHEN document_id % 2 = 0 THEN concat('span:', start) ELSE concat('text:', (SELECT min(start) FROM (SELECT * FROM {spots}) e WHERE e.document_id = r.document_id AND e.label = r.label AND lower(e.value) = lower(r.value))) END AS endpoint FROM (SELECT * FROM {spots}) r""",
+    """SELECT document_id, start, CASE WHEN document_id % 2 = 0 THEN concat('span:', start) ELSE concat('text:', (SELECT min(start) FROM (SELECT *
+  FROM {spots}) e WHERE e.document_id = r.document_id AND e.label = r.label AND lower(e.value) = lower(r.value))) END AS endpoint FROM (SELECT *
+  FROM {spots}) r""",
 )
 sql(
     "h37_rule_entities",
-    """SELECT event_id, explode(filter(array(CASE WHEN props RLIKE '"k": [0-9]+' THEN named_struct('label', 'ID', 'value', regexp_extract(props, '"k": ([0-9]+)', 1), 'score', 0.9D) END,
-         CASE WHEN event_type RLIKE '^(view|click)$' THEN named_struct('label', 'ACTION', 'value', event_type, 'score', 0.8D) END), x -> x IS NOT NULL)) AS e FROM {events}""".replace("explode(", "inline(").replace(" AS e FROM", " FROM"),
-    """SELECT event_id, 'ID' AS label, regexp_extract(props, '"k": ([0-9]+)', 1) AS value, 0.9::DOUBLE AS score FROM events WHERE regexp_matches(props, '"k": [0-9]+') UNION ALL SELECT event_id, 'ACTION', event_type, 0.8::DOUBLE FROM events WHERE event_type IN ('view', 'click')""",
+    """SELECT event_id, inline(filter(array(
+         CASE WHEN props RLIKE '"k": [0-9]+' THEN named_struct('label', 'ID', 'value', regexp_extract(props, '"k": ([0-9]+)', 1), 'score', 0.9D) END,
+         CASE WHEN event_type RLIKE '^(view|click)$' THEN named_struct('label', 'ACTION', 'value', event_type, 'score', 0.8D) END), x -> x IS NOT NULL))
+       FROM {events}""",
+    """SELECT event_id, 'ID' AS label, regexp_extract(props, '"k": ([0-9]+)', 1) AS value, 0.9::DOUBLE AS score FROM events
+  WHERE regexp_matches(props, '"k": [0-9]+') UNION ALL SELECT event_id, 'ACTION', event_type, 0.8::DOUBLE FROM events
+  WHERE event_type IN ('view', 'click')""",
 )
 sql(
     "h39_repaired_spans",
-    "SELECT document_id, start, instr(title, trim(BOTH ' .,;:!?()' FROM concat('(', value, '.), '))) - 1 AS found, trim(BOTH ' .,;:!?()' FROM concat('(', value, '.), ')) AS value FROM {spots}",
+    """SELECT document_id, start, instr(title, trim(BOTH ' .,;:!?()' FROM concat('(', value, '.), '))) - 1 AS found, trim(BOTH ' .,;:!?()'
+  FROM concat('(', value, '.), ')) AS value FROM {spots}""",
     "SELECT document_id, start, CAST(instr(title, value) - 1 AS INT) AS found, value FROM {spots}",
 )
 sql(
     "l48_better_mentions",
-    "SELECT document_id, value, max_by(label, struct(CASE label WHEN 'ORG' THEN 1 ELSE 0 END, stop - start, score, start)) AS label, max(stop - start) AS size FROM {spots} GROUP BY document_id, value",
-    "SELECT document_id, value, arg_max(label, row(CASE label WHEN 'ORG' THEN 1 ELSE 0 END, stop - start, score, start)) AS label, max(stop - start) AS size FROM {spots} GROUP BY document_id, value",
+    """SELECT document_id, value, max_by(label, struct(CASE label WHEN 'ORG' THEN 1
+  ELSE 0 END, stop - start, score, start)) AS label, max(stop - start) AS size FROM {spots} GROUP BY document_id, value""",
+    """SELECT document_id, value, arg_max(label, row(CASE label WHEN 'ORG' THEN 1
+  ELSE 0 END, stop - start, score, start)) AS label, max(stop - start) AS size FROM {spots} GROUP BY document_id, value""",
 )
 
 
@@ -110,7 +139,9 @@ def _legal(spark, sf_dir):
     return t.legal_triples(raw, phrases, t.vocabulary(spark))
 
 
-_KEPT = "SELECT src, predicate, dst, arg_min(evidence, row(-length(evidence), evidence)) AS evidence FROM (SELECT src, predicate, dst, concat('document ', CAST(document_id AS VARCHAR)) AS evidence FROM {provenance} WHERE predicate IN ('CUSTOMER_OF', 'RESIDES_IN') AND document_id % 5 <> 0) GROUP BY ALL"
+_KEPT = """SELECT src, predicate, dst, arg_min(evidence, row(-length(evidence), evidence)) AS evidence
+  FROM (SELECT src, predicate, dst, concat('document ', CAST(document_id AS VARCHAR)) AS evidence FROM {provenance}
+  WHERE predicate IN ('CUSTOMER_OF', 'RESIDES_IN') AND document_id % 5 <> 0) GROUP BY ALL"""
 
 
 @query("l44_legal_triples", _KEPT)
@@ -118,7 +149,10 @@ def l44(spark, sf_dir):
     return _legal(spark, sf_dir)
 
 
-@query("l46_triple_scores", f"WITH f AS ({_KEPT}), g AS (SELECT DISTINCT src, predicate, dst FROM {{edges}} WHERE predicate IN ('CUSTOMER_OF', 'LOCATED_IN')), c AS (SELECT (SELECT count(*) FROM f SEMI JOIN g USING (src, predicate, dst)) AS h, (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM g) AS g) SELECT h / f::DOUBLE AS precision, h / g::DOUBLE AS recall, 2 * (h / f::DOUBLE) * (h / g::DOUBLE) / (h / f::DOUBLE + h / g::DOUBLE) AS f1 FROM c")
+@query("l46_triple_scores", f"""WITH f AS ({_KEPT}), g AS (SELECT DISTINCT src, predicate, dst FROM {{edges}}
+  WHERE predicate IN ('CUSTOMER_OF', 'LOCATED_IN')), c AS (SELECT (SELECT count(*) FROM f SEMI
+  JOIN g USING (src, predicate, dst)) AS h, (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM g) AS g)
+  SELECT h / f::DOUBLE AS precision, h / g::DOUBLE AS recall, 2 * (h / f::DOUBLE) * (h / g::DOUBLE) / (h / f::DOUBLE + h / g::DOUBLE) AS f1 FROM c""")
 def l46(spark, sf_dir):
     gold = frame(spark, sf_dir, "edges").where("predicate IN ('CUSTOMER_OF', 'LOCATED_IN')")
     return t.shares(_legal(spark, sf_dir), gold, ["src", "predicate", "dst"])
@@ -126,40 +160,65 @@ def l46(spark, sf_dir):
 
 sql(
     "l45_refined_triples",
-    "SELECT src, predicate, dst, max(evidence / (1.0D + evidence)) AS confidence FROM {edges} WHERE src <> dst AND evidence / (1.0D + evidence) >= 0.6 GROUP BY src, predicate, dst",
-    "SELECT src, predicate, dst, max(evidence / (1.0::DOUBLE + evidence)) AS confidence FROM {edges} WHERE src <> dst AND evidence / (1.0::DOUBLE + evidence) >= 0.6 GROUP BY src, predicate, dst",
+    """SELECT src, predicate, dst, max(evidence / (1.0D + evidence)) AS confidence FROM {edges} WHERE src <> dst AND evidence / (1.0D + evidence) >= 0.6
+  GROUP BY src, predicate, dst""",
+    """SELECT src, predicate, dst, max(evidence / (1.0::DOUBLE + evidence)) AS confidence FROM {edges} WHERE src <> dst
+  AND evidence / (1.0::DOUBLE + evidence) >= 0.6 GROUP BY src, predicate, dst""",
 )
 sql(
     "l47_graph_statements",
-    "SELECT concat('MERGE (a {id: ''', src, '''}) MERGE (b {id: ''', dst, '''}) MERGE (a)-[:', predicate, ' {evidence: ', CAST(evidence AS STRING), '}]->(b)') AS statement FROM {edges}",
-    "SELECT concat('MERGE (a {id: ''', src, '''}) MERGE (b {id: ''', dst, '''}) MERGE (a)-[:', predicate, ' {evidence: ', CAST(evidence AS VARCHAR), '}]->(b)') AS statement FROM {edges}",
+    """SELECT concat('MERGE (a {id: ''', src, '''}) MERGE (b {id: ''', dst, '''}) MERGE (a)-[:', predicate, ' {evidence: ', CAST(evidence AS STRING), '}]->(b)') AS statement
+  FROM {edges}""",
+    """SELECT concat('MERGE (a {id: ''', src, '''}) MERGE (b {id: ''', dst, '''}) MERGE (a)-[:', predicate, ' {evidence: ', CAST(evidence AS VARCHAR), '}]->(b)') AS statement
+  FROM {edges}""",
 )
 sql(
     "d24_mention_scores",
-    """WITH g AS (SELECT DISTINCT document_id, label, start, stop FROM {spots}), p AS (SELECT document_id, label, start, CASE WHEN start % 3 = 0 THEN stop - 1 ELSE stop END AS stop FROM g WHERE document_id % 4 <> 0),
-       x AS (SELECT p.label, count(*) AS exact FROM p JOIN g ON p.document_id = g.document_id AND p.label = g.label AND p.start = g.start AND p.stop = g.stop GROUP BY p.label),
-       r AS (SELECT p.label, count(*) AS relaxed FROM p JOIN g ON p.document_id = g.document_id AND p.label = g.label AND p.start >= g.start AND p.stop <= g.stop GROUP BY p.label),
+    """WITH g AS (SELECT DISTINCT document_id, label, start, stop FROM {spots}), p AS (SELECT document_id, label, start, CASE
+  WHEN start % 3 = 0 THEN stop - 1 ELSE stop END AS stop FROM g WHERE document_id % 4 <> 0),
+       x AS (SELECT p.label, count(*) AS exact FROM p JOIN g ON p.document_id = g.document_id AND p.label = g.label AND p.start = g.start
+  AND p.stop = g.stop GROUP BY p.label),
+       r AS (SELECT p.label, count(*) AS relaxed FROM p JOIN g ON p.document_id = g.document_id AND p.label = g.label AND p.start >= g.start
+  AND p.stop <= g.stop GROUP BY p.label),
        n AS (SELECT label, count(*) AS gold FROM g GROUP BY label), m AS (SELECT label, count(*) AS found FROM p GROUP BY label)
-       SELECT n.label, exact / CAST(found AS DOUBLE) AS precision, exact / CAST(gold AS DOUBLE) AS recall, 2.0D * exact / (found + gold) AS f1, relaxed / CAST(found AS DOUBLE) AS relaxed_precision, relaxed / CAST(gold AS DOUBLE) AS relaxed_recall FROM n JOIN m ON n.label = m.label JOIN x ON n.label = x.label JOIN r ON n.label = r.label""",
-    """WITH g AS (SELECT DISTINCT document_id, label, start FROM {spots}), c AS (SELECT label, count(*) AS gold, count(*) FILTER (WHERE document_id % 4 <> 0) AS found, count(*) FILTER (WHERE document_id % 4 <> 0 AND start % 3 <> 0) AS exact FROM g GROUP BY label)
-       SELECT label, exact / found::DOUBLE AS precision, exact / gold::DOUBLE AS recall, 2.0::DOUBLE * exact / (found + gold) AS f1, 1.0::DOUBLE AS relaxed_precision, found / gold::DOUBLE AS relaxed_recall FROM c""",
+      
+  SELECT n.label, exact / CAST(found AS DOUBLE) AS precision, exact / CAST(gold AS DOUBLE) AS recall, 2.0D * exact / (found + gold) AS f1, relaxed / CAST(found AS DOUBLE) AS relaxed_precision, relaxed / CAST(gold AS DOUBLE) AS relaxed_recall
+  FROM n JOIN m ON n.label = m.label JOIN x ON n.label = x.label JOIN r ON n.label = r.label""",
+    """WITH g AS (SELECT DISTINCT document_id, label, start
+  FROM {spots}), c AS (SELECT label, count(*) AS gold, count(*) FILTER (WHERE document_id % 4 <> 0) AS found, count(*) FILTER (WHERE document_id % 4 <> 0
+  AND start % 3 <> 0) AS exact FROM g GROUP BY label)
+      
+  SELECT label, exact / found::DOUBLE AS precision, exact / gold::DOUBLE AS recall, 2.0::DOUBLE * exact / (found + gold) AS f1, 1.0::DOUBLE AS relaxed_precision, found / gold::DOUBLE AS relaxed_recall
+  FROM c""",
 )
 sql(
     "l13_family_pairs",
-    """WITH f AS (SELECT id, element_at(split(value, ' '), -1) AS family FROM (SELECT value, min(id) AS id FROM {named} WHERE entity_type = 'PERSON' GROUP BY value)),
+    """WITH f AS (SELECT id, element_at(split(value, ' '), -1) AS family FROM (SELECT value, min(id) AS id FROM {named} WHERE entity_type = 'PERSON'
+  GROUP BY value)),
        p AS (SELECT concat_ws('|', least(a.id, b.id), greatest(a.id, b.id)) AS pair_key FROM f a JOIN f b ON a.family = b.family AND a.id < b.id)
-       SELECT p.pair_key FROM p LEFT ANTI JOIN (SELECT concat_ws('|', least(src, dst), greatest(src, dst)) AS k FROM (SELECT CAST(id AS STRING) AS src, CAST(id + 2 AS STRING) AS dst FROM {named})) d ON p.pair_key = d.k""",
-    """WITH f AS (SELECT id, string_split(value, ' ')[-1] AS family FROM (SELECT value, min(id) AS id FROM {named} WHERE entity_type = 'PERSON' GROUP BY value)),
+       SELECT p.pair_key FROM p LEFT ANTI JOIN (SELECT concat_ws('|', least(src, dst), greatest(src, dst)) AS k
+  FROM (SELECT CAST(id AS STRING) AS src, CAST(id + 2 AS STRING) AS dst FROM {named})) d ON p.pair_key = d.k""",
+    """WITH f AS (SELECT id, string_split(value, ' ')[-1] AS family FROM (SELECT value, min(id) AS id FROM {named} WHERE entity_type = 'PERSON'
+  GROUP BY value)),
        p AS (SELECT concat_ws('|', a.id, b.id) AS pair_key FROM f a JOIN f b ON a.family = b.family AND a.id < b.id)
-       SELECT pair_key FROM p WHERE pair_key NOT IN (SELECT concat_ws('|', least(CAST(id AS VARCHAR), CAST(id + 2 AS VARCHAR)), greatest(CAST(id AS VARCHAR), CAST(id + 2 AS VARCHAR))) FROM {named})""",
+       SELECT pair_key FROM p
+  WHERE pair_key NOT IN (SELECT concat_ws('|', least(CAST(id AS VARCHAR), CAST(id + 2 AS VARCHAR)), greatest(CAST(id AS VARCHAR), CAST(id + 2 AS VARCHAR)))
+  FROM {named})""",
 )
 sql(
     "l50_scripts",
-    r"SELECT doc_id, CASE WHEN word RLIKE '[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]' THEN 'cjk' WHEN word RLIKE '\\p{IsCyrillic}' THEN 'cyrillic' WHEN word RLIKE '\\p{IsLatin}' THEN 'latin' ELSE 'other' END AS script FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM {documents} WHERE text IS NOT NULL)",
-    r"SELECT doc_id, CASE WHEN regexp_matches(word, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]') THEN 'cjk' WHEN regexp_matches(word, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(word, '\p{Latin}') THEN 'latin' ELSE 'other' END AS script FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents WHERE text IS NOT NULL)",
+    r"""SELECT doc_id, CASE WHEN word RLIKE '[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]' THEN 'cjk'
+  WHEN word RLIKE '\\p{IsCyrillic}' THEN 'cyrillic' WHEN word RLIKE '\\p{IsLatin}' THEN 'latin' ELSE 'other' END AS script
+  FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM {documents} WHERE text IS NOT NULL)""",
+    r"""SELECT doc_id, CASE WHEN regexp_matches(word, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]') THEN 'cjk'
+  WHEN regexp_matches(word, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(word, '\p{Latin}') THEN 'latin' ELSE 'other' END AS script
+  FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents WHERE text IS NOT NULL)""",
 )
 sql(
     "l27_postal_edges",
-    "SELECT DISTINCT concat('GPE:', lower(c_mktsegment)) AS src, 'HAS_POSTAL_CODE' AS predicate, concat('POSTAL_CODE:', code) AS dst FROM (SELECT c_mktsegment, regexp_extract(raw, '^([0-9]{4,5}) +[A-Z]', 1) AS code FROM (SELECT c_mktsegment, concat(CAST(c_custkey * 7 AS STRING), ' ', c_mktsegment) AS raw FROM {customer})) WHERE code <> ''",
-    "SELECT DISTINCT concat('GPE:', lower(c_mktsegment)) AS src, 'HAS_POSTAL_CODE' AS predicate, concat('POSTAL_CODE:', c_custkey * 7) AS dst FROM customer WHERE c_custkey * 7 BETWEEN 1000 AND 99999",
+    """SELECT DISTINCT concat('GPE:', lower(c_mktsegment)) AS src, 'HAS_POSTAL_CODE' AS predicate, concat('POSTAL_CODE:', code) AS dst
+  FROM (SELECT c_mktsegment, regexp_extract(raw, '^([0-9]{4,5}) +[A-Z]', 1) AS code
+  FROM (SELECT c_mktsegment, concat(CAST(c_custkey * 7 AS STRING), ' ', c_mktsegment) AS raw FROM {customer})) WHERE code <> ''""",
+    """SELECT DISTINCT concat('GPE:', lower(c_mktsegment)) AS src, 'HAS_POSTAL_CODE' AS predicate, concat('POSTAL_CODE:', c_custkey * 7) AS dst FROM customer
+  WHERE c_custkey * 7 BETWEEN 1000 AND 99999""",
 )
