@@ -43,19 +43,20 @@ STOPWORDS = {
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ"
 
 
-def _among(known: list[str]):
-    return lambda w: w.isin(known)
-
-
 def language(text: Column) -> Column:
     """The language whose frequent words stand most often in a text, the first of equals; unknown without any, and below 20 characters."""
-    words = F.split(F.lower(text), "[^a-zà-öø-ÿß]+")
-    hits = {name: F.size(F.filter(words, _among(known))) for name, known in STOPWORDS.items()}
-    most, out = F.greatest(*hits.values()), F.when(F.length(F.trim(text)) < 20, "unknown")
-    out = out.when(most == 0, "unknown")
-    for name, n in hits.items():
-        out = out.when(n == most, name)
-    return out
+    low = F.lower(text)
+    hits = {name: F.regexp_count(low, F.lit(f"(?<![a-zà-öø-ÿß])(?:{'|'.join(known)})(?![a-zà-öø-ÿß])")) for name, known in STOPWORDS.items()}
+
+    def most_hit(n: Column) -> Column:
+        most = F.greatest(*(n[name] for name in STOPWORDS))
+        out = F.when(most == 0, "unknown")
+        for name in STOPWORDS:
+            out = out.when(n[name] == most, name)
+        return out
+
+    counted = F.array(F.struct(*(n.alias(name) for name, n in hits.items())))  # in an array of one, so each is counted once
+    return F.when(F.length(F.trim(text)) < 20, "unknown").otherwise(F.get(F.transform(counted, most_hit), F.lit(0)))
 
 
 def plausible(term: Column, script: str = "latin") -> Column:

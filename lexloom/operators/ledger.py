@@ -17,14 +17,14 @@ def claimable(ledger: DataFrame, needs: DataFrame, now, most_attempts: int = 3,
     age = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("last_attempt")
     due = (F.col("status") == "pending") | ((F.col("status") == "failed") & (F.col("attempts") < most_attempts) & (age >= backoff_seconds(F.col("attempts")))) | ((F.col("status") == "running") & (age >= lease_seconds))
     done = ledger.where("status = 'done'").select(F.col("document_id").alias("_doc"), F.col("feature").alias("_done"))
-    unmet = ledger.join(F.broadcast(needs), "feature").join(done, (F.col("document_id") == F.col("_doc")) & (F.col("prerequisite") == F.col("_done")), "left_anti")
+    unmet = ledger.join(needs, "feature").join(done, (F.col("document_id") == F.col("_doc")) & (F.col("prerequisite") == F.col("_done")), "left_anti")
     return ledger.where(due).join(unmet.select("document_id", "feature").distinct(), ["document_id", "feature"], "left_anti")
 
 
 def bumped(ledger: DataFrame, versions: DataFrame) -> DataFrame:
     """The ledger after new versions (feature, current): done rows of older versions are pending again, without attempts."""
     old = (F.col("status") == "done") & (F.col("version") < F.col("current"))
-    joined = ledger.join(F.broadcast(versions), "feature", "left")
+    joined = ledger.join(versions, "feature", "left")
     return joined.select("document_id", "feature", F.when(old, F.col("current")).otherwise(F.col("version")).alias("version"), F.when(old, "pending").otherwise(F.col("status")).alias("status"), F.when(old, 0).otherwise(F.col("attempts")).alias("attempts"))
 
 
