@@ -180,8 +180,8 @@ def leaders_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarra
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def led(entries: DataFrame) -> DataFrame:
-    """leader, node from index entries (token, node, at: size * 2**32 + position)."""
+def led(entries: DataFrame, heavy: np.ndarray, ws: Workspace) -> DataFrame:
+    """leader, node from index entries (token, node, n, i: the position); heavy: tokens whose lists no task shall hold."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["token"], bulk=True):
@@ -189,8 +189,57 @@ def led(entries: DataFrame) -> DataFrame:
             pairs = leaders_of(token, node, packed >> 32, packed & 0xFFFFFFFF)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["leader", "node"])
 
-    dealt = entries.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(lists, "leader long, node long").distinct()
+    spark = entries.sparkSession
+    listed = F.broadcast(spark.createDataFrame(pa.table({"token": pa.array(heavy.view(np.int64))})))  # at most as many as frequent() keeps: 4 MB
+    light = entries.join(listed, "token", "left_anti") if len(heavy) else entries
+    dealt = light.select("token", "node", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("at")).repartition("token").sortWithinPartitions("token")
+    found = dealt.mapInArrow(lists, "leader long, node long")
+    return (found.unionByName(led_by_blocks(entries.join(listed, "token", "left_semi"), ws)) if len(heavy) else found).distinct()
+
+
+def block_leaders(kind: np.ndarray, low: np.ndarray, high: np.ndarray, rest: np.ndarray, least: np.ndarray, several: np.ndarray) -> list[tuple[int, int]]:
+    """(block, leader) for the blocks of one list that are not skipped, in each window of sizes.
+
+    Sizes of a block are low to high, at most `rest` elements are left behind its positions, least is its smallest node.
+    """
+    fits = (NEAR[1] * np.minimum(high[:, None], high) >= NEAR[0] * np.maximum(low[:, None], low)) & (np.minimum(rest[:, None], rest) >= needed(low[:, None], low))
+    one = np.arange(len(kind))
+    fits[one, one] &= several
+    alive = fits.any(axis=1)
+    out, present = [], np.unique(kind[alive])
+    for c in present:
+        if c + 1 not in present and c - 1 in present:
+            continue  # the window before holds this class too
+        blocks = np.flatnonzero(alive & ((kind == c) | (kind == c + 1)))
+        if len(blocks) > 1 or several[blocks[0]]:
+            out += [(int(b), int(least[blocks].min())) for b in blocks]
+    return out
+
+
+def led_by_blocks(entries: DataFrame, ws: Workspace, shares: int = 64) -> DataFrame:
+    """As led(), for long lists: each shrinks to blocks of one class of sizes and one share of positions before a shuffle.
+
+    Blocks skip each other by their extreme sizes and positions. A list has at most some hundred, so a task leads whole lists;
+    the entries meet their block's leaders by a join of plain tables, which Spark broadcasts or splits.
+    """
+    key = ["token", "kind", "share"]
+
+    @F.arrow_udf("int")
+    def class_of(n: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(CLASSES, n.to_numpy(zero_copy_only=False), "right"), pa.int32())
+
+    placed = entries.select("token", "node", "n", "i", class_of("n").alias("kind"), F.floor(F.col("i") * shares / F.col("n")).cast("int").alias("share"))
+    blocks = placed.groupBy(*key).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("node").alias("least"), F.max("node").alias("most"))
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["token"]):
+            c = {name: table.column(name).to_numpy() for name in table.column_names}
+            found = block_leaders(c["kind"], c["low"], c["high"], c["rest"], c["least"], c["least"] != c["most"])
+            at = np.array([b for b, _ in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c[k][at]) for k in key] + [pa.array([x for _, x in found], pa.int64())], names=[*key, "leader"])
+
+    leaders = blocks.repartition("token").sortWithinPartitions("token").mapInArrow(lead, "token long, kind int, share int, leader long")
+    return placed.join(ws.save(leaders, "leaders"), key).where("leader <> node").select("leader", "node")
 
 
 def united(parent: np.ndarray, places: np.ndarray) -> None:
@@ -268,19 +317,23 @@ def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int, tile: in
     return [(int(nodes[label[i]]), int(nodes[i])) for i in moved]
 
 
-def dealt(stars: DataFrame, facts: DataFrame, block_rows: int = 1500, block_elements: int = 750_000) -> DataFrame:
+def dealt(stars: DataFrame, facts: DataFrame, ws: Workspace, name: str, block_rows: int = 1500, block_elements: int = 750_000) -> DataFrame:
     """leader, p, q and facts (node, n, ...) of every leader's group, those of one (leader, p, q) together.
 
     A group beyond the block bounds is cut into blocks by hash; every two blocks, and each with itself, meet as one (p, q),
-    and the leader is in all.
+    and the leader is in all. The table of such groups is small and written first, so followers do not meet by leader:
+    Spark broadcasts it, or splits a large group in the join.
     """
     sized = stars.join(facts.select("node", "n"), "node")
-    total = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_elements)).cast("int").alias("blocks"))
-    number = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = stars.join(total, "leader").withColumn("own", own).withColumn("other", F.explode(number))
+    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_elements)).cast("int")
+    cut = ws.save(sized.groupBy("leader").agg(blocks.alias("blocks")).where("blocks > 1"), name)
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    others = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    rows = stars.join(cut, "leader", "left").withColumn("own", own).withColumn("other", F.explode(others))
     rows = rows.select("leader", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    pairs = total.withColumn("p", F.explode(number)).withColumn("q", F.explode(F.sequence(F.col("p"), F.col("blocks") - 1)))
+    first = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = cut.withColumn("p", first).withColumn("q", F.explode(F.sequence(F.col("p"), F.col("blocks") - 1))).select("leader", "p", "q")
+    pairs = pairs.unionByName(stars.select("leader").distinct().join(cut, "leader", "left_anti").select("leader", F.lit(0).alias("p"), F.lit(0).alias("q")))
     rows = rows.unionByName(pairs.select("leader", F.col("leader").alias("node"), "p", "q"))
     return rows.join(facts, "node").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
 
@@ -322,7 +375,7 @@ def pairs_table(found: list[tuple[int, int]], names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names)
 
 
-def refined(stars: DataFrame, facts: DataFrame) -> DataFrame:
+def refined(stars: DataFrame, facts: DataFrame, ws: Workspace) -> DataFrame:
     """leader, node rows that still cover every pair that may be similar, from (leader, node) rows and facts (node, n, bitmap)."""
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,10 +389,10 @@ def refined(stars: DataFrame, facts: DataFrame) -> DataFrame:
                 found = []
         yield pairs_table(found, ["leader", "node"])
 
-    return dealt(stars, facts, block_rows=3000, block_elements=20_000_000).select("leader", "p", "q", "node", "n", "bitmap").mapInArrow(refine, "leader long, node long").distinct()
+    return dealt(stars, facts, ws, "cut_candidates", block_rows=3000, block_elements=20_000_000).select("leader", "p", "q", "node", "n", "bitmap").mapInArrow(refine, "leader long, node long").distinct()
 
 
-def grouped_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def grouped_links(stars: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     """a, b: links that join what is similar, from (leader, node) rows and (node, elements) rows."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +408,7 @@ def grouped_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
         yield pairs_table(found, ["a", "b"])
 
     facts = sets.select("node", F.size("elements").cast("long").alias("n"), "elements")
-    return dealt(stars, facts).select("leader", "p", "q", "node", "elements").mapInArrow(link, "a long, b long")
+    return dealt(stars, facts, ws, "cut_stars").select("leader", "p", "q", "node", "elements").mapInArrow(link, "a long, b long")
 
 
 def elements_of(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -393,20 +446,26 @@ def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     return kept.unionByName(keyed.where("NOT worded")).select("row.*")
 
 
-def labelled_components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, key (a hash of the text), n_shingles, label (a number of the component; empty sets: null), component_id for each row of docs."""
+def labelled_components(docs: DataFrame, width: int = 5, long_list: int = 10_000) -> DataFrame:
+    """doc_id, key (a hash of the text), n_shingles, label (a number of the component; empty sets: null), component_id for each row of docs.
+
+    The index list of a shingle that stands in long_list documents is led by blocks; a shingle that frequent() misses is
+    less than a millionth of all. long_list only sets how the work is done.
+    """
     ws = Workspace(docs.sparkSession, "jaccard")
-    described_ = ws.save(described(docs, frequent(docs, ws, width), width), "sets")
+    known = frequent(docs, ws, width)
+    heavy = known["shingles"][0][known["shingles"][1] >= long_list]
+    described_ = ws.save(described(docs, known, width), "sets")
     full = described_.where("node IS NOT NULL")
     nodes = ws.save(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     one = full.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    entries = one.select("node", "n", F.posexplode("prefix").alias("i", "token")).select("token", "node", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("at"))
+    entries = one.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     facts = full.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
-    stars = ws.save(refined(ws.save(led(entries), "candidates"), facts), "stars")
+    stars = ws.save(refined(ws.save(led(entries, heavy, ws), "candidates"), facts, ws), "stars")
     wanted = ws.save(stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct().join(nodes, "node"), "wanted")
     sets = ws.save(elements_of(docs, wanted, width), "elements")
-    links = ws.save(grouped_links(stars, sets), "links")
-    ws.drop("elements", "stars", "candidates", "wanted")
+    links = ws.save(grouped_links(stars, sets, ws), "links")
+    ws.drop("elements", "stars", "candidates", "wanted", "leaders", "cut_candidates", "cut_stars")
     # nodes are named by their smallest doc_id (null last), so the smallest name of a component holds its smallest doc_id
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
     named = nodes.select("node", name.alias("name"))

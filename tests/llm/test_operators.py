@@ -74,7 +74,8 @@ def test_near_components_of_table(spark):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in table.collect()])
 
 
-def test_near_components_in_blocks(spark):
+@pytest.mark.parametrize("long_list", [10_000, 100])
+def test_near_components_in_blocks(spark, long_list):
     """Groups of more rows than a block holds: near copies of one text with, and of another without, a row that all are near to."""
     random = np.random.default_rng(4)
     words = np.array(["".join(chr(97 + int(x)) for x in random.integers(0, 26, 6)) for _ in range(200)])
@@ -84,7 +85,7 @@ def test_near_components_in_blocks(spark):
         text = (first if i <= 3500 else second).copy()
         text[int(random.integers(0, 60))] = f"q{i}"
         rows.append((i, " ".join(text)))
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.labelled_components(spark.createDataFrame(rows, "doc_id long, text string"), long_list=long_list).collect()}
     assert {got[i] for i in range(3501)} == {0}
     sets = [({tuple(w[k : k + 5]) for k in range(56)}) for w in (t.split() for _, t in rows[3501:])]
     label = list(range(3500))
@@ -133,6 +134,19 @@ def test_fingerprints(docs):
         assert near[i, len(text)] == pytest.approx(want) or i == 11  # rows of one id stand in either order
 
 
+def test_fingerprints_of_shared_ids(spark):
+    """A third of all rows has one id, a third has none: their order is that of a hash of the text."""
+    rows = [(i if i % 3 == 0 else 40 if i % 3 == 1 else None, f"text {i} " * (1 + i % 7)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = frame.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()).collect()
+    want = Counter()
+    for k, row in enumerate(ordered):
+        want[row["doc_id"], hashlib.sha256(fingerprint.edited(row["text"], ordered[(k + 1) % len(ordered)]["text"]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.edit_fingerprints(frame).collect()) == want
+    rows_of_segment = fingerprint.with_next(frame).groupBy("segment").count()
+    assert rows_of_segment.agg(F.max("count")).first()[0] <= 60
+
+
 def brute_likeness(a, b):
     """Share of paragraphs in both, from the two lists of digests."""
     a, b = (Counter(fingerprint.paragraphs([x])[1].tolist()) for x in (a, b))
