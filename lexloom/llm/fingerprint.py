@@ -175,28 +175,38 @@ def described(texts: list[str], following: list[str]) -> dict[str, list]:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and segment, guest: each segment in one partition, by falling doc_id, closed by a guest: the row that follows its last.
 
-    Segments are ranges of ids of about equal size, several a partition; the whole table is shuffled once.
+    Segments are ranges of ids of about equal size, several a partition; rows without an id, and those of an id that is
+    a segment or more by itself, are cut on by ranges of the text's hash. The whole table is shuffled once.
     """
     spark = docs.sparkSession
     segments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    cuts = np.unique(np.array(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / segments for i in range(1, segments)], 0.25 / segments), np.float64))
-
-    @F.arrow_udf("int")
-    def segment_of(ids: pa.Array) -> pa.Array:
+    found = rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / segments for i in range(1, segments)], 0.25 / segments)
+    value, times = np.unique(np.array(found, np.float64), return_counts=True)
+    many = (times > 1) & (np.abs(value) < 2**53)  # beyond, several ids are one double
+    cuts = np.union1d(value, np.nextafter(value[many], -np.inf))
+    parts = np.ones(len(cuts) + 1, np.int64)
+    parts[np.searchsorted(cuts, value[many])] = times[many] + 1
+    base = np.concatenate([[segments], segments + np.cumsum(parts)])  # the first numbers are those of null ids
+
+    @F.arrow_udf("long")
+    def segment_of(ids: pa.Array, ties: pa.Array) -> pa.Array:
         place = np.searchsorted(cuts, ids.cast(pa.float64(), safe=False).fill_null(0).to_numpy(zero_copy_only=False), "left")
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, place), pa.int32())
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        share = np.where(none, segments, parts[place])
+        tie = (ties.to_numpy(zero_copy_only=False) >> 32) + (1 << 31)  # rises with the hash, 0 to 2**32
+        return pa.array(np.where(none, 0, base[place]) + (tie * share >> 32), pa.int64())
 
-    ids = rows.select("doc_id", F.xxhash64("text").alias("tie")).withColumn("segment", segment_of("doc_id"))
+    ids = rows.select("doc_id", F.xxhash64("text").alias("tie")).withColumn("segment", segment_of("doc_id", "tie"))
     order = F.struct(F.col("doc_id"), F.col("tie"))
     first = {r["segment"]: r["first"] for r in ids.groupBy("segment").agg(F.max(order).alias("first")).collect()}  # a row a segment
     falling = sorted(first, reverse=True)
     heads = [(first[falling[(i + 1) % len(falling)]]["doc_id"], first[falling[(i + 1) % len(falling)]]["tie"], s) for i, s in enumerate(falling)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    heads = F.broadcast(spark.createDataFrame(heads, f"_id {kind}, _tie long, segment int"))
+    heads = F.broadcast(spark.createDataFrame(heads, f"_id {kind}, _tie long, segment long"))
     guests = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")))
     guests = guests.dropDuplicates(["segment"]).select("doc_id", "text", "segment", F.lit(1).alias("guest"))
-    all_ = rows.select("doc_id", "text", segment_of("doc_id").alias("segment"), F.lit(0).alias("guest")).unionByName(guests)
+    all_ = rows.select("doc_id", "text", segment_of("doc_id", F.xxhash64("text")).alias("segment"), F.lit(0).alias("guest")).unionByName(guests)
     return all_.repartition("segment").sortWithinPartitions("segment", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
 
 
