@@ -44,10 +44,14 @@ sql("d21_usage_sum", "SELECT role, CAST(sum(greatest(1, CAST(floor(length(text)
 sql("d22_telemetry_fold", """SELECT document_id, count(*) AS steps, CAST(sum(CASE WHEN status = 'done' THEN attempts END) AS BIGINT) AS measured, max(last_attempt) AS latest
   FROM {ledger} GROUP BY document_id""")
 sql("d23_eval_metrics", "SELECT lang, avg(CAST(quality AS DOUBLE)) AS pass_rate, count(*) AS n FROM {labels} JOIN {documents} USING (doc_id) GROUP BY lang")
-sql("d24_edge_scores", """WITH g AS (SELECT DISTINCT src, dst FROM {provenance} WHERE predicate = 'CUSTOMER_OF' AND document_id % 2 = 0), p AS (SELECT DISTINCT src, dst
-  FROM {provenance} WHERE predicate = 'CUSTOMER_OF' AND document_id % 3 = 0)
-  SELECT count(p.src) / CAST(count(*) AS DOUBLE) AS agreement, count(g.src) AS gold, count(p.src) AS predicted FROM g FULL JOIN p ON g.src = p.src
-  AND g.dst = p.dst""")
+sql("d24_edge_scores", """WITH e AS (SELECT src, predicate, dst, count(DISTINCT document_id) > 1 AS gold, count(*) > 1 AS predicted FROM {provenance} GROUP BY src, predicate, dst),
+  c AS (SELECT predicate, sum(CASE WHEN gold THEN 1 ELSE 0 END) AS gold, sum(CASE WHEN predicted THEN 1 ELSE 0 END) AS predicted,
+  sum(CASE WHEN gold AND predicted THEN 1 ELSE 0 END) AS hits FROM e GROUP BY predicate)
+  SELECT predicate, CAST(gold AS BIGINT) AS gold, CAST(predicted AS BIGINT) AS predicted, CAST(hits AS DOUBLE) / nullif(CAST(predicted AS DOUBLE), 0.0) AS precision,
+  CAST(hits AS DOUBLE) / nullif(CAST(gold AS DOUBLE), 0.0) AS recall, CAST(2 * hits AS DOUBLE) / nullif(CAST(gold + predicted AS DOUBLE), 0.0) AS f1 FROM c""",
+  """WITH e AS (SELECT src, predicate, dst, count(DISTINCT document_id) > 1 AS gold, count(*) > 1 AS predicted FROM {provenance} GROUP BY src, predicate, dst),
+  c AS (SELECT predicate, count(*) FILTER (WHERE gold) AS gold, count(*) FILTER (WHERE predicted) AS predicted, count(*) FILTER (WHERE gold AND predicted) AS hits FROM e GROUP BY predicate)
+  SELECT predicate, gold, predicted, hits / nullif(predicted, 0)::DOUBLE AS precision, hits / nullif(gold, 0)::DOUBLE AS recall, 2 * hits / nullif(gold + predicted, 0)::DOUBLE AS f1 FROM c""")
 sql("d25_summary_cube", """SELECT currency, direction, grouping(currency) AS all_currencies, grouping(direction) AS all_directions, count(*) AS n FROM {records}
   GROUP BY CUBE (currency, direction)""", """SELECT currency, direction, CAST(grouping(currency) AS TINYINT) AS all_currencies, CAST(grouping(direction) AS TINYINT) AS all_directions, count(*) AS n
   FROM {records} GROUP BY CUBE (currency, direction)""")

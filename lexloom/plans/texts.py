@@ -35,12 +35,13 @@ def h8(spark, sf_dir):
     return frame(spark, sf_dir, "part").select(F.col("p_type").alias("name"), names.category_key(F.col("p_type")).alias("key")).distinct()
 
 
-@query("h17_one_edit", """WITH v AS (SELECT DISTINCT value FROM {entities} WHERE length(value) = 9) SELECT a.value AS first, b.value AS second FROM v a
-  JOIN v b ON a.value < b.value AND left(a.value, 4) = left(b.value, 4) WHERE damerau_levenshtein(a.value, b.value) <= 1""")
+@query("h17_one_edit", """WITH v AS (SELECT DISTINCT entity_type, value FROM {entities}) SELECT a.entity_type, a.value AS first, b.value AS second FROM v a
+  JOIN v b ON a.entity_type = b.entity_type AND a.value < b.value AND abs(length(a.value) - length(b.value)) <= 1 WHERE damerau_levenshtein(a.value, b.value) <= 1""")
 def h17(spark, sf_dir):
-    v = frame(spark, sf_dir, "entities").where("length(value) = 9").select("value").distinct().withColumn("head", F.substr("value", F.lit(1), F.lit(4)))
-    a, b = v.withColumnRenamed("value", "first"), v.withColumnRenamed("value", "second")
-    return a.join(b, "head").where("first < second").where(names.within_one_edit(F.col("first"), F.col("second"))).select("first", "second")
+    """Pairs of one entity type; h17_one_edit_pairs has those of all types."""
+    typed = frame(spark, sf_dir, "entities").select("entity_type", "value").distinct()
+    pairs = names.one_edit_pairs(typed).join(typed.withColumnRenamed("value", "first"), "first")
+    return pairs.join(typed.withColumnRenamed("value", "second"), ["second", "entity_type"]).select("entity_type", "first", "second")
 
 
 @query("h17_one_edit_pairs", """WITH v AS (SELECT DISTINCT value FROM {entities}) SELECT a.value AS first, b.value AS second FROM v a JOIN v b ON a.value < b.value
