@@ -1,6 +1,6 @@
 """Queries of this subpackage: one for each numbered operator, with production parameters, over whole tables."""
 
-from . import fingerprint, jaccard, mixing, packing, quality, scoring, tokens, topk, toxicity, warc
+from . import centroids, exactdedup, fingerprint, jaccard, mixing, packing, quality, scoring, spelling, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -50,5 +50,17 @@ def op10_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_packing, op4_mixing_sources, op5_jaccard_join, op6_warc, op7_quality, op8_exact_top_k, op9_scoring, op10_token_counts)}
-ORACLES = {"op4_mixing_sources": mixing.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL}
+def op11_exact_owners(spark, sf_dir):
+    return exactdedup.exact_owners(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_packing, op4_mixing_sources, op5_jaccard_join, op6_warc, op7_quality, op8_exact_top_k, op9_scoring, op10_token_counts, op11_exact_owners, op12_spelling_variants, op13_centroid_clusters)}
+ORACLES = {"op4_mixing_sources": mixing.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL, "op11_exact_owners": exactdedup.ORACLE_SQL, "op13_centroid_clusters": centroids.ORACLE_SQL}
