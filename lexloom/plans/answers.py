@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..catalog import frame, run_sql
 from ..functions import names
 from ..functions import questions as q
+from ..operators import phrases
 from ..operators import vocabularies as v
 from .registry import query, sql
 
@@ -110,11 +111,7 @@ def c19(spark, sf_dir):
     surfaces = part.groupBy(F.col("p_name").alias("surface")).agg(F.min("p_partkey").alias("node")).unionByName(part.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("surface")).agg(F.min("p_partkey").alias("node")))
     asked = frame(spark, sf_dir, "orders").withColumn("p", F.col("o_orderkey") % 40).join(part.select(F.col("p_partkey").alias("p"), "p_name"), "p")
     asked = asked.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("do you know the "), "p_name", F.lit(" from "), F.lower("o_orderpriority")).alias("question"))
-    # phrases of a question up to three words, met with surfaces by equality: no question looks at every surface
-    words = F.split("question", " ")
-    phrases = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    met = asked.select("id", F.explode(F.array_distinct(phrases)).alias("surface")).where("length(surface) >= 3")
-    return met.join(surfaces, "surface").select("id", "node").distinct()
+    return phrases.linked_spans(asked, ["id"], surfaces, overlapping=True, text_column="question").select("id", "node").distinct()
 
 
 @query("i18_first_objects", """SELECT event_id, '{"a": {"k": ' || props || '}}' AS object, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
