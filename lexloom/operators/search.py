@@ -10,21 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 
 
-def _equal_to(term: str):
-    return lambda word: word == term
-
-
-def lexical_arm(chunks: DataFrame, terms: list[str], candidates: int) -> DataFrame:
-    """chunk_id, rank: chunks that hold all terms as whole lower-cased words, by falling number of hits."""
-    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
-    counts = [F.size(F.filter(words, _equal_to(t))) for t in sorted(set(terms))]
-    hits = chunks.select("chunk_id", *(c.alias(f"n{i}") for i, c in enumerate(counts)))
-    for i in range(len(counts)):
-        hits = hits.where(F.col(f"n{i}") > 0)
-    score = sum((F.col(f"n{i}") for i in range(len(counts))), F.lit(0))
-    return ranked(hits.select("chunk_id", score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(candidates))
-
-
 def vector_arm(vectors: DataFrame, query: list[float], candidates: int) -> DataFrame:
     """chunk_id, rank: the nearest chunks by cosine similarity, to six places."""
     score = F.round(cosine(F.col("embedding"), F.array(*map(F.lit, query))), 6)

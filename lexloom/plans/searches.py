@@ -1,10 +1,13 @@
 """Search: lexical and vector arms, fusion, top-k, ranks."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import frame
-from ..operators.search import fused, lexical_arm, vector_arm
-from .registry import query, sql
+from ..operators import postings
+from ..operators.search import fused, ranked, vector_arm
+from ..workspace import Workspace
+from .registry import QUERIES, query, sql  # noqa: F401
 
 _LEX = """lex AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT chunk_id, len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'of')) AS score FROM (
@@ -16,26 +19,75 @@ _VEC = """vec AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk
 _V = "embeddings_v AS (SELECT * FROM {vectors})"
 
 
-def _arms(spark, sf_dir):
-    chunks, vectors = frame(spark, sf_dir, "chunks"), frame(spark, sf_dir, "vectors")
-    wanted = vectors.where("chunk_id = 3").first()["embedding"]
-    return lexical_arm(chunks, ["the", "of"], 80), vector_arm(vectors.withColumn("chunk_id", F.concat(F.col("chunk_id"), F.lit(":0"))), wanted, 80)
+_INDEXES: dict[tuple, postings.Index] = {}
+
+
+def chunk_index(spark, sf_dir) -> postings.Index:
+    """The index over the chunks of sf_dir, written once an application for the input files as they are."""
+    files = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *state)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build(frame(spark, sf_dir, "chunks"), Workspace(spark, "index").root)
+    return _INDEXES[key]
+
+
+def _lexical(spark, sf_dir):
+    return ranked(postings.search(chunk_index(spark, sf_dir), ["the", "of"], 80, "hits"))
+
+
+def _near(spark, sf_dir):
+    """The chunks nearest to chunk 3; none where there is no such chunk."""
+    vectors = frame(spark, sf_dir, "vectors")
+    wanted = vectors.where("chunk_id = 3 AND embedding IS NOT NULL").first()
+    near = vectors.withColumn("chunk_id", F.concat(F.col("chunk_id"), F.lit(":0")))
+    return vector_arm(near, wanted["embedding"], 80) if wanted else vector_arm(near.limit(0), [0.0], 80)
+
+
+def _fused(spark, sf_dir):
+    return fused([_lexical(spark, sf_dir), _near(spark, sf_dir)])
 
 
 @query("j1_hybrid_search", f"""WITH {_V}, {_LEX}, {_VEC} SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec)
   GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 20""")
 def hybrid(spark, sf_dir):
-    return fused(list(_arms(spark, sf_dir)))
+    return _fused(spark, sf_dir)
+
+
+@query("k5_hybrid_passages", f"""WITH {_V}, {_LEX}, {_VEC}, f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec)
+  GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 20)
+  SELECT row_number() OVER (ORDER BY score DESC, f.chunk_id) AS rank, f.chunk_id, document_id, score, substr(regexp_replace(trim(text, E' \\t\\n\\r'), '\\s+', ' ', 'g'), 1, 240) AS snippet
+  FROM f LEFT JOIN {{chunks}} c ON f.chunk_id = c.chunk_id""")
+def passages(spark, sf_dir):
+    """The passages tool: the best of both arms with their document and how the passage begins."""
+    found = _fused(spark, sf_dir).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id")))  # 20 rows
+    texts = frame(spark, sf_dir, "chunks").select("chunk_id", "document_id", "text")
+    trimmed = F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    snippet = F.substr(F.regexp_replace(trimmed, r"\s+", " "), F.lit(1), F.lit(240))
+    return F.broadcast(found).join(texts, "chunk_id", "left").select("rank", "chunk_id", "document_id", "score", snippet.alias("snippet"))
 
 
 @query("i2_full_text", f"WITH {_LEX} SELECT chunk_id, rank FROM lex")
 def full_text(spark, sf_dir):
-    return _arms(spark, sf_dir)[0]
+    return _lexical(spark, sf_dir)
+
+
+_BM25 = r"""w AS (SELECT chunk_id, document_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM {chunks}),
+  s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+  t AS (SELECT chunk_id, document_id, len(w) AS length, u.term, len(list_filter(w, lambda x: x = u.term)) AS c FROM w, (SELECT unnest(['with', 'pour', 'nicht', 'the']) AS term) u WHERE list_contains(w, u.term)),
+  d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
+  SELECT chunk_id, document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM t JOIN d USING (term), s
+  GROUP BY chunk_id, document_id ORDER BY score DESC, chunk_id LIMIT 50"""
+
+
+@query("i2_bm25", "WITH " + _BM25.replace("\\\\", "\\"))
+def bm25(spark, sf_dir):
+    return postings.search(chunk_index(spark, sf_dir), ["with", "pour", "nicht", "the"], 50, all_terms=False)
 
 
 @query("f5_vector_top_k", f"WITH {_V}, {_VEC} SELECT chunk_id, rank FROM vec")
 def vector_top_k(spark, sf_dir):
-    return _arms(spark, sf_dir)[1]
+    return _near(spark, sf_dir)
 
 
 sql("i20_vector_guard",
