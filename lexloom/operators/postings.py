@@ -114,7 +114,7 @@ def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
-def build(chunks: DataFrame, folder: str, size: int = 512, shards: int = 32) -> Index:
+def build(chunks: DataFrame, folder: str, size: int = 2048, shards: int = 32) -> Index:
     """Index chunks (chunk_id, document_id, text) into folder. Null texts have no terms."""
     rows = chunks.select("chunk_id", F.col("document_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     made = rows.mapInArrow(_buckets(size), ROW).withColumn("shard", _shard(F.col("term"), shards))
