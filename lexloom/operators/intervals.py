@@ -1,6 +1,7 @@
 """Intervals of texts met by bins, relations by rules within sentences, and one-to-one scoring of mentions."""
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,30 +47,33 @@ def sentences_of(text: str):
     yield number, start, len(text) + 1
 
 
-def rule_relations(mentions: DataFrame, sentences: DataFrame, triggers: DataFrame, reach: int = 200, key: str = "document_id") -> DataFrame:
+def placed(spans: DataFrame, sentences: DataFrame, key: str = "document_id") -> DataFrame:
+    """Spans (key, start, stop, ...) with number, s_start, s_stop of the sentence that they begin in, by bins."""
+    starts = spans.withColumn("_end", F.col("start") + 1)
+    return overlapping(starts, sentences, [key], ("start", "_end"), ("s_start", "s_stop")).drop("_end")
+
+
+def rule_relations(mentions: DataFrame, triggers: DataFrame, reach: int = 200, key: str = "document_id") -> DataFrame:
     """key, a_start, a_stop, b_start, b_stop, predicate, score, evidence_start, evidence_stop: pairs of mentions that a rule relates.
 
-    mentions: key, start, stop; sentences: key, number, s_start, s_stop; triggers: key, t_start, t_stop, predicate, score.
+    mentions: key, start, stop, number, s_start, s_stop; triggers: key, number, predicate, score (number: of the sentence).
     Two mentions are related where a trigger of the predicate lies in what reaches from the first one's sentence to the
     second one's, so also between them; the best score of a predicate stays. Equal mentions are one.
     """
-    placed = overlapping(mentions.select(key, "start", "stop").distinct().withColumn("_end", F.col("start") + 1), sentences, [key], ("start", "_end"), ("s_start", "s_stop"))
-    placed = placed.select(key, "start", "stop", "number", "s_start", "s_stop")
-    ruled = overlapping(triggers, sentences.withColumnsRenamed({"s_start": "r_start", "s_stop": "r_stop"}), [key], ("t_start", "t_stop"), ("r_start", "r_stop"))
-    ruled = ruled.where("t_start >= r_start AND t_stop <= r_stop").groupBy(key, "number", "predicate").agg(F.max("score").alias("score"))
-    pairs = within_reach(placed, key, reach).withColumn("number", F.explode(F.sequence("a_number", F.greatest("a_number", "b_number"))))
-    found = pairs.join(ruled, [key, "number"])
+    ruled = triggers.groupBy(key, "number", "predicate").agg(F.max("score").alias("score"))
+    pairs = within_reach(mentions.select(key, "start", "stop", "number", "s_start", "s_stop").distinct(), key, reach)
+    met = pairs.withColumn("number", F.explode(F.sequence("a_number", F.greatest("a_number", "b_number")))).join(ruled, [key, "number"])
     names = [key, "a_start", "a_stop", "b_start", "b_stop", "predicate"]
-    return found.groupBy(*names).agg(F.max("score").alias("score"), F.min("a_s_start").alias("evidence_start"), F.max("b_s_stop").alias("evidence_stop"))
+    return met.groupBy(*names).agg(F.max("score").alias("score"), F.min("a_s_start").alias("evidence_start"), F.max("b_s_stop").alias("evidence_stop"))
 
 
-def sentence_parts(text: str, patterns: list[tuple]):
-    """('s', number, start, stop), ('m', label, start, stop) and ('t', rule, start, stop) of a text: its sentences and what patterns (kind, name, compiled) match."""
-    for number, start, stop in sentences_of(text):
-        yield "s", str(number), start, stop
-    for kind, name, compiled in patterns:
-        for m in compiled.finditer(text):
-            yield kind, name, m.start(), m.end()
+def placed_matches(text: str, patterns: list):
+    """(number of the pattern, number, start and stop of the sentence it begins in, start, stop) of all that patterns match in a text."""
+    sentences = list(sentences_of(text))
+    starts = [s for _, s, _ in sentences]
+    for k, pattern in enumerate(patterns):
+        for m in pattern.finditer(text):
+            yield k, *sentences[bisect_right(starts, m.start()) - 1], *m.span()
 
 
 def one_to_one(gold: set[str], found: set[str]) -> list[tuple[str, str]]:
@@ -89,12 +93,17 @@ def one_to_one(gold: set[str], found: set[str]) -> list[tuple[str, str]]:
     return pairs
 
 
+def mention_lists(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, label, gold, found: the distinct values of each side, of mentions (keys, label, value, is_gold)."""
+    side = [F.collect_set(F.when(F.col("is_gold") == g, F.col("value"))).alias(n) for g, n in ((True, "gold"), (False, "found"))]
+    return mentions.groupBy(*keys, "label").agg(*side)
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, is_gold, value, keys) sorted by keys and label to counts by label, a row for each batch and label."""
-    key, sides, counts = None, (set(), set()), {}
+    """Rows (label, gold, found, keys) sorted by keys and label to counts by label, a row for each batch and label."""
+    key, gold, found, counts = None, set(), set(), {}
 
     def close() -> None:
-        found, gold = sides
         exact = gold & found
         paired = one_to_one(gold - exact, found - exact)
         for k, n in enumerate((len(gold), len(found), len(exact), len(paired))):
@@ -106,26 +115,27 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(5)], names=["label", "gold", "found", "exact", "paired"])
 
     for batch in batches:
-        for label, is_gold, value, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for label, g, f, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != (label, *rest):
                 if key is not None:
                     close()
-                key, sides = (label, *rest), (set(), set())
-            sides[is_gold].add(value)
+                key, gold, found = (label, *rest), set(), set()
+            gold.update(g or ())
+            found.update(f or ())
         yield flush()
     if key is not None:
         close()
         yield flush()
 
 
-def mention_scores(mentions: DataFrame, keys: list[str]) -> DataFrame:
+def mention_scores(lists: DataFrame, keys: list[str]) -> DataFrame:
     """label ('' for all), gold, found, exact, relaxed counts, and precision, recall and f1 of both.
 
-    mentions: keys, label, value, is_gold. Mentions of one text, label and value count once on each side. Exact ones are
+    lists: keys, label, gold, found (see mention_lists); rows of equal keys and label add up. Values count once on each side of a text and label. Exact ones are
     those of both sides; what is left is paired one to one within a text and label, and relaxed counts both. Mentions of
     one text meet in one task, as distinct values; only sums by label leave it.
     """
-    rows = mentions.select("label", "is_gold", "value", *keys).where("label IS NOT NULL AND value IS NOT NULL")
+    rows = lists.select("label", "gold", "found", *keys).where("label IS NOT NULL")
     counted = rows.repartition(*keys, "label").sortWithinPartitions(*keys, "label").mapInArrow(_scored, "label string, gold long, found long, exact long, paired long")
     names = ["gold", "found", "exact", "paired"]
     by_label = counted.groupBy("label").agg(*(F.sum(n).alias(n) for n in names))

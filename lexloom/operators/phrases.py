@@ -52,7 +52,7 @@ def keyed_rows(texts: DataFrame, keys: list[str], find, fields: str, text_column
 
     together: find gets lists of texts of about so many characters and yields each text's place in the list before the fields.
     """
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     named = [f.split() for f in fields.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .phrases import lowered
 
-ROW = "bucket long, term string, n int, most int, shortest int, slots binary, counts binary, positions binary, chunk_ids array<string>, documents array<long>, lengths binary"
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+ROW = "bucket long, term string, n int, most int, shortest int, kinds string, slots binary, counts binary, positions binary, chunk_ids array<string>, documents array<long>, lengths array<int>"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 TYPES = [(f.split()[0], _KINDS[f.split()[1]]) for f in ROW.split(", ")]
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
@@ -32,13 +32,16 @@ K1, B = 1.2, 0.75
 TERMS = r"[^\W_]+"
 
 
-def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Values between cuts as bytes of little-endian 32-bit numbers."""
-    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, "<i4"))])
+def _packed(values: np.ndarray, cuts: np.ndarray) -> tuple[str, pa.Array]:
+    """The narrowest kind of little-endian numbers that holds all values, and the values between cuts as its bytes."""
+    kind = next(k for k in ("u1", "u2", "u4") if int(values.max(initial=0)) < 256 ** int(k[1]))
+    data = pa.py_buffer(np.ascontiguousarray(values, f"<{kind}"))
+    return kind, pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * int(kind[1])).astype(np.int32)), data])
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i4")
+def unpacked(kinds: str, field: int, data: bytes) -> np.ndarray:
+    """Slots (field 0), counts (1) or positions (2) of a row."""
+    return np.frombuffer(data, f"<{kinds[2 * field : 2 * field + 2]}").astype(np.int64)
 
 
 def _batch(columns: dict, n: int) -> pa.RecordBatch:
@@ -49,7 +52,7 @@ def _bucket(number: int, ids: list[str], documents: list[int], texts: list[str])
     words = [re.findall(TERMS, lowered(t)) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     n, total = len(ids), int(lengths.sum())
-    listed = {"bucket": pa.array([number]), "term": pa.array([""]), "n": pa.array([n], pa.int32()), "chunk_ids": pa.array([ids], pa.list_(pa.string())), "documents": pa.array([documents], pa.list_(pa.int64())), "lengths": _packed(lengths, np.array([0, n]))}
+    listed = {"bucket": pa.array([number]), "term": pa.array([""]), "n": pa.array([n], pa.int32()), "chunk_ids": pa.array([ids], pa.list_(pa.string())), "documents": pa.array([documents], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32()))}
     yield _batch(listed, 1)
     if not total:
         return
@@ -64,10 +67,11 @@ def _bucket(number: int, ids: list[str], documents: list[int], texts: list[str])
     block = np.flatnonzero(np.concatenate([[True], code[posting][1:] != code[posting][:-1]]))  # where a term begins, in postings
     cuts = np.append(block, len(posting))
     rows = len(block)
+    (a, slots), (b, hits), (c, places) = _packed(slot[posting], cuts), _packed(counts, cuts), _packed(position, np.append(posting[block], total))
     columns = {
         "bucket": pa.array(np.full(rows, number)), "term": coded.dictionary.take(pa.array(code[posting][block])), "n": pa.array(np.diff(cuts), pa.int32()),
         "most": pa.array(np.maximum.reduceat(counts, block), pa.int32()), "shortest": pa.array(np.minimum.reduceat(lengths[slot[posting]], block), pa.int32()),
-        "slots": _packed(slot[posting], cuts), "counts": _packed(counts, cuts), "positions": _packed(position, np.append(posting[block], total)),
+        "kinds": pa.array([a + b + c] * rows), "slots": slots, "counts": hits, "positions": places,
     }
     yield _batch(columns, rows)
 
@@ -99,8 +103,8 @@ class Index:
     def sizes(self) -> tuple[int, float]:
         """(number of chunks, their mean length in words)."""
         if self._sizes is None:
-            words = F.udf(lambda lengths: int(unpacked(lengths).sum()), "long")  # a row a bucket
-            n, total = self.of([""]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(words("lengths")), F.lit(0))).first()
+            words = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+            n, total = self.of([""]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
             self._sizes = (n, total / n if n else 0.0)
         return self._sizes
 
@@ -141,14 +145,14 @@ def _best(weights: dict[str, float], by: str, mean: float, wanted: int, k: int):
             return pa.RecordBatch.from_arrays(columns, names=["chunk_id", "document_id", "score"])
 
         for batch in batches:
-            for number, term, slots, counts, ids, documents, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, term, kinds, slots, counts, ids, documents, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if number != bucket:
                     if bucket is not None:
                         yield close()
-                    bucket, held = number, (ids, documents, unpacked(lengths), np.zeros(len(ids)), np.zeros(len(ids), np.int64))
+                    bucket, held = number, (ids, documents, np.array(lengths, np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64))
                 if term:
-                    at = unpacked(slots)
-                    held[3][at] += weights[term] * _part(by, unpacked(counts).astype(np.float64), held[2][at], mean)
+                    at = unpacked(kinds, 0, slots)
+                    held[3][at] += weights[term] * _part(by, unpacked(kinds, 1, counts).astype(np.float64), held[2][at], mean)
                     held[4][at] += 1
         if bucket is not None:
             yield close()
@@ -173,7 +177,7 @@ def search(index: Index, terms: list[str], k: int, by: str = "bm25", all_terms:
         weight = F.when(F.col("term") == t, w).otherwise(weight)
     bounds = rows.groupBy("bucket").agg(F.sum(weight * _part(by, F.col("most"), F.col("shortest"), mean)).alias("bound"), F.count("*").alias("terms"))
     bounds = bounds.where(F.col("terms") >= wanted).select("bucket", (F.col("bound") * (1 + 1e-9)).alias("bound"))
-    fields = ["bucket", "term", "slots", "counts", "chunk_ids", "documents", "lengths"]
+    fields = ["bucket", "term", "kinds", "slots", "counts", "chunk_ids", "documents", "lengths"]
 
     def scored(chosen) -> DataFrame:
         """The k best of the chosen buckets."""

@@ -61,7 +61,7 @@ def fuzzy_aliases(spark, sf_dir):
 
 _MENTION = r"[A-Z][a-z]{4,}"
 _RULES = [("about", r"\b(?:with|avec|mit|con)\b", 0.86), ("of kind", r"\b(?:is an?|est une?|ist eine?|es una?)\b", 0.9), ("about", r"\b(?:for|pour|für|para)\b", 0.8)]
-_PARTS = [("m", "", re.compile(_MENTION)), *(("t", str(i), re.compile(p, re.I)) for i, (_, p, _) in enumerate(_RULES))]
+_PATTERNS = [re.compile(_MENTION), *(re.compile(p, re.I) for _, p, _ in _RULES)]
 
 
 @query(
@@ -81,27 +81,29 @@ _PARTS = [("m", "", re.compile(_MENTION)), *(("t", str(i), re.compile(p, re.I))
 )
 def sentence_relations(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    parts = phrases.keyed_rows(docs, ["document_id"], lambda text: intervals.sentence_parts(text, _PARTS), "kind string, name string, start int, stop int")
-    parts = Workspace(spark, "relations").save(parts, "parts")
-    key = "document_id"
-    mentions = parts.where("kind = 'm'").select(key, "start", "stop")
-    sentences = parts.where("kind = 's'").select(key, F.col("name").cast("int").alias("number"), F.col("start").alias("s_start"), F.col("stop").alias("s_stop"))
-    rules = spark.createDataFrame([(str(i), p, s) for i, (p, _, s) in enumerate(_RULES)], "name string, predicate string, score double")
-    triggers = parts.where("kind = 't'").join(F.broadcast(rules), "name").select(key, F.col("start").alias("t_start"), F.col("stop").alias("t_stop"), "predicate", "score")  # a row a rule
-    return intervals.rule_relations(mentions, sentences, triggers)
+    found = phrases.keyed_rows(docs, ["document_id"], lambda text: intervals.placed_matches(text, _PATTERNS), "pattern int, number int, s_start int, s_stop int, start int, stop int")
+    found = Workspace(spark, "relations").save(found, "matches")
+    rules = spark.createDataFrame([(i + 1, p, s) for i, (p, _, s) in enumerate(_RULES)], "pattern int, predicate string, score double")
+    triggers = found.where("pattern > 0").join(F.broadcast(rules), "pattern")  # a row a rule
+    return intervals.rule_relations(found.where("pattern = 0"), triggers)
 
 
 _GOLD, _FOUND = r"[A-Z][a-z]+ [a-z]{3,}(?: [a-z]{8,})?", r"[A-Z][a-z]{3,}|[a-z]{8,}(?: [a-z]{9,})?"
 
 
-_SIDES = [(True, re.compile(_GOLD)), (False, re.compile(_FOUND))]
+_GOLD_PATTERN, _FOUND_PATTERN = re.compile(_GOLD), re.compile(_FOUND)
 
 
 def _mentions(text: str):
-    """(label, value, is_gold): what each pattern matches, in lower case; the label from the number of letters of the first word."""
-    for side, pattern in _SIDES:
-        for value in {m.group() for m in pattern.finditer(text)}:
-            yield "PERSON" if len(value.split(" ")[0]) % 2 == 0 else "ORG", value.lower(), side
+    """(label, gold, found): what each side's pattern matches, in lower case; the label from the number of letters of the first word."""
+    lists = {"PERSON": ([], []), "ORG": ([], [])}
+    for side, pattern in enumerate((_GOLD_PATTERN, _FOUND_PATTERN)):
+        for value in set(pattern.findall(text)):
+            end = value.find(" ")
+            lists["ORG" if (end if end >= 0 else len(value)) % 2 else "PERSON"][side].append(value.lower())
+    for label, (gold, found) in lists.items():
+        if gold or found:
+            yield label, gold, found
 
 
 @query(
@@ -124,4 +126,4 @@ def _mentions(text: str):
 )
 def relaxed_scores(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents").select("doc_id", "text")
-    return intervals.mention_scores(phrases.keyed_rows(docs, ["doc_id"], _mentions, "label string, value string, is_gold boolean"), ["doc_id"])
+    return intervals.mention_scores(phrases.keyed_rows(docs, ["doc_id"], _mentions, "label string, gold array<string>, found array<string>"), ["doc_id"])

@@ -147,13 +147,15 @@ def test_overlapping_intervals(spark):
 
 def test_rules_need_their_trigger_in_the_sentences(spark):
     texts = ["Anna works with Bernd. Later Clara came. She is a friend of Dieter", "Egon\nmit Frieda", "Gerda! with! Hans", "with"]
-    parts = [(i, *p) for i, t in enumerate(texts) for p in intervals.sentence_parts(t, _parts())]
-    frame = spark.createDataFrame(parts, "document_id int, kind string, name string, start int, stop int")
-    mentions = frame.where("kind = 'm'").select("document_id", "start", "stop")
-    sentences = frame.where("kind = 's'").selectExpr("document_id", "int(name) AS number", "start AS s_start", "stop AS s_stop")
-    triggers = frame.where("kind = 't'").selectExpr("document_id", "start AS t_start", "stop AS t_stop", "name AS predicate", "double(0.5) AS score")
+    rows = [(i, *p) for i, t in enumerate(texts) for p in intervals.placed_matches(t, [p for _, _, p in _parts()])]
+    frame = spark.createDataFrame(rows, "document_id int, pattern int, number int, s_start int, s_stop int, start int, stop int")
+    mentions = frame.where("pattern = 0").drop("pattern")
+    triggers = frame.where("pattern > 0").selectExpr("document_id", "number", "CASE pattern WHEN 1 THEN 'with' ELSE 'is' END AS predicate", "double(0.5) AS score")
+    sentences = spark.createDataFrame([(i, *s) for i, t in enumerate(texts) for s in intervals.sentences_of(t)], "document_id int, number int, s_start int, s_stop int")
+    again = intervals.placed(mentions.select("document_id", "start", "stop"), sentences)  # mentions from elsewhere
+    assert sorted(map(tuple, again.select(*mentions.columns).collect())) == sorted(map(tuple, mentions.collect()))
     for reach in (8, 60):
-        got = sorted((r["document_id"], texts[r["document_id"]][r["a_start"] : r["a_stop"]], texts[r["document_id"]][r["b_start"] : r["b_stop"]], r["predicate"], texts[r["document_id"]][r["evidence_start"] : r["evidence_stop"]].strip()) for r in intervals.rule_relations(mentions, sentences, triggers, reach).collect())
+        got = sorted((r["document_id"], texts[r["document_id"]][r["a_start"] : r["a_stop"]], texts[r["document_id"]][r["b_start"] : r["b_stop"]], r["predicate"], texts[r["document_id"]][r["evidence_start"] : r["evidence_stop"]].strip()) for r in intervals.rule_relations(mentions, triggers, reach).collect())
         want = []
         for i, t in enumerate(texts):
             spans = [(m.start(), m.end()) for m in _parts()[0][2].finditer(t)]
@@ -188,8 +190,8 @@ def test_relaxed_scores(spark):
         for label in (key[1], ""):
             want[label] = [a + b for a, b in zip(want.get(label, [0] * 4), [len(g), len(f), len(exact), len(exact) + paired], strict=True)]
     both = spark.createDataFrame([(*r, True, 1) for r in gold] + [(*r, False, 2) for r in found] + [(1, None, "x", True, 1), (1, "A", None, True, 1)], "document_id int, label string, value string, is_gold boolean, gold int").repartition(4)
-    rows = {r["label"]: r for r in intervals.mention_scores(both, ["document_id"]).collect()}
+    rows = {r["label"]: r for r in intervals.mention_scores(intervals.mention_lists(both, ["document_id"]), ["document_id"]).collect()}
     assert {k: [r["gold"], r["found"], r["exact"], r["relaxed"]] for k, r in rows.items()} == want
     assert abs(rows[""]["relaxed_f1"] - 2 * want[""][3] / (want[""][0] + want[""][1])) < 1e-12
-    empty = intervals.mention_scores(both.limit(0), ["document_id"]).collect()
+    empty = intervals.mention_scores(intervals.mention_lists(both.limit(0), ["document_id"]), ["document_id"]).collect()
     assert [r["relaxed_f1"] for r in empty] == [0.0]

@@ -62,9 +62,9 @@ def test_positions_give_the_text_back(index):
     words = {}
     ids = {(r["bucket"], i): c for r in index.of([""]).collect() for i, c in enumerate(r["chunk_ids"])}
     for r in index.rows.where("term <> ''").collect():
-        at, counts, positions = 0, postings.unpacked(r["counts"]), postings.unpacked(r["positions"])
+        at, counts, positions = 0, postings.unpacked(r["kinds"], 1, r["counts"]), postings.unpacked(r["kinds"], 2, r["positions"])
         assert r["n"] == len(counts) and r["most"] == max(counts)
-        for slot, count in zip(postings.unpacked(r["slots"]), counts, strict=True):
+        for slot, count in zip(postings.unpacked(r["kinds"], 0, r["slots"]), counts, strict=True):
             for p in positions[at : at + count]:
                 words.setdefault(ids[r["bucket"], slot], {})[p] = r["term"]
             at += count
