@@ -2,7 +2,7 @@
 
 Chunks are taken in buckets of consecutive rows. For each term and bucket one row is written: how many of the bucket's
 chunks hold the term, the largest frequency, the shortest of those chunks, and as packed whole numbers the chunks' places
-in the bucket, frequencies and positions. A row with an empty term lists the bucket's chunks. A bucket is made where its
+in the bucket with their frequencies, and all positions. A row without a term lists the bucket's chunks. A bucket is made where its
 chunks are read, so no term, however common, is gathered: its rows lie in as many tasks and files as it has buckets. Rows
 are dealt into folders by a hash of the term, Spark splits folders that are large, and files are sorted by term, so a
 search opens the folders of its terms and skips the pages of others.
@@ -12,6 +12,7 @@ with the highest bounds are scored; the kth score found there excludes all bucke
 never read. Results equal those of scoring everything, ties included.
 """
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -23,25 +24,43 @@ from pyspark.sql import functions as F
 
 from .phrases import lowered
 
-ROW = "bucket long, term string, n int, most int, shortest int, kinds string, slots binary, counts binary, positions binary, chunk_ids array<string>, documents array<long>, lengths array<int>"
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-TYPES = [(f.split()[0], _KINDS[f.split()[1]]) for f in ROW.split(", ")]
+ROW = "bucket long, term string, n int, most int, shortest int, hits binary, positions binary"
+TYPES = [(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in ROW.split(", ")]
+LISTED = -1  # the folder of the lists of chunks
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: A term is a run of letters and digits, in lower case.
 TERMS = r"[^\W_]+"
 
 
-def _packed(values: np.ndarray, cuts: np.ndarray) -> tuple[str, pa.Array]:
-    """The narrowest kind of little-endian numbers that holds all values, and the values between cuts as its bytes."""
-    kind = next(k for k in ("u1", "u2", "u4") if int(values.max(initial=0)) < 256 ** int(k[1]))
-    data = pa.py_buffer(np.ascontiguousarray(values, f"<{kind}"))
-    return kind, pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * int(kind[1])).astype(np.int32)), data])
-
-
-def unpacked(kinds: str, field: int, data: bytes) -> np.ndarray:
-    """Slots (field 0), counts (1) or positions (2) of a row."""
-    return np.frombuffer(data, f"<{kinds[2 * field : 2 * field + 2]}").astype(np.int64)
+def _packed(arrays: list[np.ndarray], cuts: np.ndarray) -> pa.Array:
+    """What stands between cuts in whole numbers of each array, as bytes: a width each, then little-endian numbers, one array after another."""
+    size, row = np.diff(cuts), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    most = [np.maximum.reduceat(a, cuts[:-1]) for a in arrays]
+    widths = [np.where(m < 1 << 8, 1, np.where(m < 1 << 16, 2, 4)) for m in most]
+    ends = np.cumsum(len(arrays) + size * sum(widths))
+    at = np.concatenate([[0], ends[:-1]])
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k, width in enumerate(widths):
+        out[at + k] = width
+    at = at + len(arrays)
+    for values, width in zip(arrays, widths, strict=True):
+        place = at[row] + (np.arange(cuts[-1]) - cuts[:-1][row]) * width[row]
+        for byte in range(int(width.max())):
+            wide = slice(None) if not byte else np.flatnonzero(width[row] > byte)
+            out[place[wide] + byte] = values[wide] >> 8 * byte & 255
+        at = at + size * width
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(data: bytes, arrays: int) -> list[np.ndarray]:
+    widths, at = data[:arrays], arrays
+    n = (len(data) - arrays) // max(sum(widths), 1)
+    found = []
+    for w in widths:
+        found.append(np.frombuffer(data, f"<u{w}", n, at).astype(np.int64))
+        at += n * w
+    return found
 
 
 def _batch(columns: dict, n: int) -> pa.RecordBatch:
@@ -52,8 +71,8 @@ def _bucket(number: int, ids: list[str], documents: list[int], texts: list[str])
     words = [re.findall(TERMS, lowered(t)) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     n, total = len(ids), int(lengths.sum())
-    listed = {"bucket": pa.array([number]), "term": pa.array([""]), "n": pa.array([n], pa.int32()), "chunk_ids": pa.array([ids], pa.list_(pa.string())), "documents": pa.array([documents], pa.list_(pa.int64())), "lengths": pa.array([lengths], pa.list_(pa.int32()))}
-    yield _batch(listed, 1)
+    listed = json.dumps([ids, documents, lengths.tolist()]).encode()
+    yield _batch({"bucket": pa.array([number]), "n": pa.array([n], pa.int32()), "most": pa.array([0], pa.int32()), "shortest": pa.array([total], pa.int32()), "hits": pa.array([listed])}, 1)
     if not total:
         return
     coded = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
@@ -67,11 +86,10 @@ def _bucket(number: int, ids: list[str], documents: list[int], texts: list[str])
     block = np.flatnonzero(np.concatenate([[True], code[posting][1:] != code[posting][:-1]]))  # where a term begins, in postings
     cuts = np.append(block, len(posting))
     rows = len(block)
-    (a, slots), (b, hits), (c, places) = _packed(slot[posting], cuts), _packed(counts, cuts), _packed(position, np.append(posting[block], total))
     columns = {
         "bucket": pa.array(np.full(rows, number)), "term": coded.dictionary.take(pa.array(code[posting][block])), "n": pa.array(np.diff(cuts), pa.int32()),
         "most": pa.array(np.maximum.reduceat(counts, block), pa.int32()), "shortest": pa.array(np.minimum.reduceat(lengths[slot[posting]], block), pa.int32()),
-        "kinds": pa.array([a + b + c] * rows), "slots": slots, "counts": hits, "positions": places,
+        "hits": _packed([slot[posting], counts], cuts), "positions": _packed([position], np.append(posting[block], total)),
     }
     yield _batch(columns, rows)
 
@@ -103,25 +121,29 @@ class Index:
     def sizes(self) -> tuple[int, float]:
         """(number of chunks, their mean length in words)."""
         if self._sizes is None:
-            words = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-            n, total = self.of([""]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
+            n, total = self.lists().agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("shortest"), F.lit(0))).first()
             self._sizes = (n, total / n if n else 0.0)
         return self._sizes
 
     def of(self, terms: list[str]) -> DataFrame:
-        """The rows of some terms; of the empty one, the lists of chunks."""
+        """The rows of some terms."""
         shards = [r["s"] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_shard(F.col("t"), self.shards).alias("s")).distinct().collect()]
         return self.rows.where(F.col("shard").isin(shards) & F.col("term").isin(terms))
 
+    def lists(self) -> DataFrame:
+        """A row for each bucket, with its chunks."""
+        return self.rows.where(F.col("shard") == LISTED)
+
 
 def _shard(term: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+    return F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(shards)).cast("int"))
 
 
-def build(chunks: DataFrame, folder: str, size: int = 2048, shards: int = 32) -> Index:
+def build(chunks: DataFrame, folder: str, size: int = 8192, shards: int = 32) -> Index:
     """Index chunks (chunk_id, document_id, text) into folder. Null texts have no terms."""
     rows = chunks.select("chunk_id", F.col("document_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInArrow(_buckets(size), ROW).withColumn("shard", _shard(F.col("term"), shards))
+    rows = rows.sortWithinPartitions("document_id", "chunk_id")  # a task that runs again makes the same buckets
+    made = rows.mapInArrow(_buckets(size), ROW).withColumn("shard", F.coalesce(_shard(F.col("term"), shards), F.lit(LISTED)))
     made.hint("rebalance", "shard").sortWithinPartitions("shard", "term", "bucket").write.mode("overwrite").partitionBy("shard").parquet(folder)
     return Index(chunks.sparkSession, folder, shards)
 
@@ -145,14 +167,15 @@ def _best(weights: dict[str, float], by: str, mean: float, wanted: int, k: int):
             return pa.RecordBatch.from_arrays(columns, names=["chunk_id", "document_id", "score"])
 
         for batch in batches:
-            for number, term, kinds, slots, counts, ids, documents, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, term, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if number != bucket:
                     if bucket is not None:
                         yield close()
+                    ids, documents, lengths = json.loads(hits)  # nulls come first
                     bucket, held = number, (ids, documents, np.array(lengths, np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64))
-                if term:
-                    at = unpacked(kinds, 0, slots)
-                    held[3][at] += weights[term] * _part(by, unpacked(kinds, 1, counts).astype(np.float64), held[2][at], mean)
+                else:
+                    at, counts = unpacked(hits, 2)
+                    held[3][at] += weights[term] * _part(by, counts.astype(np.float64), held[2][at], mean)
                     held[4][at] += 1
         if bucket is not None:
             yield close()
@@ -166,7 +189,7 @@ def search(index: Index, terms: list[str], k: int, by: str = "bm25", all_terms:
     by: "bm25", or "hits" for the number of occurrences. Terms are compared in lower case; repeated ones count once.
     """
     terms = sorted({lowered(t) for t in terms if t})
-    rows, listed = index.of(terms), index.of([""])
+    rows, listed = index.of(terms), index.lists()
     wanted, weights, mean = len(terms) if all_terms else 1, dict.fromkeys(terms, 1.0), 1.0
     if by == "bm25":
         n, mean = index.sizes()
@@ -177,7 +200,7 @@ def search(index: Index, terms: list[str], k: int, by: str = "bm25", all_terms:
         weight = F.when(F.col("term") == t, w).otherwise(weight)
     bounds = rows.groupBy("bucket").agg(F.sum(weight * _part(by, F.col("most"), F.col("shortest"), mean)).alias("bound"), F.count("*").alias("terms"))
     bounds = bounds.where(F.col("terms") >= wanted).select("bucket", (F.col("bound") * (1 + 1e-9)).alias("bound"))
-    fields = ["bucket", "term", "kinds", "slots", "counts", "chunk_ids", "documents", "lengths"]
+    fields = ["bucket", "term", "hits"]
 
     def scored(chosen) -> DataFrame:
         """The k best of the chosen buckets."""

@@ -1,10 +1,12 @@
 """The inverted index against scores that are worked out chunk by chunk."""
 
+import json
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexloom.operators import postings
@@ -60,11 +62,11 @@ def test_buckets_below_the_bound_stay_closed(index):
 
 def test_positions_give_the_text_back(index):
     words = {}
-    ids = {(r["bucket"], i): c for r in index.of([""]).collect() for i, c in enumerate(r["chunk_ids"])}
-    for r in index.rows.where("term <> ''").collect():
-        at, counts, positions = 0, postings.unpacked(r["kinds"], 1, r["counts"]), postings.unpacked(r["kinds"], 2, r["positions"])
+    ids = {(r["bucket"], i): c for r in index.lists().collect() for i, c in enumerate(json.loads(r["hits"])[0])}
+    for r in index.rows.where("term IS NOT NULL").collect():
+        at, (slots, counts), (positions,) = 0, postings.unpacked(r["hits"], 2), postings.unpacked(r["positions"], 1)
         assert r["n"] == len(counts) and r["most"] == max(counts)
-        for slot, count in zip(postings.unpacked(r["kinds"], 0, r["slots"]), counts, strict=True):
+        for slot, count in zip(slots, counts, strict=True):
             for p in positions[at : at + count]:
                 words.setdefault(ids[r["bucket"], slot], {})[p] = r["term"]
             at += count
@@ -87,3 +89,11 @@ def test_searches_of_empty_tables(spark, tmp_path):
 def test_one_index_for_the_same_files(spark):
     one = searches.chunk_index(spark, "/root/testdata/sf0.001")
     assert searches.chunk_index(spark, "/root/testdata/sf0.001/") is one
+
+
+def test_packed_numbers():
+    draw = random.Random(3)
+    rows = [[[draw.randrange(10 ** draw.randrange(1, 9)) for _ in range(n)] for _ in range(2)] for n in (1, 3, 1, 200, 2)]
+    cuts = np.cumsum([0, *(len(r[0]) for r in rows)])
+    made = postings._packed([np.concatenate([r[k] for r in rows]) for k in range(2)], cuts)
+    assert [[a.tolist() for a in postings.unpacked(x, 2)] for x in made.to_pylist()] == rows
