@@ -61,7 +61,7 @@ def rule_relations(mentions: DataFrame, triggers: DataFrame, reach: int = 200, k
     second one's, so also between them; the best score of a predicate stays. Equal mentions are one.
     """
     ruled = triggers.groupBy(key, "number", "predicate").agg(F.max("score").alias("score"))
-    pairs = within_reach(mentions.select(key, "start", "stop", "number", "s_start", "s_stop").distinct(), key, reach)
+    pairs = within_reach(mentions.select(key, "start", "stop", "number", "s_start", "s_stop"), key, reach)
     met = pairs.withColumn("number", F.explode(F.sequence("a_number", F.greatest("a_number", "b_number")))).join(ruled, [key, "number"])
     names = [key, "a_start", "a_stop", "b_start", "b_stop", "predicate"]
     return met.groupBy(*names).agg(F.max("score").alias("score"), F.min("a_s_start").alias("evidence_start"), F.max("b_s_stop").alias("evidence_stop"))

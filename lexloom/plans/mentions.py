@@ -82,6 +82,7 @@ _PATTERNS = [re.compile(_MENTION), *(re.compile(p, re.I) for _, p, _ in _RULES)]
 def sentence_relations(spark, sf_dir):
     docs = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     found = phrases.keyed_rows(docs, ["document_id"], lambda text: intervals.placed_matches(text, _PATTERNS), "pattern int, number int, s_start int, s_stop int, start int, stop int")
+    found = found.withColumns({c: F.when(F.col("pattern") == 0, F.col(c)) for c in ("s_start", "s_stop", "start", "stop")})  # a trigger needs its sentence only
     found = Workspace(spark, "relations").save(found, "matches")
     rules = spark.createDataFrame([(i + 1, p, s) for i, (p, _, s) in enumerate(_RULES)], "pattern int, predicate string, score double")
     triggers = found.where("pattern > 0").join(F.broadcast(rules), "pattern")  # a row a rule
