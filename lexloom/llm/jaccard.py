@@ -8,8 +8,9 @@ documents and of rare words before others - into index lists. Two relations amon
 * What remains of a list needs no pairs: one set leads, the others follow. Bitmaps of the sets, which are small, break a
   leader's group into smaller ones wherever they prove that no similar pair is lost. Then the leader's answers (its overlap with every
   follower) are computed once. A follower that is similar to the leader has the leader's component and is compared with
-  no other such follower. Answers of the others come from the leader's: |Y & Z| is the leader's part, known from how Y
-  and Z differ from it, plus the small part outside the leader; an upper bound from the leader's overlaps skips pairs first.
+  no other such follower. Answers of the others come from the leader's: |Y & Z| = |L| - |L - Y| - |L - Z|
+  + |(L - Y) & (L - Z)| + |(Y - L) & (Z - L)|, so only what sets lack of the leader, or have beyond it, is multiplied (of a set
+  with less than half of the leader, what it has of it); an upper bound from the leader's overlaps skips pairs first.
 
 Followers of one leader are compared in blocks of bounded size, so a group of any size is shared among tasks, and only the
 links that join components leave a task. Components are found by alternating star steps over those links.
@@ -256,6 +257,44 @@ def roots_of(parent: np.ndarray) -> np.ndarray:
     return parent
 
 
+def differences(values: np.ndarray, row: np.ndarray, at: np.ndarray, inside: np.ndarray, overlap: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """How the sets of a group differ from their leader of `size` elements: (lacking, kept, columns, row, sign).
+
+    values, row: the sets' elements and whose they are; inside: is it the leader's, and at which place (at). Of a set with
+    more than half of the leader (lacking) the places it lacks are written down, with sign -1, of another those it has; then,
+    of both, what stands outside the leader. kept: how many places of the leader are written down for each set. Entries rise
+    by column; a column with one entry meets no other set and is left out. Sets with most of the leader hold at least half
+    as many elements as the table of places, so memory grows with the group's elements.
+    """
+    lacking = 2 * overlap > size
+    absent = np.ones((int(lacking.sum()), size), bool)
+    known = inside & lacking[row]
+    absent[(np.cumsum(lacking) - 1)[row[known]], at[known]] = False
+    lack_row, lack_at = np.nonzero(absent)
+    del absent
+    direct, outer = inside & ~lacking[row], ~inside
+    code = np.unique(values[outer], return_inverse=True)[1].ravel()
+    columns = np.concatenate([lack_at, at[direct], size + code])
+    rows = np.concatenate([np.flatnonzero(lacking)[lack_row], row[direct], row[outer]]).astype(np.int32)
+    sign = np.ones(len(columns), np.float32)
+    sign[: len(lack_at)] = -1
+    times = np.bincount(columns, minlength=1)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1).astype(np.int32)[columns]
+    order = np.argsort(place, kind="stable")
+    order = order[np.searchsorted(place[order], 0) :]
+    return lacking, np.where(lacking, size - overlap, overlap), place[order], rows[order], sign[order]
+
+
+def from_leader(lacking: np.ndarray, kept: np.ndarray, other_lacking: np.ndarray, other_kept: np.ndarray, size: int) -> np.ndarray:
+    """Overlaps of two rows of sets as their leader's answers give them, before the products of their differences are added.
+
+    With Y and Z lacking: |L| - |L - Y| - |L - Z|; with Y alone: Z's own part of L; with neither: 0.
+    """
+    a, b = lacking[:, None], other_lacking[None, :]
+    k, m = kept[:, None], other_kept[None, :]
+    return np.where(a & b, size - k - m, np.where(a, m, np.where(b, k, 0))).astype(np.float32)
+
+
 def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int, tile: int = 256, width: int = 512) -> list[tuple[int, int]]:
     """Links that join all similar sets of a leader's group; sets[leader] leads.
 
@@ -276,17 +315,8 @@ def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int, tile: in
         parent[leader] = parent[linked][0]
     rest = np.flatnonzero(~linked)
     if len(rest) and g > 2:
-        # columns: the part within the leader, then what sets share outside it (elements of one set alone count nowhere)
-        outer = np.flatnonzero(~inside)
-        fresh, code, times = np.unique(values[outer], return_inverse=True, return_counts=True)
-        often = np.where(times > 1, np.cumsum(times > 1) - 1 + len(own), -1).astype(np.int32)
-        at[outer] = often[code.ravel()]
-        columns, row = at, np.repeat(np.arange(g, dtype=np.int32), n)
-        del values, inside, outer, fresh, code, times, often
-        keep = columns >= 0
-        order = np.argsort(columns[keep], kind="stable")
-        columns, row = columns[keep][order], row[keep][order]
-        del keep, order
+        lacking, kept, columns, row, sign = differences(values, np.repeat(np.arange(g, dtype=np.int32), n), at, inside, overlap, len(own))
+        del values, at, inside
         outside = n - overlap
         for low in range(0, len(rest), tile):
             x = rest[low : low + tile]
@@ -300,14 +330,14 @@ def group_links(nodes: np.ndarray, sets: list[np.ndarray], leader: int, tile: in
                 continue
             at_r, at_c = np.full(g, -1, np.int32), np.full(g, -1, np.int32)
             at_r[x[r]], at_c[c] = np.arange(len(r)), np.arange(len(c))
-            both = np.zeros((len(r), len(c)), np.float32)
+            both = from_leader(lacking[x[r]], kept[x[r]], lacking[c], kept[c], len(own))
             for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, width):
                 i, j = np.searchsorted(columns, [first, first + width])
                 own_r, own_c = at_r[row[i:j]], at_c[row[i:j]]
                 if (own_r >= 0).any():
                     left, right = np.zeros((len(r), width), np.float32), np.zeros((len(c), width), np.float32)
-                    left[own_r[own_r >= 0], columns[i:j][own_r >= 0] - first] = 1
-                    right[own_c[own_c >= 0], columns[i:j][own_c >= 0] - first] = 1
+                    left[own_r[own_r >= 0], columns[i:j][own_r >= 0] - first] = sign[i:j][own_r >= 0]
+                    right[own_c[own_c >= 0], columns[i:j][own_c >= 0] - first] = sign[i:j][own_c >= 0]
                     both += left @ right.T
             hit = open_[np.ix_(r, c)] & (NEAR[1] * both >= NEAR[0] * (n[x[r]][:, None] + n[c][None, :] - both))
             for k in np.flatnonzero(hit.any(axis=1)):
