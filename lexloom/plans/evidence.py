@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..catalog import frame
+from ..catalog import frame, run_sql
 from ..functions import text as texts
 from ..functions.vectors import cosine
 from ..operators.graph import neighbourhood
+from ..operators.patches import leaves, merged_documents
 from .registry import query, sql
 
 # two ranked lists for each user: their latest events, and their events of highest value
@@ -144,6 +145,28 @@ sql(
   ORDER BY score DESC, document_id) AS n FROM (SELECT src, predicate, dst, document_id, CAST(abs(document_id) % 10 AS DOUBLE) / 10 AS score
   FROM {provenance})) WHERE n = 1""",
 )
+# What each event says about its user, as a merge patch: nested values, lists that replace, nulls that delete, scalars over objects.
+_PATCHES = """SELECT user_id, event_id, CASE event_id % 5
+  WHEN 0 THEN concat('{"profile": {"tags": ["', event_type, '", ', event_id % 7, '], "address": {"zip": ', event_id % 1000, ', "city": null}}}')
+  WHEN 1 THEN concat('{"profile": {"address": {"city": "', event_type, '"}}, "props": ', props, '}')
+  WHEN 2 THEN concat('{"seen": {"', event_type, '": {"at": ', event_id, ', "n": ', event_id % 3, '}}, "props": {"k": null}}')
+  WHEN 3 THEN concat('{"profile": ', CASE WHEN event_id % 2 = 0 THEN '{"address": "none"}' ELSE 'null' END, ', "last": "', event_type, '"}')
+  ELSE concat('{"seen": {"', event_type, '": null}, "last": {"type": "', event_type, '", "more": {}}}') END AS patch FROM {events}"""
+
+
+@query(
+    "g11_merged_patches",
+    """WITH merged AS (SELECT user_id, list_reduce(list(CAST(patch AS JSON) ORDER BY event_id), lambda a, b: json_merge_patch(a, b), CAST('{}' AS JSON)) AS j FROM ("""
+    + _PATCHES.replace("{events}", "events")
+    + """) WHERE patch IS NOT NULL GROUP BY user_id)
+SELECT user_id, replace(substr(t.fullkey, 2), '.', '/') AS path, CASE WHEN t.type = 'OBJECT' THEN 'object' ELSE 'value' END AS kind,
+  CASE WHEN t.type = 'OBJECT' THEN NULL ELSE CAST(t.value AS VARCHAR) END AS value FROM merged, json_tree(merged.j) t WHERE NOT contains(t.fullkey, '[')""",
+)
+def g11_patches(spark, sf_dir):
+    """The document that all events of a user leave, by its paths."""
+    return leaves(merged_documents(run_sql(spark, sf_dir, _PATCHES), ["user_id"], "event_id", "patch"), ["user_id"])
+
+
 sql(
     "g11_json_upsert",
     """WITH o AS (SELECT user_id, max_by(from_json(props, 'map<string,int>'), event_id) AS m FROM {events} WHERE event_type = 'view'
