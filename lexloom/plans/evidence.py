@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from ..catalog import frame, run_sql
 from ..functions import text as texts
 from ..functions.vectors import cosine
+from ..operators import languages
 from ..operators.graph import neighbourhood
 from ..operators.patches import leaves, merged_documents
+from ..workspace import Workspace
 from .registry import query, sql
 
 # two ranked lists for each user: their latest events, and their events of highest value
@@ -216,6 +218,26 @@ def h26(spark, sf_dir):
     return frame(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), texts.language(F.col("text")).alias("language"))
 
 
+@query(
+    "h26_language_model",
+    r"""WITH words AS (SELECT doc_id, lang, text, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents),
+  cut AS (SELECT word, unnest(list_concat(list_concat(list_transform(range(1, length(word) + 1), lambda i: substr(word, i, 1)), list_transform(range(1, length(word) + 2),
+    lambda i: substr(' ' || word || ' ', i, 2))), list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3)))) AS gram FROM (SELECT DISTINCT word FROM words)),
+  counts AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL GROUP BY lang, word) JOIN cut USING (word) GROUP BY lang, gram),
+  kinds AS (SELECT length(gram) AS k, count(DISTINCT gram) AS v FROM counts GROUP BY k),
+  sizes AS (SELECT lang, k, CAST(round(ln(sum(n) + any_value(v)) * 1000000) AS BIGINT) AS base FROM counts JOIN kinds ON k = length(gram) GROUP BY lang, k),
+  gained AS (SELECT c.word, s.lang, sum(coalesce(CAST(round(ln(n + 1) * 1000000) AS BIGINT), 0) - base) AS score FROM cut c JOIN sizes s ON s.k = length(c.gram) LEFT JOIN counts o ON o.lang = s.lang AND o.gram = c.gram GROUP BY ALL),
+  scored AS (SELECT doc_id, lang, sum(score) AS score FROM (SELECT doc_id, word FROM words WHERE length(trim(text)) >= 20) JOIN gained USING (word) GROUP BY doc_id, lang),
+  best AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS n FROM scored) WHERE n = 1)
+SELECT d.doc_id AS id, coalesce(b.lang, 'unknown') AS language FROM documents d LEFT JOIN best b USING (doc_id)""",
+)
+def h26_model(spark, sf_dir):
+    """Each document's language by the model that all labelled documents teach."""
+    docs = frame(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counts = Workspace(spark, "languages").save(languages.gram_counts(docs), "counts")
+    return languages.detected(docs, languages.Model(counts)).select(F.col("doc_id").alias("id"), "language")
+
+
 @query("h28_term_plausibility", r"""SELECT DISTINCT term, length(regexp_replace(term, '[^\p{L}]', '', 'g')) >= 3 AND NOT regexp_matches(term, '(RUNS)')
    AND NOT regexp_matches(term, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Cyrillic}]')
   AND length(regexp_replace(term, '[^aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ]', '', 'g')) >= 0.15 * length(regexp_replace(term, '[^\p{L}]', '', 'g'))

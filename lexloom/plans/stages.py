@@ -177,9 +177,9 @@ def l29(spark, sf_dir):
 
 
 sql("b17_vector_literals",
-    """SELECT chunk_id, concat('[', array_join(transform(slice(embedding, 1, 3), x -> CAST(round(CAST(x AS DOUBLE), 3) + 0.0D AS STRING)), ','), ']') AS literal, size(from_json(to_json(embedding), 'array<float>')) AS n
+    """SELECT chunk_id, concat('[', array_join(transform(embedding, x -> CAST(round(CAST(x AS DOUBLE), 3) + 0.0D AS STRING)), ','), ']') AS literal, size(from_json(to_json(embedding), 'array<float>')) AS n
   FROM {vectors}""",
-    """SELECT chunk_id, concat('[', array_to_string(list_transform(embedding[1:3], lambda x: CAST(round(CAST(x AS DOUBLE), 3) + 0.0::DOUBLE AS VARCHAR)), ','), ']') AS literal, CAST(len(embedding) AS INT) AS n
+    """SELECT chunk_id, concat('[', array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE), 3) + 0.0::DOUBLE AS VARCHAR)), ','), ']') AS literal, CAST(len(embedding) AS INT) AS n
   FROM {vectors}""")
 sql("i13_projection_fingerprints",
     "SELECT concat_ws('|', format_string('chunks=%d;latest=%d', count(*), max(chunk_id)), 'pca', '2') AS fingerprint FROM {vectors}",
@@ -193,10 +193,10 @@ sql(
     """SELECT category AS dim, category <> 1 AS computed, category % 3 = 0
   AND count(*) > count(*) FILTER (WHERE chunk_id % 2 = 0) AS stale, count(*) AS points FROM {vectors} GROUP BY category""",
 )
-sql("i15_term_frequencies", """SELECT doc_id, term, size(filter(w, x -> x = term)) AS n FROM (SELECT doc_id, w, explode(array_distinct(slice(w, 1, 20))) AS term
-  FROM (SELECT doc_id, filter(split(lower(text), '[^a-z]+'), x -> length(x) >= 3) AS w FROM {documents}))""",
-    """SELECT doc_id, term, CAST(len(list_filter(w, lambda x: x = term)) AS INT) AS n FROM (SELECT doc_id, w, unnest(list_distinct(w[1:20])) AS term
-  FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3) AS w FROM documents))""")
+sql("i15_term_frequencies", """SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, explode(split(lower(text), '[^a-z]+')) AS term FROM {documents})
+  WHERE length(term) >= 3 GROUP BY doc_id, term""",
+    """SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents)
+  WHERE length(term) >= 3 GROUP BY doc_id, term""")
 sql("l43_context_sizes", """SELECT thread_id, CASE WHEN role = 'user' THEN 'question' WHEN role = 'assistant' THEN 'answer'
   ELSE 'other' END AS bucket, sum(length(text)) AS characters, CAST(floor(sum(length(text)) / 4 + 0.5) AS BIGINT) AS tokens FROM {messages} GROUP BY ALL""",
     """SELECT thread_id, CASE WHEN role = 'user' THEN 'question' WHEN role = 'assistant' THEN 'answer'

@@ -207,12 +207,12 @@ sql(
 )
 sql(
     "l50_scripts",
-    r"""SELECT doc_id, CASE WHEN word RLIKE '[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]' THEN 'cjk'
+    r"""SELECT doc_id, script, count(*) AS words FROM (SELECT doc_id, CASE WHEN word RLIKE '[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]' THEN 'cjk'
   WHEN word RLIKE '\\p{IsCyrillic}' THEN 'cyrillic' WHEN word RLIKE '\\p{IsLatin}' THEN 'latin' ELSE 'other' END AS script
-  FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM {documents} WHERE text IS NOT NULL)""",
-    r"""SELECT doc_id, CASE WHEN regexp_matches(word, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]') THEN 'cjk'
+  FROM (SELECT doc_id, explode(split(text, ' ')) AS word FROM {documents}) WHERE word <> '') GROUP BY doc_id, script""",
+    r"""SELECT doc_id, script, count(*) AS words FROM (SELECT doc_id, CASE WHEN regexp_matches(word, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]') THEN 'cjk'
   WHEN regexp_matches(word, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(word, '\p{Latin}') THEN 'latin' ELSE 'other' END AS script
-  FROM (SELECT doc_id, split_part(text, ' ', 1) AS word FROM documents WHERE text IS NOT NULL)""",
+  FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '') GROUP BY doc_id, script""",
 )
 sql(
     "l27_postal_edges",
