@@ -1,6 +1,9 @@
-"""Files that land and settle: pages as files that a crawler writes, looked at again and again."""
+"""Files that land and settle, and documents that are extracted and activated: pages as files that a crawler writes, looked at again and again."""
 
-from ..catalog import run_sql
+from pyspark.sql import functions as F
+
+from ..catalog import frame, run_sql
+from ..operators.activation import ActiveTable, activate
 from ..streaming import stability
 from ..workspace import Workspace
 from .registry import query
@@ -52,3 +55,18 @@ SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM l
 def l52(spark, sf_dir):
     """What waits in the folder at the last look."""
     return stability.pending(run_sql(spark, sf_dir, _SPARK))
+
+
+@query(
+    "l40_staged_extract",
+    """WITH rows AS (SELECT doc_id AS document_id, sha256(coalesce(text, '')) AS sha256, CAST(length(coalesce(text, '')) AS BIGINT) AS size, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS version FROM documents WHERE doc_id IS NOT NULL),
+  owned AS (SELECT *, first_value(document_id) OVER (PARTITION BY sha256 ORDER BY version, document_id) AS owner FROM rows)
+SELECT document_id, sha256, size, CASE WHEN owner = document_id THEN 'active' ELSE 'duplicate' END AS state, CASE WHEN owner <> document_id THEN owner END AS duplicate_of, CAST(version AS BIGINT) AS version FROM owned""",
+)
+def l40(spark, sf_dir):
+    """All documents in two jobs, English ones first: each is active or a duplicate of the one that was active before it."""
+    table = ActiveTable(spark, Workspace(spark, "extract").path("table"))
+    rows = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("first"))
+    activate(table, "english", rows.where("first"))
+    activate(table, "others", rows.where("NOT first"))
+    return table.read()
