@@ -233,9 +233,9 @@ SELECT d.doc_id AS id, coalesce(b.lang, 'unknown') AS language FROM documents d
 )
 def h26_model(spark, sf_dir):
     """Each document's language by the model that all labelled documents teach."""
-    docs = frame(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    counts = Workspace(spark, "languages").save(languages.gram_counts(docs), "counts")
-    return languages.detected(docs, languages.Model(counts)).select(F.col("doc_id").alias("id"), "language")
+    ws, docs = Workspace(spark, "languages"), frame(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    words = ws.save(languages.word_counts(docs), "words")
+    return languages.detected(docs, languages.Model(languages.gram_counts(words), ws), words, ws).select(F.col("doc_id").alias("id"), "language")
 
 
 @query("h28_term_plausibility", r"""SELECT DISTINCT term, length(regexp_replace(term, '[^\p{L}]', '', 'g')) >= 3 AND NOT regexp_matches(term, '(RUNS)')

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lexloom.operators import languages
+from lexloom.workspace import Workspace
 
 ROWS = [("en", "the cat and the dog are in the house"), ("en", "this is the thing that they have"), ("fr", "le chat et le chien sont dans la maison"), ("fr", "c'est une chose que nous avons"), ("de", "der Hund und die Katze sind im Haus"), (None, "nothing is learned from this")]
 
@@ -38,15 +39,16 @@ def walk(rows, texts):
     return out
 
 
-def answers(spark, rows, texts):
-    model = languages.Model(languages.gram_counts(spark.createDataFrame(rows, "lang string, text string")))
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, language string")
-    return [r["language"] for r in languages.detected(docs, model).orderBy("id").collect()]
+def answers(spark, rows, texts, head=languages.HEAD):
+    ws = Workspace(spark, "languages")
+    model = languages.Model(languages.gram_counts(languages.word_counts(spark.createDataFrame(rows, "lang string, text string"))), ws)
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, text string, lang string").withColumn("language", F.lit("x"))
+    return [r["language"] for r in languages.detected(docs, model, languages.word_counts(docs), ws, head=head).orderBy("id").collect()]
 
 
 def test_against_walk(spark):
     texts = ["the house of the cat is there", "la maison du chat est grande", "das Haus der Katze ist im Garten", None, "", "short", "   the cat           ", "12345 67890 12345 67890", "zzzzz qqqqq xxxxx wwwww", "Ärger über Öl und Straßen", "the cat and le chat et der Hund", "the house of the cat is there"]
-    assert answers(spark, ROWS, texts) == walk(ROWS, texts)
+    assert answers(spark, ROWS, texts) == answers(spark, ROWS, texts, head=3) == walk(ROWS, texts)
 
 
 def test_no_labels(spark):
@@ -57,7 +59,9 @@ def test_no_labels(spark):
 
 def test_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
-    model = languages.Model(languages.gram_counts(docs.where("NOT held")))
-    found = languages.detected(docs.where("held"), model).where("language <> 'unknown'")
+    ws = Workspace(spark, "languages")
+    model = languages.Model(languages.gram_counts(languages.word_counts(docs.where("NOT held"))), ws)
+    held = docs.where("held")
+    found = languages.detected(held, model, languages.word_counts(held), ws, head=500).where("language <> 'unknown'")
     right, n = found.agg(F.sum((F.col("lang") == F.col("language")).cast("int")), F.count("*")).first()
     assert n > 150 and right >= 0.95 * n, (right, n)
