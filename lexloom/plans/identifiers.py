@@ -1,9 +1,12 @@
 """Identifiers, addresses and names in letters; windows of texts and their records."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..catalog import frame
 from ..functions import identifiers as ids
+from ..functions import numbering
 from ..functions.spans import preceded, sentence, spans
 from ..operators import windows
 from .registry import query
@@ -22,6 +25,38 @@ def h31(spark, sf_dir):
     return rows.select("id", "x.kind", "x.value")
 
 
+# plans line by line; the line whose code and leading digits are longest decides
+_LINES = ", ".join(f"('{code}{lead}', {len(code + re.sub(r'\[[^]]*\]', 'x', lead))}, {[len(code) + n for n in lengths]})" for code, lead, lengths in numbering.lines())
+_JUDGED = f"plans(lead, depth, lengths) AS (VALUES {_LINES})"
+
+
+@query("h31_phone_numbers", rf"""WITH {_JUDGED},
+ m AS (SELECT doc_id AS id, regexp_replace(translate(text, chr(1), ' '), '(^|^[^\w#]|[^0-9][^\w#]|[0-9][^\w# ])((?:\+[1-9]|00[1-9]|\(?0)[0-9 ()/.\-]{{5,18}}[0-9]\b)', '\1' || chr(1) || '\2' || chr(1), 'g') AS text FROM documents WHERE text IS NOT NULL),
+ p AS (SELECT id, string_split(text, chr(1)) AS p FROM m WHERE contains(text, chr(1))),
+ c AS (SELECT id, i, array_to_string(p[1:i - 1], '') AS before, regexp_replace(p[i], ' +- .*$', '') AS raw FROM (SELECT id, p, unnest(generate_series(2, len(p), 2)) AS i FROM p)),
+ k AS (SELECT id, i, before, g, regexp_replace(raw, '(?:[ ()/.\-]+[0-9]+){{' || g || '}}$', '') AS cut, raw FROM c, range(0, 11) r(g)),
+ d AS (SELECT *, ltrim(cut, '(') AS bare FROM k WHERE g = 0 OR cut <> raw),
+ n AS (SELECT *, CASE WHEN bare LIKE '+%' THEN regexp_replace(replace(bare, '(0)', ''), '[^0-9]', '', 'g')
+  WHEN bare LIKE '00%' THEN substr(regexp_replace(replace(bare, '(0)', ''), '[^0-9]', '', 'g'), 3) WHEN bare LIKE '0%' THEN concat('49', substr(regexp_replace(bare, '[^0-9]', '', 'g'), 2)) END AS digits FROM d),
+ j AS (SELECT id, i, g, any_value(before) AS before, any_value(cut) AS cut, any_value(digits) AS digits, list_contains(arg_max(lengths, depth), length(any_value(digits))) AS good
+  FROM n JOIN plans ON regexp_matches(digits, '^' || lead) GROUP BY id, i, g)
+ SELECT id, CAST(length(before) AS INT) AS start, CAST(length(before) + length(cut) AS INT) AS "end", '+' || digits AS value FROM (SELECT * FROM j WHERE good QUALIFY row_number() OVER (PARTITION BY id, i ORDER BY g) = 1)
+ WHERE regexp_matches(cut, '^(?:\+|00)') OR regexp_matches(right(before, 24), '{ids.PHONE_CUE}')""")
+def h31_phones(spark, sf_dir):
+    """Telephone numbers of all documents, with their offsets."""
+    rows = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(ids.phone_spans(F.col("text"))).alias("x"))
+    return rows.select("id", "x.start", "x.end", numbering.e164(F.col("x.value")).alias("value"))
+
+
+@query("h31_numbering_plans", f"""WITH {_JUDGED}, n AS (SELECT DISTINCT CAST(o_orderkey * 7368787 AS VARCHAR) || lpad(CAST(o_custkey * 31 % 10000 AS VARCHAR), CAST(2 + o_orderkey % 3 AS INT), '0') AS digits FROM orders WHERE o_custkey IS NOT NULL)
+ SELECT digits, coalesce((SELECT list_contains(arg_max(lengths, depth), length(digits)) FROM plans WHERE regexp_matches(digits, '^' || lead)), false) AS planned FROM n""")
+def h31_plans(spark, sf_dir):
+    """Digits made of orders, judged by their plan."""
+    key = F.col("o_orderkey")
+    digits = F.concat((key * 7368787).cast("string"), F.lpad((F.col("o_custkey") * 31 % 10000).cast("string"), (2 + key % 3).cast("int"), F.lit("0")))
+    return frame(spark, sf_dir, "orders").where("o_custkey IS NOT NULL").select(digits.alias("digits")).distinct().withColumn("planned", numbering.planned(F.col("digits")))
+
+
 @query("h31_identifier_offsets", "SELECT id, CAST(instr(text, '/345/') - 3 AS INT) AS start, CAST(instr(text, '/345/') + 9 AS INT) AS \"end\" FROM {letters} WHERE id % 2 = 0")
 def h31_offsets(spark, sf_dir):
     rows = frame(spark, sf_dir, "letters").select("id", F.explode(ids.identifiers(F.col("text"))).alias("x")).where("x.kind = 'TAX_NUMBER'")
