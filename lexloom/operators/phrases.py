@@ -103,6 +103,38 @@ def matches(texts: DataFrame, keys: list[str], pattern: str, text_column: str =
     return keyed_rows(texts, keys, lambda text: ((m.start(), m.end(), m.group()) for m in compiled.finditer(text)), "start int, stop int, value string", text_column)
 
 
+def contained(texts: DataFrame, keys: list[str], needles: DataFrame, text_column: str = "text", most_chars: int = 4 << 20) -> DataFrame:
+    """keys, needle: which needles (needle) stand anywhere in a row's text, as written; once a row and needle.
+
+    One automaton finds all needles in one walk over a text. Needles of more than most_chars characters in all are sent
+    in blocks of about so many, each in a pass of its own over the texts. Null and empty needles and texts are in no row.
+    """
+    spark = texts.sparkSession
+    known = Workspace(spark, "needles").save(needles.where("needle <> ''").select("needle").distinct(), "needles")
+    blocks = max(1, -(-known.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0] // most_chars))
+    block = F.pmod(F.xxhash64("needle"), F.lit(blocks))
+    found = None
+    for b in range(blocks):
+        sent = spark.sparkContext.broadcast([r["needle"] for r in known.where(block == b).collect()])
+        hits = keyed_rows(texts, keys, _substrings(sent), "needle string", text_column)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _substrings(sent):
+    made: list[ahocorasick.Automaton] = []  # once a task
+
+    def find(text: str):
+        if not made:
+            made.append(ahocorasick.Automaton())
+            for needle in sent.value:
+                made[0].add_word(needle, needle)
+            made[0].make_automaton()
+        return [(n,) for n in {n for _, n in made[0].iter(text)}] if len(made[0]) else []
+
+    return find
+
+
 # surfaces by their words
 
 

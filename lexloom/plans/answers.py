@@ -41,12 +41,13 @@ def _counts(spark, sf_dir):
     """id, entity, doc_type, titled, mentioned, total: exact counts of active documents under each lens."""
     intents = _intents(spark, sf_dir)
     docs = frame(spark, sf_dir, "docs").where("status = 'active'").select("id", "title")
-    wanted = intents.where("entity IS NOT NULL").select("entity").distinct()
-    # what is asked for is a request's few names: each looks at titles and at entity values
-    titled = docs.join(F.broadcast(wanted), F.contains(F.lower("title"), F.lower("entity"))).groupBy("entity").agg(F.count("*").alias("titled"))
-    mentions = frame(spark, sf_dir, "entities").select("document_id", "value").join(F.broadcast(wanted), F.contains("value", F.lower("entity"))).groupBy("entity").agg(F.countDistinct("document_id").alias("mentioned"))
-    total = docs.agg(F.count("*").alias("total"))
-    found = intents.join(titled, "entity", "left").join(mentions, "entity", "left").join(F.broadcast(total))
+    needle = F.lower("entity").alias("needle")
+    wanted = intents.where("entity IS NOT NULL").select(needle)
+    titled = phrases.contained(docs.select("id", F.lower("title").alias("title")), ["id"], wanted, "title").groupBy("needle").agg(F.count("*").alias("titled"))
+    mentions = phrases.contained(frame(spark, sf_dir, "entities").select("document_id", "value"), ["document_id"], wanted, "value")
+    mentioned = mentions.distinct().groupBy("needle").agg(F.count("document_id").alias("mentioned"))
+    total = docs.agg(F.count("*").alias("total"))  # one row
+    found = intents.withColumn("needle", F.lower("entity")).join(titled, "needle", "left").join(mentioned, "needle", "left").join(F.broadcast(total))
     return found.select("id", "entity", "doc_type", F.coalesce("titled", F.lit(0)).alias("titled"), F.coalesce("mentioned", F.lit(0)).alias("mentioned"), "total")
 
 

@@ -195,3 +195,14 @@ def test_relaxed_scores(spark):
     assert abs(rows[""]["relaxed_f1"] - 2 * want[""][3] / (want[""][0] + want[""][1])) < 1e-12
     empty = intervals.mention_scores(intervals.mention_lists(both.limit(0), ["document_id"]), ["document_id"]).collect()
     assert [r["relaxed_f1"] for r in empty] == [0.0]
+
+
+def test_contained(spark):
+    texts = [(1, "der ring am ringen"), (2, "r"), (3, None), (4, ""), (5, "Ring ä😀b"), (5, "am ring"), (6, "ringring " * 50_000)]
+    needles = ["ring", "ringen", "am ri", "r", "ä😀", "nichts", "", None, "ring"]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    named = spark.createDataFrame([(n,) for n in needles], "needle string")
+    wanted = sorted((i, n) for i, t in texts for n in set(needles) if n and t and n in t)
+    for most_chars in (1 << 20, 5):  # in one pass, in several
+        assert sorted(tuple(r) for r in phrases.contained(rows, ["id"], named, most_chars=most_chars).collect()) == wanted
+    assert not phrases.contained(rows, ["id"], named.limit(0)).collect()
