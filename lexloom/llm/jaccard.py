@@ -181,8 +181,11 @@ def leaders_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarra
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def led(entries: DataFrame, heavy: np.ndarray, ws: Workspace) -> DataFrame:
-    """leader, node from index entries (token, node, n, i: the position); heavy: tokens whose lists no task shall hold."""
+def led(full: DataFrame, heavy: np.ndarray, ws: Workspace) -> DataFrame:
+    """leader, node from sets (node, n, prefix; equal ones may repeat); heavy: tokens whose lists no task shall hold.
+
+    Prefixes are the bulk and are shuffled once, to keep one of equal sets. Entries of heavy tokens are taken from them before that, each once, and written.
+    """
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["token"], bulk=True):
@@ -190,12 +193,19 @@ def led(entries: DataFrame, heavy: np.ndarray, ws: Workspace) -> DataFrame:
             pairs = leaders_of(token, node, packed >> 32, packed & 0xFFFFFFFF)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["leader", "node"])
 
-    spark = entries.sparkSession
+    def entries(sets: DataFrame) -> DataFrame:
+        return sets.select("node", "n", F.posexplode("prefix").alias("i", "token"))
+
+    spark = full.sparkSession
     listed = F.broadcast(spark.createDataFrame(pa.table({"token": pa.array(heavy.view(np.int64))})))  # at most as many as frequent() keeps: 4 MB
-    light = entries.join(listed, "token", "left_anti") if len(heavy) else entries
+    light = entries(full.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    light = light.join(listed, "token", "left_anti") if len(heavy) else light
     dealt = light.select("token", "node", (F.col("n") * F.lit(1 << 32) + F.col("i")).alias("at")).repartition("token").sortWithinPartitions("token")
     found = dealt.mapInArrow(lists, "leader long, node long")
-    return (found.unionByName(led_by_blocks(entries.join(listed, "token", "left_semi"), ws)) if len(heavy) else found).distinct()
+    if len(heavy):
+        long_lists = ws.save(entries(full).join(listed, "token", "left_semi").dropDuplicates(["token", "node"]), "long_lists")
+        found = found.unionByName(led_by_blocks(long_lists, ws))
+    return found.distinct()
 
 
 def block_leaders(kind: np.ndarray, low: np.ndarray, high: np.ndarray, rest: np.ndarray, least: np.ndarray, several: np.ndarray) -> list[tuple[int, int]]:
@@ -488,14 +498,13 @@ def labelled_components(docs: DataFrame, width: int = 5, long_list: int = 10_000
     described_ = ws.save(described(docs, known, width), "sets")
     full = described_.where("node IS NOT NULL")
     nodes = ws.save(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    one = full.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    entries = one.select("node", "n", F.posexplode("prefix").alias("i", "token"))
+    prefixes = full.select("node", F.col("n_shingles").alias("n"), "prefix")
     facts = full.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
-    stars = ws.save(refined(ws.save(led(entries, heavy, ws), "candidates"), facts, ws), "stars")
+    stars = ws.save(refined(ws.save(led(prefixes, heavy, ws), "candidates"), facts, ws), "stars")
     wanted = ws.save(stars.select("node").unionByName(stars.select(F.col("leader").alias("node"))).distinct().join(nodes, "node"), "wanted")
     sets = ws.save(elements_of(docs, wanted, width), "elements")
     links = ws.save(grouped_links(stars, sets, ws), "links")
-    ws.drop("elements", "stars", "candidates", "wanted", "leaders", "cut_candidates", "cut_stars")
+    ws.drop("elements", "stars", "candidates", "wanted", "leaders", "long_lists", "cut_candidates", "cut_stars")
     # nodes are named by their smallest doc_id (null last), so the smallest name of a component holds its smallest doc_id
     name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
     named = nodes.select("node", name.alias("name"))
