@@ -154,33 +154,22 @@ def _part(by: str, count, length, mean: float):
 
 
 def _best(weights: dict[str, float], by: str, mean: float, wanted: int, k: int):
-    """Task: rows sorted by bucket and term, the list of chunks first, to the k best chunks of each bucket."""
+    """The rows of one bucket, the list of its chunks among them, to its k best chunks."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, None
-
-        def close() -> pa.RecordBatch:
-            ids, documents, _, score, met = held
-            rows = [(-s, c, d) for s, c, d, m in zip(np.round(score, 9).tolist(), ids, documents, met, strict=True) if m >= wanted]
-            rows = sorted(rows, key=lambda r: r[:2])[:k]
-            columns = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([-r[0] for r in rows], pa.float64())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk_id", "document_id", "score"])
+    def best(table: pa.Table) -> pa.Table:
+        held = dict(zip(table["term"].to_pylist(), table["hits"].to_pylist(), strict=True))
+        ids, documents, lengths = json.loads(held.pop(None))
+        lengths, score, met = np.array(lengths, np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for term in sorted(held):
+            at, counts = unpacked(held[term], 2)
+            score[at] += weights[term] * _part(by, counts.astype(np.float64), lengths[at], mean)
+            met[at] += 1
+        rows = [(-s, c, d) for s, c, d, m in zip(np.round(score, 9).tolist(), ids, documents, met.tolist(), strict=True) if m >= wanted]
+        rows = sorted(rows, key=lambda r: r[:2])[:k]
+        columns = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([-r[0] for r in rows], pa.float64())]
+        return pa.Table.from_arrays(columns, names=["chunk_id", "document_id", "score"])
 
-        for batch in batches:
-            for number, term, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number != bucket:
-                    if bucket is not None:
-                        yield close()
-                    ids, documents, lengths = json.loads(hits)  # nulls come first
-                    bucket, held = number, (ids, documents, np.array(lengths, np.int64), np.zeros(len(ids)), np.zeros(len(ids), np.int64))
-                else:
-                    at, counts = unpacked(hits, 2)
-                    held[3][at] += weights[term] * _part(by, counts.astype(np.float64), held[2][at], mean)
-                    held[4][at] += 1
-        if bucket is not None:
-            yield close()
-
-    return task
+    return best
 
 
 def search(index: Index, terms: list[str], k: int, by: str = "bm25", all_terms: bool = True) -> DataFrame:
@@ -204,9 +193,9 @@ def search(index: Index, terms: list[str], k: int, by: str = "bm25", all_terms:
 
     def scored(chosen) -> DataFrame:
         """The k best of the chosen buckets."""
-        both = chosen(rows).select(*fields).unionByName(chosen(listed).select(*fields))
-        each = both.repartition("bucket").sortWithinPartitions("bucket", "term")
-        return each.mapInArrow(_best(weights, by, mean, wanted, k), "chunk_id string, document_id long, score double").orderBy(F.desc("score"), "chunk_id").limit(k)
+        # grouped, not dealt by repartition(): Spark may drop that over a union of joins by bucket and then coalesce the sides apart
+        each = chosen(rows.select(*fields).unionByName(listed.select(*fields))).groupBy("bucket")
+        return each.applyInArrow(_best(weights, by, mean, wanted, k), "chunk_id string, document_id long, score double").orderBy(F.desc("score"), "chunk_id").limit(k)
 
     best = [r["bucket"] for r in bounds.orderBy(F.desc("bound"), "bucket").limit(k).collect()]  # at most k numbers
     first = scored(lambda r: r.where(F.col("bucket").isin(best))).collect()

@@ -8,9 +8,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lexloom.catalog import frame
 from lexloom.operators import postings
 from lexloom.plans import searches
+from lexloom.workspace import Workspace
 
 WORDS = ["the", "of", "sea", "été", "ß", "x9", "rare"]
 
@@ -54,6 +57,23 @@ def test_search(index, terms):
                 assert got == plain(chunks_of(400), terms, k, by, all_terms)
 
 
+def test_search_without_broadcast(spark, tmp_path):
+    """Both the rows of terms and the lists of chunks come through sort-merge joins, of very different sizes."""
+    rows = chunks_of(12000, 2)
+    index = postings.build(spark.createDataFrame(rows, "chunk_id string, document_id long, text string").repartition(4), f"file://{tmp_path}/i", size=8, shards=5)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {key: spark.conf.get(key, None) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        for by, all_terms in (("hits", True), ("bm25", False)):
+            got = [(r["chunk_id"], r["document_id"], round(r["score"], 6)) for r in postings.search(index, ["the", "of", "sea"], 20, by, all_terms).collect()]
+            assert got == plain(rows, ["the", "of", "sea"], 20, by, all_terms)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_buckets_below_the_bound_stay_closed(index):
     whole = postings.open_buckets(index, ["the", "of"], 0)
     kth = postings.search(index, ["the", "of"], 3, "hits").collect()[-1]["score"]
@@ -86,6 +106,18 @@ def test_searches_of_empty_tables(spark, tmp_path):
         assert searches.QUERIES[name](spark, f"file://{tmp_path}").collect() == []
 
 
+def test_active_chunks(spark, tmp_path):
+    """Equal to the catalog's, copies sent or not; without a shuffle of texts where they are sent."""
+    rows = [(1, "a b", "x"), (2, "a b", "x"), (3, "a b", "y"), (4, None, "x"), (5, None, "x"), (None, "c d", "x"), (6, "c d", "x"), (7, "e" * 2500, None), (8, "e" * 2500, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = sorted(map(tuple, frame(spark, str(tmp_path), "chunks").collect()))
+    assert len(wanted) == 6
+    for sent in (0, 100):
+        made = searches.active_chunks(spark, str(tmp_path), Workspace(spark, "test"), sent)
+        assert sorted(map(tuple, made.collect())) == wanted
+    assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_index_for_the_same_files(spark):
     one = searches.chunk_index(spark, "/root/testdata/sf0.001")
     assert searches.chunk_index(spark, "/root/testdata/sf0.001/") is one
