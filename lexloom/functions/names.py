@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
 
 def trigrams(value: Column) -> Column:
     """Distinct 3-grams of the lower-cased words, each padded by two spaces before and one behind."""
@@ -18,26 +19,54 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
-def gram_matches(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataFrame:
-    """a, b, score: pairs (a < b) of one block whose trigram similarity reaches threshold[0] / threshold[1]. rows: id, block, name, each name once a block.
+def bits(item: Column, word: int) -> Column:
+    """The bit that an item sets in one of two words of 64."""
+    h = F.pmod(F.xxhash64(item), F.lit(128)).cast("int")
+    return F.when(F.floor(h / 64) == word, F.call_function("shiftleft", F.lit(1).cast("long"), h)).otherwise(F.lit(0).cast("long"))
+
+
+def prefixes(sets: DataFrame, counts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """no, block, n, at, item, bits0, bits1: the first n - ceil(t * n) + 1 items of each set (no, block, items), by counts (block, item, names), rare ones first."""
+    p, q = threshold
+    each = sets.select("no", "block", F.size("items").alias("n"), F.explode("items").alias("item"))
+    ranked = each.join(counts, ["block", "item"], "left").groupBy("no", "block").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("names", F.lit(0)), "item"))).alias("items"), *(F.bit_or(bits(F.col("item"), w)).alias(f"bits{w}") for w in (0, 1))
+    )
+    first = ranked.select("no", "block", "n", "bits0", "bits1", F.posexplode(F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.col("n") * p / q) + 1).cast("int"))).alias("at", "i"))
+    return first.select("no", "block", "n", "bits0", "bits1", "at", F.col("i.item").alias("item"))
+
 
-    Grams are ordered by how many names hold them, rare ones first. A similar pair shares one of the first
-    n - ceil(t * n) + 1 grams of each side, at positions that leave enough behind them, and its sizes are near; only ids
-    meet there, the sets are attached for the final comparison.
+def set_matches(left: DataFrame, right: DataFrame | None = None, threshold: tuple[int, int] = (3, 5)) -> DataFrame:
+    """a, b, score: ids of sets of one block, of left and of right, whose Jaccard similarity reaches threshold[0] / threshold[1]; without right, pairs (a < b) of left.
+
+    Sets: id, block, items (distinct; an empty set matches none). Items are ordered by how many sets hold them, rare ones
+    first. A similar pair shares one of the first n - ceil(t * n) + 1 items of each side, at positions that leave enough
+    behind them; its sizes are near, and so are its sets' hashes in 128 bits: no more bits differ than items do. Only numbers
+    of pairs that pass all this leave the join; to them the sets are attached for the final comparison.
     """
     p, q = threshold
-    sets = rows.select("id", "block", trigrams(F.col("name")).alias("grams")).where(F.size("grams") > 0)
-    each = sets.select("id", "block", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counts = each.groupBy("block", "gram").agg(F.count("*").alias("names"))
-    order = each.join(counts, ["block", "gram"]).groupBy("id", "block").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("names", "gram"))).alias("grams"))
-    first = order.select("id", "block", "n", F.posexplode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * p / q) + 1).cast("int"))).alias("at", "gram"))
-    a, b = (first.select(F.col("id").alias(x), "block", F.col("gram.gram").alias("gram"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at")) for x in "ab")
-    near = (F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (p + q) >= (F.col("a_n") + F.col("b_n")) * p)
-    met = a.join(b, ["block", "gram"]).where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
-    held = sets.select("id", "grams")
-    whole = met.join(held.withColumnsRenamed({"id": "a", "grams": "a_grams"}), "a").join(held.withColumnsRenamed({"id": "b", "grams": "b_grams"}), "b")
-    both, either = F.size(F.array_intersect("a_grams", "b_grams")), F.size(F.array_union("a_grams", "b_grams"))
-    return whole.where(both * q >= p * either).select("a", "b", (both / either).alias("score"))
+    ws = Workspace(left.sparkSession, "sets")
+    # written once, so that the numbers stay what they are
+    sets = [ws.save(s.where(F.size("items") > 0).select(F.monotonically_increasing_id().alias("no"), "id", "block", "items"), name) for s, name in ((left, "left"), (right, "right")) if s is not None]
+    counts = sets[-1].select("block", F.explode("items").alias("item")).groupBy("block", "item").agg(F.count("*").alias("names"))
+    fields = ["n", "at", "bits0", "bits1"]
+    a, b = (prefixes(s, counts, threshold).select(F.col("no").alias(x), "block", "item", *(F.col(f).alias(f"{x}_{f}") for f in fields)) for x, s in (("a", sets[0]), ("b", sets[-1])))
+    total = F.col("a_n") + F.col("b_n")
+    near = (F.least("a_n", "b_n") * q >= F.greatest("a_n", "b_n") * p) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (p + q) >= total * p)
+    apart = sum((F.bit_count(F.col(f"a_bits{w}").bitwiseXOR(F.col(f"b_bits{w}"))) for w in (0, 1)), F.lit(0))
+    # by sort-merge: what explode makes of small tables is no small table
+    met = a.join(b.hint("merge"), ["block", "item"]).where(near & (apart * (p + q) <= total * (q - p)))
+    met = (met.where("a < b") if right is None else met).select("a", "b").distinct()
+    held = [s.select(F.col("no").alias(x), F.col("id").alias(f"{x}_id"), F.col("items").alias(f"{x}_items")).hint("merge") for x, s in (("a", sets[0]), ("b", sets[-1]))]
+    whole = met.join(held[0], "a").join(held[1], "b")
+    both, either = F.size(F.array_intersect("a_items", "b_items")), F.size(F.array_union("a_items", "b_items"))
+    found = whole.where(both * q >= p * either).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (both / either).alias("score"))
+    return found if right is not None else found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a < b")
+
+
+def gram_matches(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataFrame:
+    """a, b, score: pairs (a < b) of one block whose trigram similarity reaches threshold[0] / threshold[1]. rows: id, block, name, each name once a block."""
+    return set_matches(rows.select("id", "block", trigrams(F.col("name")).alias("items")), threshold=threshold)
 
 
 def trigram_pairs(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataFrame:

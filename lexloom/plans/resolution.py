@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..catalog import frame
 from ..functions import names
 from ..operators import resolution as r
+from ..workspace import Workspace
 from .registry import query, sql
 
 # what the oracles state of a name v: its tokens and its trigrams
@@ -107,7 +108,7 @@ def k13(spark, sf_dir):
   WHERE b * 10 >= e * 7)
  SELECT query_id, id, score, CAST(place AS INT) AS place FROM o WHERE place <= 10""")
 def f9(spark, sf_dir):
-    entities = frame(spark, sf_dir, "named")
+    entities = Workspace(spark, "named").save(frame(spark, sf_dir, "named"), "named")
     wanted = r.nodes_of(entities).where("id % 50 = 0").select(F.col("id").alias("query_id"), "entity_type", "value")
     return r.fuzzy_top(entities, wanted)
 
