@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import category_key, trigrams
+from ..functions.names import category_key, set_matches, trigrams
 
 #: Categories of a tenant and of a document, and the least similarity of a fuzzy hit.
 MOST, MOST_OF_DOCUMENT, FUZZY = 50, 8, (7, 10)
@@ -63,13 +63,9 @@ def _composed(names):
 
 
 def similar_tags(wanted: DataFrame, tags: DataFrame, threshold: tuple[int, int] = (3, 5), k: int = 3) -> DataFrame:
-    """query, tag, score, place: of each wanted key the k tags whose word sets are most similar, ties by tag. They meet on a shared word."""
-    words = {n: F.array_distinct(F.filter(F.split(n, " "), lambda w: w != "")) for n in ("query", "tag")}
-    asked = wanted.select("query", words["query"].alias("q")).select("*", F.explode("q").alias("word"))
-    held = tags.select("tag", words["tag"].alias("t")).select("*", F.explode("t").alias("word"))
-    met = asked.join(held, "word").dropDuplicates(["query", "tag"])
-    both, either = F.size(F.array_intersect("q", "t")), F.size(F.array_union("q", "t"))
-    scored = met.where(both * threshold[1] >= either * threshold[0]).select("query", "tag", (both / either).alias("score"))
+    """query, tag, score, place: of each wanted key (query) the k tags (tag) whose word sets are most similar, ties by tag."""
+    asked, held = (rows.distinct().select(F.col(n).alias("id"), F.lit(0).alias("block"), F.array_distinct(F.filter(F.split(n, " "), lambda w: w != "")).alias("items")) for rows, n in ((wanted.select("query"), "query"), (tags.select("tag"), "tag")))
+    scored = set_matches(asked, held, threshold).select(F.col("a").alias("query"), F.col("b").alias("tag"), "score")
     return scored.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "tag"))).where(F.col("place") <= k)
 
 

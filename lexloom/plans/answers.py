@@ -7,6 +7,7 @@ from ..functions import names
 from ..functions import questions as q
 from ..operators import phrases
 from ..operators import vocabularies as v
+from ..workspace import Workspace
 from .registry import query, sql
 
 _QUESTIONS = """SELECT conv_id * 1000 + turn AS id, concat(CASE turn % 5 WHEN 0 THEN 'How many invoices from ' WHEN 1 THEN 'List all documents about '
@@ -187,7 +188,7 @@ def h9(spark, sf_dir):
  o AS (SELECT query, tag, b / e::DOUBLE AS score, row_number() OVER (PARTITION BY query ORDER BY b / e::DOUBLE DESC, tag) AS place FROM s
   WHERE b * 5 >= e * 3) SELECT query, tag, score, CAST(place AS INT) AS place FROM o WHERE place <= 3""")
 def f11(spark, sf_dir):
-    tags = frame(spark, sf_dir, "named").select(F.col("value").alias("tag")).distinct()
+    tags = Workspace(spark, "tags").save(frame(spark, sf_dir, "named").select(F.col("value").alias("tag")).distinct(), "tags")
     return v.similar_tags(tags.select(F.col("tag").alias("query")), tags)
 
 

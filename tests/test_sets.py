@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import names
-from lexloom.operators import resolution
+from lexloom.operators import resolution, vocabularies
 from lexloom.plans import joins  # noqa: F401
 
 
@@ -49,6 +49,11 @@ def words(n, seed=7):
     return ["".join(draw.choices("abcdefghijklmnoprstuvwz", k=9)) for _ in range(n)]
 
 
+def test_a_word_in_every_tag(spark):
+    tags = spark.createDataFrame([(f"the {w}",) for w in words(1000)], "tag string")
+    assert join_rows(spark, vocabularies.similar_tags(tags.select(F.col("tag").alias("query")), tags)) < 50_000  # of 1,000,000 pairs
+
+
 def test_a_word_in_every_name(spark):
     named = spark.createDataFrame([(i, "ORG", f"aaa {w}") for i, w in enumerate(words(1000))], "id long, entity_type string, value string")
     assert join_rows(spark, resolution.fuzzy_top(named, named.selectExpr("id AS query_id", "entity_type", "value"), (3, 5), 1)) < 200_000
