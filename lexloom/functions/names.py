@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from .pairs import linked_pairs
+
 
 def trigrams(value: Column) -> Column:
     """Distinct 3-grams of the lower-cased words, each padded by two spaces before and one behind."""
@@ -77,10 +79,8 @@ def trigram_pairs(rows: DataFrame, threshold: tuple[int, int] = (3, 5)) -> DataF
     held = rows.where("name IS NOT NULL").groupBy("block", "name").agg(F.min("id").alias("name_id"))
     names = gram_matches(held.select(F.col("name_id").alias("id"), "block", "name"), threshold)
     alike = held.where(F.size(trigrams(F.col("name"))) > 0).select(F.col("name_id").alias("x"), F.col("name_id").alias("y"), F.lit(1.0).alias("score"))
-    both = names.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(names.select(F.col("b").alias("x"), F.col("a").alias("y"), "score")).unionByName(alike)
-    named = rows.join(held, ["block", "name"]).select("id", "name_id")
-    found = named.select(F.col("id").alias("a"), F.col("name_id").alias("x")).join(both, "x").join(named.select(F.col("id").alias("b"), F.col("name_id").alias("y")), "y")
-    return found.where(F.col("a") < F.col("b")).select("a", "b", "score")
+    named = rows.join(held, ["block", "name"]).select(F.col("name_id").alias("class"), "id")
+    return linked_pairs(named, names.select(F.col("a").alias("x"), F.col("b").alias("y"), "score").unionByName(alike))
 
 
 def name_tokens(name: Column) -> Column:

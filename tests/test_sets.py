@@ -70,3 +70,13 @@ def test_names_of_matches_are_made_once(spark):
     named = spark.createDataFrame([(i, "ORG", f"{a} {b}") for i, (a, b) in enumerate(zip(words(60, 1), words(60, 2), strict=True))], "id long, entity_type string, value string")
     resolution.matches(named.mapInArrow(counted, named.schema)).collect()
     assert seen.value == 60
+
+
+def test_pairs_of_equal_names(spark):
+    """Names that very many rows share: their pairs leave the joins as blocks, and all of them are there."""
+    rows = [(i, "t", ["red bolt", "red bolts", "blue ring", "!"][i % 4]) for i in range(1600)]
+    made = names.trigram_pairs(spark.createDataFrame(rows, "id long, block string, name string"))
+    got = [(r["a"], r["b"]) for r in made.select("a", "b").collect()]
+    like = {"red bolt": 0, "red bolts": 0, "blue ring": 1}
+    assert len(got) == len({*got}) and {*got} == {(a, b) for a, _, x in rows for b, _, y in rows if a < b and x in like and y in like and like[x] == like[y]}
+    assert join_rows(spark, made) < 20_000  # of 399,600 pairs
